@@ -885,28 +885,30 @@ src as (select row_number() over (order by row_id) as line_no, worker_id, task_i
                gold_label from a),
 n as (select count(*) as n from a),
 probes as (select * from (values
-  (1, 'wz', 't2', 1, 'spaced label', null),
+  (5, 'wz', 't2', 1, 'spaced label', null),
   (6, 'wz', 't3', 0, 'blank gold', null),
   (8, 'wz', 't5', 0, 'six fields', 1)) as p(k, worker_id, task_id, worker_label, body_text, gold_label))"""
 
 
 @register("load_tsv", WITH_A + TSV_A + """
-select cast(line_no - 1 as bigint) as row_id, worker_id, task_id, worker_label, body_text, gold_label
+select cast(line_no - 1 as bigint) as row_id, worker_id, task_id,
+       cast(worker_label as int) as worker_label, body_text, cast(gold_label as int) as gold_label
 from src
 union all
-select cast((select n from n) + k + 5 - 1 as bigint), worker_id, task_id, worker_label, body_text,
-       gold_label from probes""")
+select cast((select n from n) + k as bigint), worker_id, task_id, cast(worker_label as int),
+       body_text, cast(gold_label as int) from probes""")
 def load_tsv(spark, d):
     return TSV.read_annotations(spark, _tsv_read(spark, d))
 
 
 @register("load_capped", WITH_A + TSV_A + f"""
 select * from (
-select cast(line_no - 1 as bigint) as row_id, worker_id, task_id, worker_label, body_text, gold_label
+select cast(line_no - 1 as bigint) as row_id, worker_id, task_id,
+       cast(worker_label as int) as worker_label, body_text, cast(gold_label as int) as gold_label
 from src
 union all
-select cast((select n from n) + k + 5 - 1 as bigint), worker_id, task_id, worker_label, body_text,
-       gold_label from probes) order by row_id limit {ROW_CAP}""")
+select cast((select n from n) + k as bigint), worker_id, task_id, cast(worker_label as int),
+       body_text, cast(gold_label as int) from probes) order by row_id limit {ROW_CAP}""")
 def load_capped(spark, d):
     return TSV.read_annotations(spark, _tsv_read(spark, d), max_rows=ROW_CAP)
 
