@@ -201,7 +201,11 @@ def _prepare(ann: DataFrame, domain: LabelDomain, words: DataFrame | None,
     a = ann.select("task_id", "worker_id", "row_id",
                    (F.col("worker_label") - F.lit(domain.label_min)).cast("int").alias("label"))
     a = a.where((F.col("label") >= 0) & (F.col("label") < domain.count))
-    a = cut(a)
+    # Read every round: spread it evenly (round-robin, skew-free) over as
+    # many files as the cluster has task slots, so each round's scan is
+    # fully parallel regardless of how the input was laid out.
+    slots = ann.sparkSession.sparkContext.defaultParallelism
+    a = cut(a.repartition(slots), "annotations")
     stats = a.agg(F.count(F.lit(1)).alias("n"),
                   F.countDistinct("worker_id", "label").alias("pairs")).first()
     n_rows, n_pairs = int(stats["n"]), int(stats["pairs"])
@@ -216,7 +220,8 @@ def _prepare(ann: DataFrame, domain: LabelDomain, words: DataFrame | None,
     w = None
     v = 0
     if words is not None:
-        w = cut(words.select("task_id", F.col("word_idx").cast("int").alias("word_idx")))
+        w = cut(words.select("task_id", F.col("word_idx").cast("int").alias("word_idx"))
+                .repartition(slots), "task-words")
         v = int(vocab_size) if vocab_size is not None else 0
     return _Inputs(a, w, hot, n_pairs, v)
 

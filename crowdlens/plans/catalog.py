@@ -681,18 +681,53 @@ def score_text(spark, d):
     return M.score_text(m, docs, dw, "doc_id").select("doc_id", r6("p_0"), r6("p_1"))
 
 
-@register("vb_trace")
+def _bound_sql(r: int, c: int = 2) -> str:
+    """Variational bound after round ``r`` of the fixture-A fit, in SQL."""
+    T = range(c)
+    row0 = M.DIAG_PRIOR + M.OFF_PRIOR * (c - 1)
+    ent = " + ".join(f"case when p_{t} > 0 then -p_{t} * ln(p_{t}) else 0 end" for t in T)
+    ksum = " + ".join(f"k_{t}" for t in T)
+    kap = (" + ".join(f"lgamma(k_{t})" for t in T)
+           + f" - lgamma({ksum}) - ({c} * lgamma(1.0) - lgamma({float(c)}))")
+    cells = " + ".join(
+        f"lgamma(a_{t}) - lgamma(case when label = {t} then {M.DIAG_PRIOR} else {M.OFF_PRIOR} end)"
+        for t in T)
+    rows = " + ".join(f"lgamma(s_{t}) - lgamma({row0})" for t in T)
+    wcells = " + ".join(f"lgamma(a_{t}) - lgamma(1.0)" for t in T)
+    wrows = " + ".join(f"lgamma(t_{t}) - lgamma((select count(*) from vocab))" for t in T)
+    return (f"(select sum({ent}) from q{r}) + (select {kap} from kappa{r})"
+            f" + (select sum({cells}) from pi{r}) - (select sum({rows}) from rows{r})"
+            f" + (select sum({wcells}) from phi{r}) - (select {wrows} from tot{r})")
+
+
+def _delta_sql(r: int, c: int = 2) -> str:
+    if r == 1:
+        return "cast(null as double)"
+    d = ", ".join(f"abs(x.p_{t} - y.p_{t})" for t in range(c))
+    return (f"(select max(greatest({d})) from q{r} x join q{r - 1} y "
+            f"on x.task_id = y.task_id)")
+
+
+TRACE_SQL = _vb_a(ROUNDS) + "\n" + " union all ".join(
+    f"select {r} as iteration, round({_bound_sql(r)}, 2) as elbo, "
+    f"round({_delta_sql(r)}, 6) as max_delta" for r in range(1, ROUNDS + 1))
+
+
+@register("vb_trace", TRACE_SQL)
 def vb_trace(spark, d):
-    """M16 (rows-only check): bound and largest change per round."""
+    """Bound and largest change of any task posterior, per round."""
     a, vocab, m = fit_a(spark, d)
-    return m.trace_df()
+    return m.trace_df().select(F.col("iteration").cast("int").alias("iteration"),
+                               F.round("elbo", 2).alias("elbo"), r6("max_delta"))
 
 
-@register("vb_evidence")
+@register("vb_evidence", _vb_a(ROUNDS) + f"""
+select round({_bound_sql(ROUNDS)}, 2) as log_odds,
+       round(1.0 / (1.0 + exp(-greatest(least({_bound_sql(ROUNDS)}, 700), -700))), 6) as prob""")
 def vb_evidence(spark, d):
-    """M15 (rows-only check)."""
+    """The bound of the last round as log-odds and as a probability."""
     a, vocab, m = fit_a(spark, d)
-    return m.evidence()
+    return m.evidence().select(F.round("log_odds", 2).alias("log_odds"), r6("prob"))
 
 
 # ---------------------------------------------------------------- evaluation (A)
