@@ -74,25 +74,32 @@ def vocab_terms(docs: DataFrame, key: str, stem: str = "porter2",
 class TermStats:
     """Per-corpus statistics shared by the vocabulary modes."""
 
-    terms: DataFrame      # doc_order, pos, term
+    doc_terms: DataFrame  # doc_order, term, tf, first_pos   (one row per document x term)
     counts: DataFrame     # term, n, df, first_doc, first_pos
     n_docs: int
 
 
 def term_stats(ann: DataFrame, stem: str = "porter2",
                stop_words: tuple[str, ...] = STOP_WORDS) -> TermStats:
-    """A13/A14 over the distinct texts of ``ann``."""
+    """A13/A14/A16 over the distinct texts of ``ann``.
+
+    Tokens are aggregated once per (document, term) -- term frequency and
+    first position -- and every corpus statistic derives from that much
+    smaller table, so the texts are tokenised once.
+    """
     docs = corpus(ann)
     terms = vocab_terms(docs, "doc_order", stem, stop_words)
-    counts = terms.groupBy("term").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.countDistinct("doc_order").alias("df"),
-        F.min(F.struct("doc_order", "pos")).alias("_first"))
+    doc_terms = cut(terms.groupBy("doc_order", "term").agg(
+        F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos")), "doc-terms")
+    counts = doc_terms.groupBy("term").agg(
+        F.sum("tf").alias("n"),
+        F.count(F.lit(1)).alias("df"),
+        F.min(F.struct("doc_order", "first_pos")).alias("_first"))
     counts = counts.select("term", "n", "df",
                            F.col("_first.doc_order").alias("first_doc"),
-                           F.col("_first.pos").alias("first_pos"))
+                           F.col("_first.first_pos").alias("first_pos"))
     n_docs = docs.count()
-    return TermStats(terms, counts, n_docs)
+    return TermStats(doc_terms, counts, n_docs)
 
 
 def idf(stats: TermStats) -> DataFrame:
@@ -108,7 +115,7 @@ def _small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
 
 def tfidf(stats: TermStats) -> DataFrame:
     """Sparse ``(doc_order, term, tf, tfidf)``."""
-    tf = stats.terms.groupBy("doc_order", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = stats.doc_terms.select("doc_order", "term", "tf")
     weights = idf(stats).select("term", "idf")
     return (tf.join(weights, "term")
             .select("doc_order", "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf")))
