@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdlens.operators.model import CrowdModel, predicted_class
+from crowdlens.operators.ordering import side_by_side
 
 NLPD_CAP = -math.log(0.001)  # fixed value: capped negative log probability
 ROC_STEPS = 1000             # fixed value: cut-off grid step 0.001
@@ -74,10 +75,7 @@ def metrics(pred: DataFrame, ann: DataFrame, c: int) -> DataFrame:
         F.when(F.count_if(F.col("recall").isNull()) == 0, F.avg("recall")).alias("avg_recall"),
         F.avg("recall").alias("avg_recall_present"))
     wla = worker_label_accuracy(ann)
-    # three one-row aggregates side by side (each side has exactly one row)
-    return (m.withColumn("_k", F.lit(1))
-            .join(rec.withColumn("_k", F.lit(1)), "_k")
-            .join(wla.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+    return side_by_side(m, rec, wla)
 
 
 def worker_label_accuracy(ann: DataFrame) -> DataFrame:

@@ -38,3 +38,19 @@ def dense_positions(df: DataFrame, order: list[str | Column], out: str,
     return (ranged.join(F.broadcast(offsets), "_pid")
             .withColumn(out, (F.col("_off") + F.row_number().over(within) - 1).cast("bigint"))
             .drop("_pid", "_off"))
+
+
+def side_by_side(*one_row: DataFrame) -> DataFrame:
+    """Combine one-row aggregates into one row without a join.
+
+    Each input holds exactly one row with its own columns; they are unioned
+    (missing columns NULL) and folded with ``first(ignorenulls)`` -- a
+    single-partition aggregate over as many rows as there are inputs.
+    """
+    cols: list[str] = []
+    for df in one_row:
+        cols += [c for c in df.columns if c not in cols]
+    u = one_row[0]
+    for df in one_row[1:]:
+        u = u.unionByName(df, allowMissingColumns=True)
+    return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])

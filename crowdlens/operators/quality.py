@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crowdlens.functions import text as T
+from crowdlens.operators.ordering import side_by_side
 
 DEFAULT_LABELS = (0, 1)       # fixed value: default label domain
 SINGLE_LABEL_SHARE = 0.95     # fixed value: severe imbalance threshold
@@ -22,9 +23,8 @@ def _issue(cond: Column, severity: str, rule: str, message: Column) -> Column:
                                  message.alias("message")))
 
 
-def row_issues(ann: DataFrame, labels: tuple[int, ...] | None = DEFAULT_LABELS,
-               min_text_length: int = 1) -> DataFrame:
-    """V2-V9: ``row_id, severity, rule, message`` for every broken rule."""
+def _rule_array(labels: tuple[int, ...] | None, min_text_length: int) -> Column:
+    """All row rules of one record as an array of issue structs (no NULLs)."""
     allowed = sorted(set(labels)) if labels is not None else None
     expected = ", ".join(str(x) for x in allowed) if allowed is not None else ""
     wl, gl, body = F.col("worker_label"), F.col("gold_label"), F.col("body_text")
@@ -56,7 +56,14 @@ def row_issues(ann: DataFrame, labels: tuple[int, ...] | None = DEFAULT_LABELS,
         _issue(~blank_text & (F.length(body) > F.lit(T.LONG_TEXT)), "warning", "V9",
                F.format_string("BodyText is very long (%d characters).", F.length(body))),
     ]
-    exploded = ann.select("row_id", F.explode(F.array_compact(F.array(*rules))).alias("i"))
+    return F.array_compact(F.array(*rules))
+
+
+def row_issues(ann: DataFrame, labels: tuple[int, ...] | None = DEFAULT_LABELS,
+               min_text_length: int = 1) -> DataFrame:
+    """V2-V9: ``row_id, severity, rule, message`` for every broken rule."""
+    exploded = ann.select("row_id",
+                          F.explode(_rule_array(labels, min_text_length)).alias("i"))
     return exploded.select("row_id", "i.severity", "i.rule", "i.message")
 
 
@@ -74,9 +81,7 @@ def dataset_issues(ann: DataFrame) -> DataFrame:
                  .agg(F.count(F.lit(1)).alias("n_labels"), F.max("n").alias("top"),
                       F.min_by("worker_label", F.struct(-F.col("n"), "worker_label"))
                       .alias("top_label")))
-    one = F.lit(1)
-    s = (base.withColumn("_k", one).join(per_task.withColumn("_k", one), "_k")
-         .join(per_label.withColumn("_k", one), "_k"))
+    s = side_by_side(base, per_task, per_label)
     share = F.try_divide(F.col("top").cast("double"), F.col("n_rows"))
     checks = [
         _dataset(F.col("n_rows") == 0, "error", "V1", F.lit(0.0), F.lit("No data records found.")),
@@ -112,20 +117,19 @@ def _dataset(cond: Column, severity: str, rule: str, value: Column, message: Col
 def summary(ann: DataFrame, labels: tuple[int, ...] | None = DEFAULT_LABELS,
             min_text_length: int = 1) -> DataFrame:
     """Totals, valid records (rows without an error) and the verdict."""
-    issues = row_issues(ann, labels, min_text_length)
-    per_row = issues.groupBy("row_id").agg(
-        F.count_if(F.col("severity") == "error").alias("e"),
-        F.count_if(F.col("severity") == "warning").alias("w"))
+    # per record: number of error and warning rules, in the same projection
+    rules = _rule_array(labels, min_text_length)
+    per_row = ann.select(
+        F.size(F.filter(rules, lambda i: i["severity"] == "error")).alias("e"),
+        F.size(F.filter(rules, lambda i: i["severity"] == "warning")).alias("w"))
     rows = per_row.agg(F.coalesce(F.sum("e"), F.lit(0)).alias("row_errors"),
                        F.coalesce(F.sum("w"), F.lit(0)).alias("row_warnings"),
-                       F.count_if(F.col("e") > 0).alias("error_rows"))
+                       F.count_if(F.col("e") > 0).alias("error_rows"),
+                       F.count(F.lit(1)).alias("total_records"))
     ds = dataset_issues(ann).agg(
         F.count_if(F.col("severity") == "error").alias("ds_errors"),
         F.count_if(F.col("severity") == "warning").alias("ds_warnings"))
-    total = ann.agg(F.count(F.lit(1)).alias("total_records"))
-    one = F.lit(1)
-    s = (total.withColumn("_k", one).join(rows.withColumn("_k", one), "_k")
-         .join(ds.withColumn("_k", one), "_k"))
+    s = side_by_side(rows, ds)
     n_err = (F.col("row_errors") + F.col("ds_errors")).cast("bigint")
     return s.select(
         "total_records",
