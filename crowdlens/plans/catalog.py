@@ -26,6 +26,7 @@ from crowdlens.plans import sql as S
 from crowdlens.sources import fixtures as FX
 from crowdlens.sources import tsv as TSV
 from crowdlens.session import scratch_path
+from crowdlens.streaming.scoring import score_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -675,10 +676,7 @@ from s""")
 def score_text(spark, d):
     a, vocab, m = fit_a(spark, d)
     docs = FX.table(spark, d, "documents").select("doc_id", "text")
-    toks = V.tokens(docs, "doc_id", text_col="text")
-    dw = toks.join(F.broadcast(vocab), toks["token"] == vocab["term"]).select(
-        "doc_id", "word_idx").distinct()
-    return M.score_text(m, docs, dw, "doc_id").select("doc_id", r6("p_0"), r6("p_1"))
+    return score_texts(m, vocab, docs, "doc_id").select("doc_id", r6("p_0"), r6("p_1"))
 
 
 def _bound_sql(r: int, c: int = 2) -> str:

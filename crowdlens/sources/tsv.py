@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from crowdlens.functions.text import is_blank
 from crowdlens.session import cut
 
+SPLITS_BROADCAST = 1_000_000  # largest per-split offsets table shipped to every task
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``line_no`` (1-based, across files in name order), ``value``."""
@@ -33,7 +35,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     order = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("_file", "_block", "_first",
                             F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_off"))
-    return (raw.join(F.broadcast(offsets), ["_file", "_block"])
+    # one row per file split: broadcast while that count is modest
+    n_splits = splits.count()
+    side = F.broadcast(offsets) if n_splits <= SPLITS_BROADCAST else offsets
+    return (raw.join(side, ["_file", "_block"])
             .select((F.col("_off") + F.col("_mid") - F.col("_first") + 1).alias("line_no"),
                     "value"))
 
