@@ -30,6 +30,7 @@ round deep and a lost executor only re-runs the current round.
 from __future__ import annotations
 
 import math
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -84,6 +85,7 @@ class CrowdModel:
     word_totals: list[float] | None
     prior: list[list[float]]
     trace: list[tuple[int, float | None, float | None]] = field(default_factory=list)
+    round_seconds: list[float] = field(default_factory=list)
 
     @property
     def classes(self) -> int:
@@ -273,7 +275,9 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
 
     q_prev = None
     history: list[tuple[int, float | None, float | None]] = []
+    seconds: list[float] = []
     for it in range(1, iterations + 1):
+        started = time.time()
         # ---------------- E-step: one grouped sum by task ----------------
         if clamp_q is not None:
             q = clamp_q
@@ -333,6 +337,7 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
                                       - math.lgamma(WORD_PRIOR * inp.vocab_size)
                                       for t in range(c))
         history.append((it, elbo, delta))
+        seconds.append(time.time() - started)
         q_prev = q
         if clamp_q is not None:
             break  # nothing changes between rounds when every class is fixed
@@ -340,7 +345,7 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
             break
 
     return CrowdModel(domain, q, worker_alpha, worker_rows(worker_alpha, prior, c), kappa,
-                      word_alpha, inp.vocab_size, word_totals, prior, history)
+                      word_alpha, inp.vocab_size, word_totals, prior, history, seconds)
 
 
 def worker_rows(worker_alpha: DataFrame, prior: list[list[float]], c: int) -> DataFrame:
