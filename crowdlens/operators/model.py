@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from crowdlens.functions.special import digamma, lgamma
 from crowdlens.operators.mapping import LabelDomain, label_domain
-from crowdlens.session import cut
+from crowdlens.session import cut, scratch_path
 
 DIAG_PRIOR = 5.5   # fixed value: prior pseudo-count for a correct label
 OFF_PRIOR = 1.0    # fixed value: prior pseudo-count for a wrong label
@@ -191,23 +192,32 @@ def _softmax(scores: DataFrame, c: int) -> DataFrame:
 
 @dataclass
 class _Inputs:
-    ann: DataFrame          # task_id, worker_id, label, row_id, salt
+    ann: DataFrame          # task_id, worker_id, label, salt
     words: DataFrame | None  # task_id, word_idx
     hot: list[str]
     n_pairs: int
     vocab_size: int
+    buckets: int | None     # bucket count when annotations are co-located with q
+
+
+def _bucketed(df: DataFrame, keys: list[str], buckets: int, name: str) -> DataFrame:
+    """Write ``df`` as an external table bucketed by ``keys`` under the shared
+    checkpoint folder and read it back.  Two tables bucketed the same way
+    join and group on their keys without any exchange."""
+    spark = df.sparkSession
+    table = f"crowdlens_{name}_{uuid.uuid4().hex[:12]}"
+    (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys)
+       .option("path", scratch_path(spark, table)).saveAsTable(table))
+    return spark.table(table)
 
 
 def _prepare(ann: DataFrame, domain: LabelDomain, words: DataFrame | None,
-             vocab_size: int | None, hot_share: float, salts: int) -> _Inputs:
+             vocab_size: int | None, hot_share: float, salts: int,
+             buckets: int | None) -> _Inputs:
     a = ann.select("task_id", "worker_id", "row_id",
                    (F.col("worker_label") - F.lit(domain.label_min)).cast("int").alias("label"))
     a = a.where((F.col("label") >= 0) & (F.col("label") < domain.count))
-    # Read every round: spread it evenly (round-robin, skew-free) over as
-    # many files as the cluster has task slots, so each round's scan is
-    # fully parallel regardless of how the input was laid out.
-    slots = ann.sparkSession.sparkContext.defaultParallelism
-    a = cut(a.repartition(slots), "annotations")
+    a = cut(a, "annotations")
     stats = a.agg(F.count(F.lit(1)).alias("n"),
                   F.countDistinct("worker_id", "label").alias("pairs")).first()
     n_rows, n_pairs = int(stats["n"]), int(stats["pairs"])
@@ -218,14 +228,23 @@ def _prepare(ann: DataFrame, domain: LabelDomain, words: DataFrame | None,
            .where(F.col("n") > threshold).select("task_id").collect()]
     salt = (F.when(F.col("task_id").isin(hot), F.pmod(F.col("row_id"), F.lit(salts)))
             .otherwise(F.lit(0)) if hot else F.lit(0))
-    a = a.withColumn("salt", salt.cast("int"))
+    a = a.select("task_id", "worker_id", "label", salt.cast("int").alias("salt"))
+    spark = ann.sparkSession
+    if buckets is not None:
+        try:
+            a = _bucketed(a, ["task_id", "salt"], buckets, "annotations")
+        except Exception:  # noqa: BLE001 -- no writable catalog: plain layout
+            buckets = None
+    if buckets is None:
+        # spread evenly over the task slots so every round's scan is parallel
+        a = cut(a.repartition(spark.sparkContext.defaultParallelism), "annotations")
     w = None
     v = 0
     if words is not None:
         w = cut(words.select("task_id", F.col("word_idx").cast("int").alias("word_idx"))
-                .repartition(slots), "task-words")
+                .repartition(spark.sparkContext.defaultParallelism), "task-words")
         v = int(vocab_size) if vocab_size is not None else 0
-    return _Inputs(a, w, hot, n_pairs, v)
+    return _Inputs(a, w, hot, n_pairs, v, buckets)
 
 
 def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None = None,
@@ -233,7 +252,7 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
         worker_prior: str = "biased", belief: float = 0.7, tol: float | None = None,
         trace: bool = True, clamp: DataFrame | None = None,
         broadcast_rows: int = 2_000_000, hot_share: float = 0.01,
-        salts: int = 32) -> CrowdModel:
+        salts: int = 32, co_locate: bool = True, buckets: int | None = None) -> CrowdModel:
     """M1/M5: fit the model for ``iterations`` rounds (or until the largest
     change of any task posterior is below ``tol``).
 
@@ -241,6 +260,12 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
     labels-only model (M10).  ``clamp``: ``(task_id, label)`` fixes the true
     class of those tasks (M8).  Returns the posterior tables.
 
+    ``co_locate``: store the annotations bucketed by (task, salt) once and
+    write q bucketed the same way every round, so neither the E-step sum
+    nor the annotation-q join moves the annotations (only task-sized data
+    is shuffled per round).  ``buckets`` defaults to the session's shuffle
+    partitions.
+
     Jobs per round: write q, write the (worker, label) table, write the
     word table, one aggregate over q (class totals + entropy), one over the
     word table; with ``trace`` one more over workers (bound) and one for
@@ -249,7 +274,12 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
     domain = domain or label_domain(ann)
     c = domain.count
     prior = confusion_prior(c, worker_prior, belief)
-    inp = _prepare(ann, domain, words, vocab_size, hot_share, salts)
+    spark = ann.sparkSession
+    if co_locate and buckets is None:
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
+                      spark.sparkContext.defaultParallelism)
+    inp = _prepare(ann, domain, words, vocab_size, hot_share, salts,
+                   buckets if co_locate else None)
     bc_pairs = inp.n_pairs <= broadcast_rows
     bc_words = inp.vocab_size <= broadcast_rows
     row0 = [sum(prior[t]) for t in range(c)]
@@ -284,8 +314,12 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
         else:
             epi = _elog_pi(worker_alpha, worker_rows(worker_alpha, prior, c), c)
             epi = F.broadcast(epi) if bc_pairs else epi
-            scores = inp.ann.join(epi, ["worker_id", "label"]).select(
-                "task_id", *p_cols(c, "e_"))
+            scores = inp.ann.join(epi, ["worker_id", "label"])
+            if inp.buckets is not None:
+                # per (task, salt) first: on the bucketed layout no exchange
+                scores = scores.groupBy("task_id", "salt").agg(
+                    *[F.sum(f"e_{t}").alias(f"e_{t}") for t in range(c)])
+            scores = scores.select("task_id", *p_cols(c, "e_"))
             if inp.words is not None:
                 ephi = _elog_phi(word_alpha, word_totals, c)
                 ephi = F.broadcast(ephi) if bc_words else ephi
@@ -294,14 +328,20 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
             ek = _elog_kappa(kappa)
             summed = scores.groupBy("task_id").agg(*[
                 (F.sum(f"e_{t}") + F.lit(ek[t])).alias(f"e_{t}") for t in range(c)])
-            q = cut(_softmax(summed, c), "q")
+            q_new = _softmax(summed, c)
+            if inp.buckets is not None:
+                q_tbl = _bucketed(_salted(q_new, inp.hot, salts), ["task_id", "salt"],
+                                  inp.buckets, "q")
+                q = q_tbl.where(F.col("salt") == 0).drop("salt")
+            else:
+                q = cut(q_new, "q")
 
         # ---------------- M-step: grouped sums of q ----------------
-        if inp.hot:
-            q_salted = q.withColumn("salt", F.explode(
-                F.when(F.col("task_id").isin(inp.hot),
-                       F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-            aq = inp.ann.join(q_salted, ["task_id", "salt"])
+        if clamp_q is None and inp.buckets is not None:
+            # both sides bucketed by (task, salt): hash join without exchange
+            aq = inp.ann.join(q_tbl.hint("shuffle_hash"), ["task_id", "salt"])
+        elif inp.hot:
+            aq = inp.ann.join(_salted(q, inp.hot, salts), ["task_id", "salt"])
         else:
             aq = inp.ann.join(q, "task_id")
         worker_alpha = cut(aq.groupBy("worker_id", "label").agg(*[
@@ -348,6 +388,15 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
                       word_alpha, inp.vocab_size, word_totals, prior, history, seconds)
 
 
+def _salted(q: DataFrame, hot: list[str], salts: int) -> DataFrame:
+    """q with a ``salt`` column: hot tasks repeated for every salt, others salt 0."""
+    if not hot:
+        return q.withColumn("salt", F.lit(0))
+    return q.withColumn("salt", F.explode(
+        F.when(F.col("task_id").isin(hot), F.sequence(F.lit(0), F.lit(salts - 1)))
+        .otherwise(F.array(F.lit(0)))))
+
+
 def worker_rows(worker_alpha: DataFrame, prior: list[list[float]], c: int) -> DataFrame:
     """Row sums over labels of each worker's matrix: the prior row total
     plus the counts of the observed labels (unobserved cells hold the prior)."""
