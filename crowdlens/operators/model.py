@@ -200,7 +200,8 @@ class _Inputs:
     buckets: int | None     # bucket count when annotations are co-located with q
 
 
-def _bucketed(df: DataFrame, keys: list[str], buckets: int, name: str) -> DataFrame:
+def _bucketed(df: DataFrame, keys: list[str], buckets: int, name: str,
+              tables: list[str] | None = None) -> DataFrame:
     """Write ``df`` as an external table bucketed by ``keys`` under the shared
     checkpoint folder and read it back.  Two tables bucketed the same way
     join and group on their keys without any exchange."""
@@ -208,6 +209,8 @@ def _bucketed(df: DataFrame, keys: list[str], buckets: int, name: str) -> DataFr
     table = f"crowdlens_{name}_{uuid.uuid4().hex[:12]}"
     (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys)
        .option("path", scratch_path(spark, table)).saveAsTable(table))
+    if tables is not None:
+        tables.append(table)
     return spark.table(table)
 
 
@@ -306,8 +309,11 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
     q_prev = None
     history: list[tuple[int, float | None, float | None]] = []
     seconds: list[float] = []
+    q_tables: list[str] = []
     for it in range(1, iterations + 1):
         started = time.time()
+        if len(q_tables) >= 2:
+            _drop_table(spark, q_tables.pop(0))  # two rounds old: no longer read
         # ---------------- E-step: one grouped sum by task ----------------
         if clamp_q is not None:
             q = clamp_q
@@ -331,7 +337,7 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
             q_new = _softmax(summed, c)
             if inp.buckets is not None:
                 q_tbl = _bucketed(_salted(q_new, inp.hot, salts), ["task_id", "salt"],
-                                  inp.buckets, "q")
+                                  inp.buckets, "q", q_tables)
                 q = q_tbl.where(F.col("salt") == 0).drop("salt")
             else:
                 q = cut(q_new, "q")
@@ -388,6 +394,12 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
                       word_alpha, inp.vocab_size, word_totals, prior, history, seconds)
 
 
+def _drop_table(spark, name: str) -> None:
+    """Forget a superseded per-round table in the catalog (its files stay
+    in the checkpoint folder, which the cluster cleans)."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def _salted(q: DataFrame, hot: list[str], salts: int) -> DataFrame:
     """q with a ``salt`` column: hot tasks repeated for every salt, others salt 0."""
     if not hot:
