@@ -214,15 +214,20 @@ def _bucketed(df: DataFrame, keys: list[str], buckets: int, name: str,
     return spark.table(table)
 
 
-def _prepare(ann: DataFrame, domain: LabelDomain, words: DataFrame | None,
+def _prepare(ann: DataFrame, domain: LabelDomain | None, words: DataFrame | None,
              vocab_size: int | None, hot_share: float, salts: int,
-             buckets: int | None) -> _Inputs:
-    a = ann.select("task_id", "worker_id", "row_id",
+             buckets: int | None) -> tuple[_Inputs, LabelDomain]:
+    raw = cut(ann.select("task_id", "worker_id", "row_id", "worker_label"), "annotations")
+    stats = raw.agg(F.count(F.lit(1)).alias("n"),
+                    F.countDistinct("worker_id", "worker_label").alias("pairs"),
+                    F.min("worker_label").alias("lo"), F.max("worker_label").alias("hi")).first()
+    if domain is None:
+        if stats["lo"] is None:
+            raise ValueError("no annotations: the label domain is undefined")
+        domain = LabelDomain(int(stats["lo"]), int(stats["hi"]))
+    a = raw.select("task_id", "worker_id", "row_id",
                    (F.col("worker_label") - F.lit(domain.label_min)).cast("int").alias("label"))
     a = a.where((F.col("label") >= 0) & (F.col("label") < domain.count))
-    a = cut(a, "annotations")
-    stats = a.agg(F.count(F.lit(1)).alias("n"),
-                  F.countDistinct("worker_id", "label").alias("pairs")).first()
     n_rows, n_pairs = int(stats["n"]), int(stats["pairs"])
     # Hot tasks: more than ``hot_share`` of all annotations.  At most
     # 1/hot_share of them exist, so the list is bounded by construction.
@@ -247,7 +252,7 @@ def _prepare(ann: DataFrame, domain: LabelDomain, words: DataFrame | None,
         w = cut(words.select("task_id", F.col("word_idx").cast("int").alias("word_idx"))
                 .repartition(spark.sparkContext.defaultParallelism), "task-words")
         v = int(vocab_size) if vocab_size is not None else 0
-    return _Inputs(a, w, hot, n_pairs, v, buckets)
+    return _Inputs(a, w, hot, n_pairs, v, buckets), domain
 
 
 def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None = None,
@@ -274,15 +279,14 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
     word table; with ``trace`` one more over workers (bound) and one for
     the largest change of q.
     """
-    domain = domain or label_domain(ann)
-    c = domain.count
-    prior = confusion_prior(c, worker_prior, belief)
     spark = ann.sparkSession
     if co_locate and buckets is None:
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
                       spark.sparkContext.defaultParallelism)
-    inp = _prepare(ann, domain, words, vocab_size, hot_share, salts,
-                   buckets if co_locate else None)
+    inp, domain = _prepare(ann, domain, words, vocab_size, hot_share, salts,
+                           buckets if co_locate else None)
+    c = domain.count
+    prior = confusion_prior(c, worker_prior, belief)
     bc_pairs = inp.n_pairs <= broadcast_rows
     bc_words = inp.vocab_size <= broadcast_rows
     row0 = [sum(prior[t]) for t in range(c)]

@@ -67,21 +67,26 @@ def row_issues(ann: DataFrame, labels: tuple[int, ...] | None = DEFAULT_LABELS,
     return exploded.select("row_id", "i.severity", "i.rule", "i.message")
 
 
-def dataset_issues(ann: DataFrame) -> DataFrame:
-    """V1, V11-V15 (and A3, A5): ``severity, rule, value, message`` rows."""
+def _dataset_aggregates(ann: DataFrame, extra: list | None = None) -> DataFrame:
+    """One row: row count, distinct valid workers / tasks (plus ``extra``
+    aggregates in the same pass), single-annotation tasks, label spread."""
     ok_worker = ~T.is_blank(F.col("worker_id"))
     ok_task = ~T.is_blank(F.col("task_id"))
     base = ann.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.countDistinct(F.when(ok_worker, F.col("worker_id"))).alias("n_workers"),
-        F.countDistinct(F.when(ok_task, F.col("task_id"))).alias("n_tasks"))
+        F.countDistinct(F.when(ok_task, F.col("task_id"))).alias("n_tasks"),
+        *(extra or []))
     per_task = (ann.where(ok_task).groupBy("task_id").agg(F.count(F.lit(1)).alias("n"))
                 .agg(F.count_if(F.col("n") == 1).alias("single_tasks")))
     per_label = (ann.groupBy("worker_label").agg(F.count(F.lit(1)).alias("n"))
                  .agg(F.count(F.lit(1)).alias("n_labels"), F.max("n").alias("top"),
                       F.min_by("worker_label", F.struct(-F.col("n"), "worker_label"))
                       .alias("top_label")))
-    s = side_by_side(base, per_task, per_label)
+    return side_by_side(base, per_task, per_label)
+
+
+def _dataset_checks(s: DataFrame) -> DataFrame:
     share = F.try_divide(F.col("top").cast("double"), F.col("n_rows"))
     checks = [
         _dataset(F.col("n_rows") == 0, "error", "V1", F.lit(0.0), F.lit("No data records found.")),
@@ -108,6 +113,11 @@ def dataset_issues(ann: DataFrame) -> DataFrame:
     return ex.select("i.severity", "i.rule", "i.value", "i.message")
 
 
+def dataset_issues(ann: DataFrame) -> DataFrame:
+    """V1, V11-V15 (and A3, A5): ``severity, rule, value, message`` rows."""
+    return _dataset_checks(_dataset_aggregates(ann))
+
+
 def _dataset(cond: Column, severity: str, rule: str, value: Column, message: Column) -> Column:
     return F.when(cond, F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"),
                                  value.cast("double").alias("value"),
@@ -117,23 +127,23 @@ def _dataset(cond: Column, severity: str, rule: str, value: Column, message: Col
 def summary(ann: DataFrame, labels: tuple[int, ...] | None = DEFAULT_LABELS,
             min_text_length: int = 1) -> DataFrame:
     """Totals, valid records (rows without an error) and the verdict."""
-    # per record: number of error and warning rules, in the same projection
+    # per record: number of error and warning rules, folded into the same
+    # aggregate pass as the dataset counts
     rules = _rule_array(labels, min_text_length)
-    per_row = ann.select(
-        F.size(F.filter(rules, lambda i: i["severity"] == "error")).alias("e"),
-        F.size(F.filter(rules, lambda i: i["severity"] == "warning")).alias("w"))
-    rows = per_row.agg(F.coalesce(F.sum("e"), F.lit(0)).alias("row_errors"),
-                       F.coalesce(F.sum("w"), F.lit(0)).alias("row_warnings"),
-                       F.count_if(F.col("e") > 0).alias("error_rows"),
-                       F.count(F.lit(1)).alias("total_records"))
-    ds = dataset_issues(ann).agg(
+    e = F.size(F.filter(rules, lambda i: i["severity"] == "error"))
+    w = F.size(F.filter(rules, lambda i: i["severity"] == "warning"))
+    agg = _dataset_aggregates(ann, [
+        F.coalesce(F.sum(e), F.lit(0)).alias("row_errors"),
+        F.coalesce(F.sum(w), F.lit(0)).alias("row_warnings"),
+        F.count_if(e > 0).alias("error_rows")])
+    ds = _dataset_checks(agg).agg(
         F.count_if(F.col("severity") == "error").alias("ds_errors"),
         F.count_if(F.col("severity") == "warning").alias("ds_warnings"))
-    s = side_by_side(rows, ds)
+    s = side_by_side(agg.select("n_rows", "row_errors", "row_warnings", "error_rows"), ds)
     n_err = (F.col("row_errors") + F.col("ds_errors")).cast("bigint")
     return s.select(
-        "total_records",
-        (F.col("total_records") - F.col("error_rows")).cast("bigint").alias("valid_records"),
+        F.col("n_rows").cast("bigint").alias("total_records"),
+        (F.col("n_rows") - F.col("error_rows")).cast("bigint").alias("valid_records"),
         n_err.alias("n_errors"),
         (F.col("row_warnings") + F.col("ds_warnings")).cast("bigint").alias("n_warnings"),
         (n_err == 0).alias("is_valid"))

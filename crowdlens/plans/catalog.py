@@ -469,7 +469,8 @@ def fit_a(spark, d, rounds=ROUNDS):
 def fit_b(spark, d, rounds=ROUNDS, worker_prior="biased"):
     def build():
         b = B(spark, d)
-        return b, M.fit(b, None, iterations=rounds, worker_prior=worker_prior, belief=BELIEF)
+        return b, M.fit(b, None, iterations=rounds, worker_prior=worker_prior, belief=BELIEF,
+                        trace=False)
     return _memo(spark, ("b", d, rounds, worker_prior), build)
 
 
