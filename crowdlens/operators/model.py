@@ -249,8 +249,13 @@ def _prepare(ann: DataFrame, domain: LabelDomain | None, words: DataFrame | None
     w = None
     v = 0
     if words is not None:
-        w = cut(words.select("task_id", F.col("word_idx").cast("int").alias("word_idx"))
-                .repartition(spark.sparkContext.defaultParallelism), "task-words")
+        w = words.select("task_id", F.col("word_idx").cast("int").alias("word_idx"))
+        if buckets is not None:
+            # same buckets as q (salt 0 meets q's salt-0 row exactly once)
+            w = _bucketed(w.withColumn("salt", F.lit(0)), ["task_id", "salt"], buckets,
+                          "task_words")
+        else:
+            w = cut(w.repartition(spark.sparkContext.defaultParallelism), "task-words")
         v = int(vocab_size) if vocab_size is not None else 0
     return _Inputs(a, w, hot, n_pairs, v, buckets), domain
 
@@ -333,8 +338,11 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
             if inp.words is not None:
                 ephi = _elog_phi(word_alpha, word_totals, c)
                 ephi = F.broadcast(ephi) if bc_words else ephi
-                scores = scores.unionByName(
-                    inp.words.join(ephi, "word_idx").select("task_id", *p_cols(c, "e_")))
+                ws = inp.words.join(ephi, "word_idx")
+                if inp.buckets is not None:
+                    ws = ws.groupBy("task_id", "salt").agg(
+                        *[F.sum(f"e_{t}").alias(f"e_{t}") for t in range(c)])
+                scores = scores.unionByName(ws.select("task_id", *p_cols(c, "e_")))
             ek = _elog_kappa(kappa)
             summed = scores.groupBy("task_id").agg(*[
                 (F.sum(f"e_{t}") + F.lit(ek[t])).alias(f"e_{t}") for t in range(c)])
@@ -365,7 +373,10 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
         entropy = float(totals["entropy"] or 0.0)
         w_cells = 0.0
         if inp.words is not None:
-            wq = inp.words.join(q, "task_id")
+            if clamp_q is None and inp.buckets is not None:
+                wq = inp.words.join(q_tbl.hint("shuffle_hash"), ["task_id", "salt"])
+            else:
+                wq = inp.words.join(q, "task_id")
             word_alpha = cut(wq.groupBy("word_idx").agg(*[
                 (F.sum(f"p_{t}") + F.lit(WORD_PRIOR)).alias(f"a_{t}") for t in range(c)]),
                 "word-alpha")
