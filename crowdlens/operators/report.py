@@ -82,6 +82,14 @@ def discriminative_words(model: CrowdModel, vocab: DataFrame) -> DataFrame:
     return lp.select("true_class", "word_idx", "term", (F.col("p") / total).alias("score"))
 
 
+def formatted(df: DataFrame, decimals: dict[str, int]) -> DataFrame:
+    """F16: fixed-decimal text for display columns (e.g. 4 for matrix cells,
+    3 for word log probabilities)."""
+    return df.select(*[
+        F.format_string(f"%.{decimals[c]}f", F.col(c)).alias(c) if c in decimals else F.col(c)
+        for c in df.columns])
+
+
 def write(df: DataFrame, path: str, fmt: str = "parquet", order: list | None = None,
           mode: str = "overwrite") -> None:
     """IO10-IO13 sinks: optional global order, then any Spark writer."""
