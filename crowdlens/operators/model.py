@@ -15,16 +15,21 @@ round:
 with E ln of a Dirichlet component = digamma(a_i) - digamma(sum a).
 
 Spark shape per round: the E-step is a join of the annotations with the
-(worker, label) table and of task words with the word table, then *one*
-grouped sum by task; the M-step is the annotations joined with q and
-grouped sums by (worker, label) and by word.  Classes are C columns, so the
-joins stay one row per annotation.  The (worker, label) and word tables
-are broadcast only when their row counts (known at fit start) are under
-``broadcast_rows``; otherwise they are shuffle-joined.  Tasks holding a
-large share of all annotations are salted for the annotation-q join (the
-hot-task list is bounded by construction).  q and the parameter tables are
-written to the reliable checkpoint folder each round, so lineage stays one
-round deep and a lost executor only re-runs the current round.
+(worker, label) table and of task words with the word table, then grouped
+sums by task; the M-step is the annotations joined with q and grouped sums
+by (worker, label) and by word.  Classes are C columns, so the joins stay
+one row per annotation.  The (worker, label) and word tables are broadcast
+only when their row counts (known at fit start) are under
+``broadcast_rows``; otherwise they are shuffle-joined.
+
+Layout: the annotations and task words are written once as tables bucketed
+by (task, salt), and q is written bucketed the same way every round, so the
+E-step sums per (task, salt) and the M-step joins without moving the
+annotations; only task-sized and (worker, label)-sized data is shuffled per
+round.  Tasks holding a large share of all annotations get several salts
+(the hot-task list is bounded by construction).  Every round's tables live
+in the shared checkpoint folder, so lineage stays one round deep and a lost
+executor only re-runs the current round.
 """
 
 from __future__ import annotations
@@ -34,11 +39,11 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crowdlens.functions.special import digamma, lgamma
-from crowdlens.operators.mapping import LabelDomain, label_domain
+from crowdlens.operators.mapping import LabelDomain
 from crowdlens.session import cut, scratch_path
 
 DIAG_PRIOR = 5.5   # fixed value: prior pseudo-count for a correct label
