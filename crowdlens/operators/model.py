@@ -203,6 +203,7 @@ class _Inputs:
     n_pairs: int
     vocab_size: int
     buckets: int | None     # bucket count when annotations are co-located with q
+    hot_workers: list[str]  # workers salted in a non-broadcast E-step join
 
 
 def _bucketed(df: DataFrame, keys: list[str], buckets: int, name: str,
@@ -221,7 +222,7 @@ def _bucketed(df: DataFrame, keys: list[str], buckets: int, name: str,
 
 def _prepare(ann: DataFrame, domain: LabelDomain | None, words: DataFrame | None,
              vocab_size: int | None, hot_share: float, salts: int,
-             buckets: int | None) -> tuple[_Inputs, LabelDomain]:
+             buckets: int | None, broadcast_rows: int) -> tuple[_Inputs, LabelDomain]:
     raw = cut(ann.select("task_id", "worker_id", "row_id", "worker_label"), "annotations")
     stats = raw.agg(F.count(F.lit(1)).alias("n"),
                     F.countDistinct("worker_id", "worker_label").alias("pairs"),
@@ -239,6 +240,12 @@ def _prepare(ann: DataFrame, domain: LabelDomain | None, words: DataFrame | None
     threshold = max(1, int(n_rows * hot_share))
     hot = [r["task_id"] for r in a.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"))
            .where(F.col("n") > threshold).select("task_id").collect()]
+    hot_workers: list[str] = []
+    if n_pairs > broadcast_rows:
+        # the worker table will be shuffle-joined: find workers to salt
+        hot_workers = [r["worker_id"] for r in a.groupBy("worker_id")
+                       .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > threshold)
+                       .select("worker_id").collect()]
     salt = (F.when(F.col("task_id").isin(hot), F.pmod(F.col("row_id"), F.lit(salts)))
             .otherwise(F.lit(0)) if hot else F.lit(0))
     a = a.select("task_id", "worker_id", "label", salt.cast("int").alias("salt"))
@@ -262,7 +269,7 @@ def _prepare(ann: DataFrame, domain: LabelDomain | None, words: DataFrame | None
         else:
             w = cut(w.repartition(spark.sparkContext.defaultParallelism), "task-words")
         v = int(vocab_size) if vocab_size is not None else 0
-    return _Inputs(a, w, hot, n_pairs, v, buckets), domain
+    return _Inputs(a, w, hot, n_pairs, v, buckets, hot_workers), domain
 
 
 def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None = None,
@@ -294,7 +301,7 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
                       spark.sparkContext.defaultParallelism)
     inp, domain = _prepare(ann, domain, words, vocab_size, hot_share, salts,
-                           buckets if co_locate else None)
+                           buckets if co_locate else None, broadcast_rows)
     c = domain.count
     prior = confusion_prior(c, worker_prior, belief)
     bc_pairs = inp.n_pairs <= broadcast_rows
@@ -333,8 +340,22 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
             q = clamp_q
         else:
             epi = _elog_pi(worker_alpha, worker_rows(worker_alpha, prior, c), c)
-            epi = F.broadcast(epi) if bc_pairs else epi
-            scores = inp.ann.join(epi, ["worker_id", "label"])
+            if bc_pairs:
+                scores = inp.ann.join(F.broadcast(epi), ["worker_id", "label"])
+            elif inp.hot_workers:
+                # shuffle join: spread each hot worker's annotations over
+                # ``salts`` keys and repeat its table rows for every salt
+                hw = inp.hot_workers
+                wsalt = F.when(F.col("worker_id").isin(hw),
+                               F.pmod(F.xxhash64("task_id", "salt"), F.lit(salts))) \
+                    .otherwise(F.lit(0)).cast("int")
+                epi_s = epi.withColumn("wsalt", F.explode(
+                    F.when(F.col("worker_id").isin(hw), F.sequence(F.lit(0), F.lit(salts - 1)))
+                    .otherwise(F.array(F.lit(0)))))
+                scores = inp.ann.withColumn("wsalt", wsalt).join(
+                    epi_s, ["worker_id", "label", "wsalt"])
+            else:
+                scores = inp.ann.join(epi, ["worker_id", "label"])
             if inp.buckets is not None:
                 # per (task, salt) first: on the bucketed layout no exchange
                 scores = scores.groupBy("task_id", "salt").agg(

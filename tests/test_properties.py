@@ -101,3 +101,15 @@ def test_fit_matches_numpy(spark, seed, hot):
     assert set(got) == set(want)
     for t in want:
         assert got[t] == pytest.approx(list(want[t]), abs=1e-9)
+
+
+def test_fit_shuffle_join_with_hot_worker(spark):
+    # one worker gives a third of all labels; force the non-broadcast path
+    rows = _random_rows(21, n=150)
+    rows = [("whot",) + r[1:] if i % 3 == 0 else r for i, r in enumerate(rows)]
+    ann = make_ann(spark, rows)
+    m = M.fit(ann, None, iterations=3, trace=False, broadcast_rows=0, hot_share=0.2, salts=4)
+    got = {r.task_id: [r.p_0, r.p_1, r.p_2] for r in m.q.collect()}
+    want = _numpy_fit(rows, 3, 3)
+    for t in want:
+        assert got[t] == pytest.approx(list(want[t]), abs=1e-9)
