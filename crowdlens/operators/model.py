@@ -206,6 +206,17 @@ class _Inputs:
     hot_workers: list[str]  # workers salted in a non-broadcast E-step join
 
 
+ROWS_PER_BUCKET = 50_000
+
+
+def _bucket_count(spark, n_rows: int) -> int:
+    """Buckets for the co-located layout: about one per ``ROWS_PER_BUCKET``
+    annotations, at least the task slots, at most the shuffle partitions."""
+    slots = spark.sparkContext.defaultParallelism
+    most = max(slots, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    return max(slots, min(most, n_rows // ROWS_PER_BUCKET + 1))
+
+
 def _bucketed(df: DataFrame, keys: list[str], buckets: int, name: str,
               tables: list[str] | None = None) -> DataFrame:
     """Write ``df`` as an external table bucketed by ``keys`` under the shared
@@ -250,6 +261,8 @@ def _prepare(ann: DataFrame, domain: LabelDomain | None, words: DataFrame | None
             .otherwise(F.lit(0)) if hot else F.lit(0))
     a = a.select("task_id", "worker_id", "label", salt.cast("int").alias("salt"))
     spark = ann.sparkSession
+    if buckets == 0:
+        buckets = _bucket_count(spark, n_rows)
     if buckets is not None:
         try:
             a = _bucketed(a, ["task_id", "salt"], buckets, "annotations")
@@ -288,8 +301,8 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
     ``co_locate``: store the annotations bucketed by (task, salt) once and
     write q bucketed the same way every round, so neither the E-step sum
     nor the annotation-q join moves the annotations (only task-sized data
-    is shuffled per round).  ``buckets`` defaults to the session's shuffle
-    partitions.
+    is shuffled per round).  ``buckets`` defaults to one per 50,000
+    annotations, between the task slots and the shuffle partitions.
 
     Jobs per round: write q, write the (worker, label) table, write the
     word table, one aggregate over q (class totals + entropy), one over the
@@ -297,11 +310,8 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
     the largest change of q.
     """
     spark = ann.sparkSession
-    if co_locate and buckets is None:
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
-                      spark.sparkContext.defaultParallelism)
     inp, domain = _prepare(ann, domain, words, vocab_size, hot_share, salts,
-                           buckets if co_locate else None, broadcast_rows)
+                           (buckets or 0) if co_locate else None, broadcast_rows)
     c = domain.count
     prior = confusion_prior(c, worker_prior, belief)
     bc_pairs = inp.n_pairs <= broadcast_rows
