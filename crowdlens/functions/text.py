@@ -35,6 +35,8 @@ def _char_class(chars: str) -> str:
 
 
 SPLIT_PATTERN = _char_class(DELIMITERS)
+# every character that is neither kept by F9 nor a delimiter of F8
+DROPPED = "[^a-zA-Z0-9" + SPLIT_PATTERN[1:]
 
 
 def clean(text: Column) -> Column:
@@ -59,6 +61,13 @@ def strip_token(part: Column) -> Column:
     return F.regexp_replace(part, NON_ALNUM, "")
 
 
+def token_parts(cleaned: Column) -> Column:
+    """F8 + F9 in one pass over the text: characters that F9 would strip and
+    that are not delimiters are removed before the split, which leaves every
+    part (and its position) exactly as splitting then stripping would."""
+    return F.split(F.regexp_replace(cleaned, DROPPED, ""), SPLIT_PATTERN, -1)
+
+
 def is_blank(c: Column) -> Column:
     """NULL, empty or white space only."""
     return c.isNull() | c.rlike(r"(?U)^\s*$")

@@ -52,10 +52,9 @@ def cleaned(docs: DataFrame, text_col: str = "body_text") -> DataFrame:
 def tokens(docs: DataFrame, key: str, text_col: str = "body_text",
            keep_empty: bool = False) -> DataFrame:
     """``(key, pos, token)``; ``pos`` indexes the split parts."""
-    parts = docs.select(key, F.posexplode(T.split_parts(T.clean(F.col(text_col))))
-                        .alias("pos", "part"))
-    out = parts.select(key, F.col("pos").cast("int").alias("pos"),
-                       T.strip_token(F.col("part")).alias("token"))
+    parts = docs.select(key, F.posexplode(T.token_parts(T.clean(F.col(text_col))))
+                        .alias("pos", "token"))
+    out = parts.select(key, F.col("pos").cast("int").alias("pos"), "token")
     return out if keep_empty else out.where(F.length("token") > 0)
 
 

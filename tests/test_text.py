@@ -46,3 +46,16 @@ def test_text_checks(spark):
     assert rows[0].is_blank and not rows[1].is_blank
     assert rows[1].has_letters is False and rows[1].clean_length == 0
     assert rows[2].is_long
+
+
+def test_one_pass_tokens_equal_split_then_strip(spark):
+    import random
+    rnd = random.Random(7)
+    alphabet = list("abcXYZ019 \t\n\r") + list(T.DELIMITERS) + ["é", "ß", "漢", " ", "😀", "|", "~", "^"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(0, 60))) for _ in range(500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    one = df.select("id", T.token_parts(F.col("t")).alias("a"))
+    two = df.select("id", F.transform(T.split_parts(F.col("t")), T.strip_token).alias("b"))
+    rows = one.join(two, "id").collect()
+    assert len(rows) == 500
+    assert all(r.a == r.b for r in rows)
