@@ -86,29 +86,34 @@ def _dataset_aggregates(ann: DataFrame, extra: list | None = None) -> DataFrame:
     return side_by_side(base, per_task, per_label)
 
 
-def _dataset_checks(s: DataFrame) -> DataFrame:
+def _dataset_rules() -> list[tuple[Column, str, str, Column, Column]]:
+    """(condition, severity, rule, value, message) over the aggregate row."""
     share = F.try_divide(F.col("top").cast("double"), F.col("n_rows"))
-    checks = [
-        _dataset(F.col("n_rows") == 0, "error", "V1", F.lit(0.0), F.lit("No data records found.")),
-        _dataset((F.col("n_rows") > 0) & (F.col("n_workers") == 0), "error", "V11",
-                 F.lit(0.0), F.lit("No valid workers found in dataset.")),
-        _dataset(F.col("n_workers") == 1, "warning", "V11", F.lit(1.0),
-                 F.lit("Only one unique worker found.")),
-        _dataset((F.col("n_rows") > 0) & (F.col("n_tasks") == 0), "error", "V12",
-                 F.lit(0.0), F.lit("No valid tasks found in dataset.")),
-        _dataset(F.col("n_tasks") == 1, "warning", "V12", F.lit(1.0),
-                 F.lit("Only one unique task found.")),
-        _dataset(F.col("single_tasks") > 0, "warning", "V13",
-                 F.col("single_tasks").cast("double"),
-                 F.format_string("%d task(s) have only one annotation.", F.col("single_tasks"))),
-        _dataset(F.col("n_labels") == 1, "warning", "V14", F.col("top_label").cast("double"),
-                 F.format_string("All annotations have the same label (%d).",
-                                 F.col("top_label"))),
-        _dataset((F.col("n_labels") > 1) & (share > F.lit(SINGLE_LABEL_SHARE)), "warning",
-                 "V15", share,
-                 F.format_string("Severe class imbalance: label %d dominates.",
-                                 F.col("top_label"))),
+    return [
+        (F.col("n_rows") == 0, "error", "V1", F.lit(0.0), F.lit("No data records found.")),
+        ((F.col("n_rows") > 0) & (F.col("n_workers") == 0), "error", "V11",
+         F.lit(0.0), F.lit("No valid workers found in dataset.")),
+        (F.col("n_workers") == 1, "warning", "V11", F.lit(1.0),
+         F.lit("Only one unique worker found.")),
+        ((F.col("n_rows") > 0) & (F.col("n_tasks") == 0), "error", "V12",
+         F.lit(0.0), F.lit("No valid tasks found in dataset.")),
+        (F.col("n_tasks") == 1, "warning", "V12", F.lit(1.0),
+         F.lit("Only one unique task found.")),
+        (F.col("single_tasks") > 0, "warning", "V13",
+         F.col("single_tasks").cast("double"),
+         F.format_string("%d task(s) have only one annotation.", F.col("single_tasks"))),
+        (F.col("n_labels") == 1, "warning", "V14", F.col("top_label").cast("double"),
+         F.format_string("All annotations have the same label (%d).",
+                         F.col("top_label"))),
+        ((F.col("n_labels") > 1) & (share > F.lit(SINGLE_LABEL_SHARE)), "warning",
+         "V15", share,
+         F.format_string("Severe class imbalance: label %d dominates.",
+                         F.col("top_label"))),
     ]
+
+
+def _dataset_checks(s: DataFrame) -> DataFrame:
+    checks = [_dataset(*r) for r in _dataset_rules()]
     ex = s.select(F.explode(F.array_compact(F.array(*checks))).alias("i"))
     return ex.select("i.severity", "i.rule", "i.value", "i.message")
 
@@ -136,10 +141,15 @@ def summary(ann: DataFrame, labels: tuple[int, ...] | None = DEFAULT_LABELS,
         F.coalesce(F.sum(e), F.lit(0)).alias("row_errors"),
         F.coalesce(F.sum(w), F.lit(0)).alias("row_warnings"),
         F.count_if(e > 0).alias("error_rows")])
-    ds = _dataset_checks(agg).agg(
-        F.count_if(F.col("severity") == "error").alias("ds_errors"),
-        F.count_if(F.col("severity") == "warning").alias("ds_warnings"))
-    s = side_by_side(agg.select("n_rows", "row_errors", "row_warnings", "error_rows"), ds)
+    rules = _dataset_rules()
+
+    def hits(severity: str) -> Column:
+        return sum((F.when(cond, 1).otherwise(0) for cond, sev, *_ in rules
+                    if sev == severity), F.lit(0))
+
+    # the dataset rules are columns of the single aggregate row: one pass
+    s = agg.select("n_rows", "row_errors", "row_warnings", "error_rows",
+                   hits("error").alias("ds_errors"), hits("warning").alias("ds_warnings"))
     n_err = (F.col("row_errors") + F.col("ds_errors")).cast("bigint")
     return s.select(
         F.col("n_rows").cast("bigint").alias("total_records"),
