@@ -114,11 +114,14 @@ def _bucket(score: Column, steps: int) -> Column:
     return F.least(b, F.lit(steps))
 
 
-def roc_points(pred: DataFrame, score: str = "p1", steps: int = ROC_STEPS) -> DataFrame:
+def roc_points(pred: DataFrame, score: str = "p1", steps: int = ROC_STEPS,
+               grid: str = "full") -> DataFrame:
     """Confusion counts and rates at cut-offs i/steps, i = 0..steps.
 
     Positive = the largest gold value present; ``score`` = ``p1`` (P(class 1),
     standard) or ``gold`` (P(gold class), as the reference code does).
+    ``grid="reference"`` keeps i = 0..steps-1 only (the original loop never
+    reaches the last cut-off); use it with ``roc_auc(anchor=False)``.
     """
     sc = F.col("p_1") if score == "p1" else F.col("p_gold")
     pos_value = pred.agg(F.max("gold")).first()[0]
@@ -126,11 +129,11 @@ def roc_points(pred: DataFrame, score: str = "p1", steps: int = ROC_STEPS) -> Da
                          _bucket(sc, steps).alias("b"))
     per = scored.groupBy("b").agg(F.count_if("pos").alias("np"),
                                   F.count_if(~F.col("pos")).alias("nn"))
-    grid = pred.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("b"))
+    cutoffs = pred.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("b"))
     # the grid has steps+1 rows, so this un-partitioned window is size-bounded
     w = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, 0)
     allw = Window.partitionBy()
-    g = grid.join(per, "b", "left").select(
+    g = cutoffs.join(per, "b", "left").select(
         "b", F.coalesce("np", F.lit(0)).alias("np"), F.coalesce("nn", F.lit(0)).alias("nn"))
     g = g.select(
         F.col("b").alias("cutoff_idx"),
@@ -140,6 +143,10 @@ def roc_points(pred: DataFrame, score: str = "p1", steps: int = ROC_STEPS) -> Da
     g = g.select("cutoff_idx", "cutoff", "tp", "fp",
                  (F.col("n_neg") - F.col("fp")).alias("tn"),
                  (F.col("n_pos") - F.col("tp")).alias("fn"))
+    if grid == "reference":
+        g = g.where(F.col("cutoff_idx") < F.lit(steps))
+    elif grid != "full":
+        raise ValueError(f"unknown grid {grid!r}")
     return _with_ratios(g)
 
 

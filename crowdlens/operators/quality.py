@@ -59,9 +59,18 @@ def _rule_array(labels: tuple[int, ...] | None, min_text_length: int) -> Column:
     return F.array_compact(F.array(*rules))
 
 
+def observed_labels(ann: DataFrame) -> tuple[int, ...]:
+    """The distinct worker labels (at most the class count) as the domain."""
+    return tuple(sorted(r[0] for r in ann.select("worker_label").distinct().collect()
+                        if r[0] is not None))
+
+
 def row_issues(ann: DataFrame, labels: tuple[int, ...] | None = DEFAULT_LABELS,
                min_text_length: int = 1) -> DataFrame:
-    """V2-V9: ``row_id, severity, rule, message`` for every broken rule."""
+    """V2-V9: ``row_id, severity, rule, message`` for every broken rule.
+    ``labels=None`` takes the observed worker labels as the domain."""
+    if labels is None:
+        labels = observed_labels(ann)
     exploded = ann.select("row_id",
                           F.explode(_rule_array(labels, min_text_length)).alias("i"))
     return exploded.select("row_id", "i.severity", "i.rule", "i.message")
@@ -134,6 +143,8 @@ def summary(ann: DataFrame, labels: tuple[int, ...] | None = DEFAULT_LABELS,
     """Totals, valid records (rows without an error) and the verdict."""
     # per record: number of error and warning rules, folded into the same
     # aggregate pass as the dataset counts
+    if labels is None:
+        labels = observed_labels(ann)
     rules = _rule_array(labels, min_text_length)
     e = F.size(F.filter(rules, lambda i: i["severity"] == "error"))
     w = F.size(F.filter(rules, lambda i: i["severity"] == "warning"))

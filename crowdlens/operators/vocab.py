@@ -163,15 +163,19 @@ def vocabulary(ann: DataFrame, selection: str = "first_seen", min_count: int = 1
 
 
 def task_words(ann: DataFrame, vocab: DataFrame, stem: str = "porter2",
-               vocab_rows: int | None = None) -> DataFrame:
+               vocab_rows: int | None = None, apply_stop_in_index: bool = False,
+               stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """Distinct ``(task_id, word_idx)`` of the first text of each task.
 
-    Indexing path: no stop-word filter (as the reference), stems matched
-    against the vocabulary.  The vocabulary is broadcast when its checked
-    size allows, else joined by shuffle.
+    Indexing path: by default no stop-word filter (as the reference), stems
+    matched against the vocabulary; ``apply_stop_in_index`` drops stop
+    words here too.  The vocabulary is broadcast when its checked size
+    allows, else joined by shuffle.
     """
     texts = ann.groupBy("task_id").agg(F.min_by("body_text", "row_id").alias("body_text"))
     toks = tokens(texts, "task_id")
+    if apply_stop_in_index:
+        toks = toks.where(~F.col("token").isin(list(stop_words)))
     stems = toks.select("task_id", stem_col(F.col("token"), stem).alias("term"))
     n_vocab = vocab_rows if vocab_rows is not None else vocab.count()
     return (stems.join(_small_or_shuffled(vocab, n_vocab), "term")

@@ -92,3 +92,16 @@ def test_gold_consistency_and_ties(spark):
     assert gold == {"t": None, "u": 1}  # conflicting -> NULL; zero-based
     mv = {r.task_id: r.majority_label for r in MP.majority_vote(ann, dom).collect()}
     assert mv == {"t": 1, "u": 0}  # tie -> label seen first
+
+
+def test_observed_label_domain(spark):
+    ann = make_ann(spark, [("w1", "t", 1, "x", 3), ("w2", "t", 2, "x", 2)])
+    rules = {(r.row_id, r.rule) for r in Q.row_issues(ann, labels=None).collect()}
+    assert rules == {(0, "V5")}  # gold 3 is outside the observed labels {1, 2}
+
+
+def test_reference_roc_grid(spark):
+    rows = [("a", 0, 0.9, 0.1), ("b", 1, 0.2, 0.8)]
+    pts = E.roc_points(_pred(spark, rows), grid="reference")
+    assert pts.count() == 1000 and pts.agg(F.max("cutoff_idx")).first()[0] == 999
+    assert E.roc_auc(pts, anchor=False).first().auc == pytest.approx(1.0)
