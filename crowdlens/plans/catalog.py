@@ -40,6 +40,16 @@ ROW_CAP = 32767       # fixed value: default row cap of the TSV reader
 BELIEF = 0.7
 
 
+_FITS: dict = {}
+
+
+def _memo(spark, key, build):
+    k = (spark.sparkContext.applicationId, id(spark)) + key
+    if k not in _FITS:
+        _FITS[k] = build()
+    return _FITS[k]
+
+
 def register(key: str, sql: str | None = None):
     def deco(fn):
         QUERIES[key] = fn
@@ -403,9 +413,12 @@ def vocab_tfidf(spark, d):
 
 
 def _vocab_a(spark, d):
-    a = A(spark, d)
-    vocab = V.vocabulary(a, stem="none", max_terms=VOCAB_CAP)
-    return a, vocab
+    """Fixture A and its capped vocabulary, built once per session (the
+    vocabulary is a written table, shared by the word queries and the fit)."""
+    def build():
+        a = A(spark, d)
+        return a, V.vocabulary(a, stem="none", max_terms=VOCAB_CAP)
+    return _memo(spark, ("vocab_a", d), build)
 
 
 @register("task_words", WITH_A + "," + S.vocab_ctes(cap=VOCAB_CAP) + "," + S.task_words_ctes()
@@ -446,16 +459,6 @@ def stem_tokens(spark, d):
 
 # ---------------------------------------------------------------- model
 
-_FITS: dict = {}
-
-
-def _memo(spark, key, build):
-    k = (spark.sparkContext.applicationId, id(spark)) + key
-    if k not in _FITS:
-        _FITS[k] = build()
-    return _FITS[k]
-
-
 def fit_a(spark, d, rounds=ROUNDS):
     def build():
         a, vocab = _vocab_a(spark, d)
