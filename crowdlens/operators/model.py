@@ -525,7 +525,7 @@ def score_text(model: CrowdModel, keys: DataFrame, doc_words: DataFrame,
     ek = _elog_kappa(model.kappa)
     scored = doc_words.join(F.broadcast(ephi) if model.vocab_size <= 2_000_000 else ephi,
                             "word_idx", "left")
-    j = keys.select(key).join(scored, key, "left")
+    j = keys.select(key).distinct().join(scored, key, "left")
     summed = j.groupBy(key).agg(*[
         (F.sum(F.when(F.col("word_idx").isNull(), F.lit(0.0))
                .otherwise(F.coalesce(F.col(f"e_{t}"), F.lit(unseen[t]))))
