@@ -59,3 +59,15 @@ def test_one_pass_tokens_equal_split_then_strip(spark):
     rows = one.join(two, "id").collect()
     assert len(rows) == 500
     assert all(r.a == r.b for r in rows)
+
+
+def test_stop_words_in_index_path_option(spark):
+    from tests.conftest import make_ann
+    # 'haves' puts the stem 'have' in the vocabulary; 'having' is a stop word
+    # whose stem is also 'have': indexed by default, dropped with the option
+    ann = make_ann(spark, [("w", "1", 0, "haves", None), ("w", "2", 0, "having", None)])
+    vocab = V.vocabulary(ann, stem="porter2")
+    assert [r.term for r in vocab.collect()] == ["have"]
+    default = {r.task_id for r in V.task_words(ann, vocab).collect()}
+    strict = {r.task_id for r in V.task_words(ann, vocab, apply_stop_in_index=True).collect()}
+    assert default == {"1", "2"} and strict == {"1"}
