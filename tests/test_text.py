@@ -71,3 +71,13 @@ def test_stop_words_in_index_path_option(spark):
     default = {r.task_id for r in V.task_words(ann, vocab).collect()}
     strict = {r.task_id for r in V.task_words(ann, vocab, apply_stop_in_index=True).collect()}
     assert default == {"1", "2"} and strict == {"1"}
+
+
+def test_read_stopwords_keeps_blank_entry(spark):
+    from crowdlens.session import scratch_path
+    from crowdlens.sources.stopwords import STOP_WORDS, read_stopwords
+    path = scratch_path(spark, "stop")
+    spark.createDataFrame([("a",), ("the",), ("",)], "value string").coalesce(1).write.text(path)
+    words = {r.word for r in read_stopwords(spark, path).collect()}
+    assert words == {"a", "the", ""}
+    assert len(STOP_WORDS) == 175 and STOP_WORDS[-1] == ""
