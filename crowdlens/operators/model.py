@@ -39,7 +39,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdlens.functions.special import digamma, lgamma
@@ -109,7 +109,7 @@ class CrowdModel:
         c = self.classes
         workers = self.worker_rows.select("worker_id", *p_cols(c, "s_"))
         grid = workers.withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(c - 1))))
-        obs = self.worker_alpha
+        obs = self.worker_alpha.select("worker_id", "label", *p_cols(c, "a_"))
         full = grid.join(obs, ["worker_id", "label"], "left")
         cells = []
         for t in range(c):
@@ -167,14 +167,6 @@ def _digamma_py(x: float) -> float:
         1.0 / 120 - inv2 * (1.0 / 252 - inv2 * (1.0 / 240 - inv2 / 132)))))
 
 
-def _elog_pi(worker_alpha: DataFrame, worker_rows: DataFrame, c: int) -> DataFrame:
-    """``worker_id, label, e_0..`` for observed (worker, label) pairs."""
-    j = worker_alpha.join(worker_rows, "worker_id")
-    return j.select("worker_id", "label", *[
-        (digamma(F.col(f"a_{t}")) - digamma(F.col(f"s_{t}"))).alias(f"e_{t}")
-        for t in range(c)])
-
-
 def _elog_phi(word_alpha: DataFrame, totals: list[float], c: int) -> DataFrame:
     return word_alpha.select("word_idx", *[
         (digamma(F.col(f"a_{t}")) - F.lit(_digamma_py(totals[t]))).alias(f"e_{t}")
@@ -322,7 +314,8 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
     kappa = [CLASS_PRIOR] * c
     worker_alpha = inp.ann.select("worker_id", "label").distinct().select(
         "worker_id", "label",
-        *[_prior_col(F.col("label"), t, prior).alias(f"a_{t}") for t in range(c)])
+        *[_prior_col(F.col("label"), t, prior).alias(f"a_{t}") for t in range(c)],
+        *[F.lit(row0[t]).alias(f"s_{t}") for t in range(c)])
     worker_alpha = cut(worker_alpha, "worker-alpha")
     word_alpha = None
     word_totals = None
@@ -349,7 +342,9 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
         if clamp_q is not None:
             q = clamp_q
         else:
-            epi = _elog_pi(worker_alpha, worker_rows(worker_alpha, prior, c), c)
+            epi = worker_alpha.select("worker_id", "label", *[
+                (digamma(F.col(f"a_{t}")) - digamma(F.col(f"s_{t}"))).alias(f"e_{t}")
+                for t in range(c)])
             if bc_pairs:
                 scores = inp.ann.join(F.broadcast(epi), ["worker_id", "label"])
             elif inp.hot_workers:
@@ -398,9 +393,15 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
             aq = inp.ann.join(_salted(q, inp.hot, salts), ["task_id", "salt"])
         else:
             aq = inp.ann.join(q, "task_id")
-        worker_alpha = cut(aq.groupBy("worker_id", "label").agg(*[
+        counts = aq.groupBy("worker_id", "label").agg(*[
             (F.sum(f"p_{t}") + F.first(_prior_col(F.col("label"), t, prior))).alias(f"a_{t}")
-            for t in range(c)]), "worker-alpha")
+            for t in range(c)])
+        # each worker's row sums ride along (a window over at most C rows
+        # per worker), so the next E-step needs no group-by or join
+        per_worker = Window.partitionBy("worker_id")
+        worker_alpha = cut(counts.select("worker_id", "label", *p_cols(c, "a_"), *[
+            (F.sum(F.col(f"a_{t}") - _prior_col(F.col("label"), t, prior)).over(per_worker)
+             + F.lit(row0[t])).alias(f"s_{t}") for t in range(c)]), "worker-alpha")
         ent = sum((F.when(F.col(f"p_{t}") > 0, -F.col(f"p_{t}") * F.log(F.col(f"p_{t}")))
                    .otherwise(0.0) for t in range(c)), F.lit(0.0))
         totals = q.agg(*[F.sum(f"p_{t}").alias(f"k_{t}") for t in range(c)],
