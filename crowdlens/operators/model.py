@@ -449,7 +449,10 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
 def _drop_table(spark, name: str) -> None:
     """Forget a superseded per-round table in the catalog (its files stay
     in the checkpoint folder, which the cluster cleans)."""
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    try:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    except Exception:  # noqa: BLE001 -- cleanup is best effort, never fails a fit
+        pass
 
 
 def _salted(q: DataFrame, hot: list[str], salts: int) -> DataFrame:
