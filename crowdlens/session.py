@@ -1,17 +1,19 @@
 """Session helpers: a local session for tests and the lineage-cut helper.
 
-Nothing here changes a session the caller already configured; the checkpoint
-folder is taken from the session (``spark.checkpoint.dir``) and only set to a
-fresh scratch folder when the session has none (local runs and tests).
+Nothing here changes a session the caller already configured; the folder for
+intermediate tables is taken from the session (``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}  # scratch folder of each local application
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "crowdlens") -> SparkSession:
@@ -35,22 +37,24 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Reliable checkpoint folder of the session.
+    """Shared folder for written intermediate tables, read from the session.
 
-    Order: the SparkContext's folder, then ``spark.checkpoint.dir`` from the
-    session or context conf, and only when both are unset a new scratch
-    folder (a local run; a cluster names a shared folder in its conf).
+    Order: ``spark.checkpoint.dir`` of the session or its context, then the
+    context's checkpoint folder.  Only a local master may go on without one
+    (a scratch folder per application, as in tests); on a cluster a missing
+    folder is an error, because executors do not share local disks.  The
+    caller's session is not changed.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    wanted = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None)
-    if not wanted:
-        wanted = tempfile.mkdtemp(prefix="crowdlens-ckpt-")
-    sc.setCheckpointDir(wanted)
-    return sc.getCheckpointDir() or wanted
+    wanted = (spark.conf.get("spark.checkpoint.dir", None)
+              or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir())
+    if wanted:
+        return wanted
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="crowdlens-ckpt-")
+    return _LOCAL[sc.applicationId]
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
