@@ -12,6 +12,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: dict[str, str] = {}  # scratch folder of each local application
 
 
@@ -64,11 +65,17 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     One job (the write), and the data lives in the shared folder rather
     than in executor block stores, so losing an executor later costs
     nothing.  (An eager reliable ``checkpoint()`` of an uncached plan runs
-    the plan twice: once to count, once to write.)
+    the plan twice: once to count, once to write.)  The shuffle files of the
+    job are released as it ends: nothing reads them after the table is there.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("error").parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.mode("error").parquet(path)
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before) if before is not None else spark.conf.unset(FREE_SHUFFLES)
     return spark.read.parquet(path)
 
 
