@@ -12,10 +12,11 @@ from crowdlens.llm.packing import op7_packing
 from crowdlens.llm.quality import op8_quality_rules
 from crowdlens.llm.secrets import ORACLE_OP9, op9_secret_scan
 from crowdlens.llm.sharding import op10_sharding
+from crowdlens.llm.suffix_dedup import op1_suffix_dedup
 
 QUERIES = {f.__name__: f for f in (
-    op2_decontamination, op3_preference_format, op4_language_id, op5_license_scan,
-    op6_ngram_jaccard_join, op7_packing, op8_quality_rules, op9_secret_scan, op10_sharding)}
+    op1_suffix_dedup, op2_decontamination, op3_preference_format, op4_language_id,
+    op5_license_scan, op6_ngram_jaccard_join, op7_packing, op8_quality_rules, op9_secret_scan, op10_sharding)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE = {"op2_decontamination": ORACLE_OP2, "op3_preference_format": ORACLE_OP3,
