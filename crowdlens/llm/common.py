@@ -101,7 +101,7 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 
 def byte_slices(batches: Iterator[pa.RecordBatch], column: str,
-                max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+                max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that the texts of each slice have about ``max_bytes``
     (one longer text stays whole): bounds what array code holds at once."""
     for batch in batches:
