@@ -32,7 +32,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 TOKENS = 96  # MinHash tokens of a set
 RECALL, DEPTH = 0.999, 3  # target for a pair at the threshold, levels of splitting
 SMALL = 256  # sets of a bucket that is compared at once
-BLOCK = 1024  # sets of a block of a large bucket or component
+BLOCK = 512  # sets of a block of a large bucket or component
 BLOCK_SHINGLES = 2_000_000  # shingles of a block, at most (unless one set is larger)
 SLACK = 4.0  # standard deviations by which a sketch may fall short
 EDGE = "a long, b long"
@@ -93,7 +93,8 @@ def _sketches(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(_id, digest, n, tokens) of each (_id, _text); empty sets have a null digest."""
+    """(_id, digest, n, tokens, sketch) of each (_id, _text): the tokens, and the
+    last byte of each for comparisons.  Empty sets have a null digest."""
 
     def run(batches):
         for batch in byte_slices(batches, "_text", 2 << 20):
@@ -103,14 +104,16 @@ def _signed(docs: DataFrame) -> DataFrame:
             sketch = _sketches(values, first[full]) if len(full) else np.zeros((0, TOKENS), np.uint32)
             digest: list = [None] * batch.num_rows
             tokens: list = [None] * batch.num_rows
+            short: list = [None] * batch.num_rows
             for row, i in enumerate(full.tolist()):
                 digest[i] = hashlib.blake2b(values[first[i]:first[i + 1]].tobytes(), digest_size=16).digest()
-                tokens[i] = sketch[row].tobytes()
+                tokens[i], short[i] = sketch[row].tobytes(), sketch[row].astype(np.uint8).tobytes()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("_id"), pa.array(digest, pa.binary()), pa.array(size, pa.int64()),
-                 pa.array(tokens, pa.binary())], ["_id", "digest", "n", "tokens"])
+                 pa.array(tokens, pa.binary()), pa.array(short, pa.binary())],
+                ["_id", "digest", "n", "tokens", "sketch"])
 
-    return docs.mapInArrow(run, "_id long, digest binary, n long, tokens binary")
+    return docs.mapInArrow(run, "_id long, digest binary, n long, tokens binary, sketch binary")
 
 
 def _paths(sets: DataFrame, n_runs: int, similarity: float) -> DataFrame:
@@ -155,24 +158,22 @@ def _deeper(large: DataFrame, similarity: float) -> DataFrame:
     return large.select("path", "run", "id", "tokens").mapInArrow(run, "path long, run int, id long")
 
 
-class _Forest:
-    """Union-find over the rows of a group; keeps the edges that joined parts."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-        self.edges: list[tuple[int, int]] = []
-
-    def join(self, a: int, b: int) -> None:
-        x, y = self.root(a), self.root(b)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-            self.edges.append((a, b))
-
-    def root(self, a: int) -> int:
-        while self.up[a] != a:
-            self.up[a] = self.up[self.up[a]]
-            a = self.up[a]
-        return a
+def _forest(n: int, near) -> list[tuple[int, int]]:
+    """Edges of a spanning forest over 0..n-1; ``near(i, others)`` marks the
+    neighbours of i.  A row is compared only with rows not reached yet, so a
+    dense group costs few comparisons."""
+    rest, edges = np.arange(n), []
+    while len(rest) > 1:
+        stack, rest = [int(rest[0])], rest[1:]
+        while stack and len(rest):
+            i = stack.pop()
+            hit = near(i, rest)
+            if hit.any():
+                new = rest[hit].tolist()
+                edges += [(i, j) for j in new]
+                stack += new
+                rest = rest[~hit]
+    return edges
 
 
 def _blocked(rows: DataFrame, key: str, blocks: str) -> DataFrame:
@@ -201,24 +202,22 @@ def _sketch_links(rows: DataFrame, similarity: float) -> DataFrame:
             ids = part.column("id").to_numpy()
             mine = part.column("_mine").to_numpy()
             cross = part.column("_x")[0].as_py() != part.column("_y")[0].as_py()
-            tokens = np.frombuffer(b"".join(part.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
-            forest = _Forest(len(ids))
+            sketch = np.frombuffer(b"".join(part.column("sketch").to_pylist()), np.uint8).reshape(-1, TOKENS)
             need = math.ceil(floor * TOKENS)
-            for i in range(len(ids) - 1):
-                near = np.flatnonzero((tokens[i + 1:] == tokens[i]).sum(axis=1) >= need) + i + 1
-                if cross:
-                    near = near[mine[near] != mine[i]]
-                for j in near.tolist():
-                    forest.join(i, j)
-            if forest.edges:
-                a, b = ids[np.array(forest.edges)].T
+
+            def near(i, others):
+                hit = (sketch[others] == sketch[i]).sum(axis=1) >= need
+                return hit & (mine[others] != mine[i]) if cross else hit
+
+            if edges := _forest(len(ids), near):
+                a, b = ids[np.array(edges)].T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return _by_group(rows.select("group", "_x", "_y", "_mine", "id", "tokens")).mapInArrow(run, EDGE)
+    return _by_group(rows.select("group", "_x", "_y", "_mine", "id", "sketch")).mapInArrow(run, EDGE)
 
 
 def _candidates(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """Edges (a, b) proposed by the runs; ``sets``: (id, tokens), ids distinct."""
+    """Edges (a, b) proposed by the runs; ``sets``: (id, tokens, sketch), ids distinct."""
     level = _paths(sets, runs_for(recall, similarity, TOKENS, DEPTH), similarity)
     edges = None
     for depth in range(DEPTH):
@@ -230,11 +229,11 @@ def _candidates(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
         now = met if last else met.where(F.col("size") <= SMALL)
         now = now.withColumn("blocks", F.when(F.col("size") <= SMALL, 1).otherwise(
             F.ceil(F.col("size") / BLOCK)).cast("int"))
-        found = _sketch_links(_blocked(now, "path", "blocks").join(sets, "id"), similarity)
+        found = _sketch_links(_blocked(now, "path", "blocks").join(sets.select("id", "sketch"), "id"), similarity)
         edges = cut(found if edges is None else edges.unionByName(found), "links")
         if last or met.where(F.col("size") > SMALL).isEmpty():
             return edges
-        level = _deeper(met.where(F.col("size") > SMALL).join(sets, "id"), similarity)
+        level = _deeper(met.where(F.col("size") > SMALL).join(sets.select("id", "tokens"), "id"), similarity)
     return edges
 
 
@@ -271,15 +270,13 @@ def _verify(rows: DataFrame, similarity: float) -> DataFrame:
             weight = part.column("weight").to_numpy()
             ids = part.column("id").to_numpy()
             links = linked @ weight
-            forest = _Forest(g)
-            for i, j in np.argwhere(np.triu(linked)).tolist():
-                forest.join(i, j)
+            edges = _forest(g, lambda i, others: linked[i, others])
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids[some]), pa.nulls(len(some), pa.int64()), pa.array(links[some].astype(np.int64))],
                 ["a", "b", "weight"])
-            if forest.edges:
-                a, b = ids[np.array(forest.edges)].T
+            if edges:
+                a, b = ids[np.array(edges)].T
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "weight"])
 
@@ -302,14 +299,15 @@ def near_groups(df: DataFrame, text: str, similarity: float = SIMILARITY, recall
                                            F.max("n").alias("n")), "classes")
     member = cut(hot_join(full.select("_id", "digest"), equal.select("digest", "id", "weight"), "digest", "weight")
                  .select("_id", "id"), "members")
-    first = full.select(F.col("_id").alias("id"), "tokens").join(equal.select("id"), "id", "left_semi")
+    first = full.select(F.col("_id").alias("id"), "tokens", "sketch").join(equal.select("id"), "id", "left_semi")
     edges = _candidates(cut(first, "sets"), similarity, recall)
     comps = components(edges)
     found = comps.join(equal.select("id", "weight", "n"), "id")
     shape = found.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
     found = cut(found.join(shape.select("comp", blocks.cast("int").alias("blocks")), "comp"), "components")
-    texts = docs.join(found, docs["_id"] == found["id"]).drop("_id")
+    # both sides by hash whatever their size, so that the plan grows evenly
+    texts = docs.join(found.hint("merge"), docs["_id"] == found["id"]).drop("_id")
     verified = cut(_verify(_blocked(texts, "comp", "blocks"), similarity), "verified")
     links = verified.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("links"))
     near = components(verified.where("b is not null").select("a", "b")).select("id", "comp")
