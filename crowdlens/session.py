@@ -76,7 +76,17 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
         df.write.mode("error").parquet(path)
     finally:
         spark.conf.set(FREE_SHUFFLES, before) if before is not None else spark.conf.unset(FREE_SHUFFLES)
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    table.written_to = path  # for release()
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``cut`` that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
