@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crowdlens.session import cut
+from crowdlens.session import cut, release
 
 HOT_KEYS = 1000  # a key is hot when it holds over 1/HOT_KEYS of the rows
 
@@ -41,6 +41,25 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, n: str) -> DataFrame:
             .unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)))
 
 
+def may_match(left: DataFrame, right: DataFrame, key: str, bits: int = 24) -> DataFrame:
+    """``left`` with ``_may``: false only if ``key`` is not in ``right``.
+
+    Keeps wide rows out of a shuffle that has no partner for them.  ``right`` is
+    reduced to a bitmap of hashed keys; whatever its size, that is at most
+    2**(bits - 15) rows of 4 KB (2 MB), which is what is broadcast.  A full bitmap
+    lets more rows through and loses none.
+    """
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << bits)) + 1
+    maps = (right.select(slot.alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits")))
+    rows = left.withColumn("_slot", slot)
+    rows = rows.join(F.broadcast(maps), F.bitmap_bucket_number("_slot") == F.col("_bucket"), "left")
+    spot = F.bitmap_bit_position("_slot")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = F.get_bit(byte.cast("long"), (spot % 8).cast("int")) == 1
+    return rows.select(*[left[c] for c in left.columns], F.coalesce(hit, F.lit(False)).alias("_may"))
+
+
 def ranked(df: DataFrame, order: list[str], measures: dict[str, Column],
            group: str | None = None) -> DataFrame:
     """Adds ``_rank`` (0-based, in ``order`` with nulls first) and for each
@@ -91,12 +110,14 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         step = labels.join(near, "id").select("id", F.col("comp").alias("old"),
                                               F.least("comp", "near").alias("comp"))
         jump = labels.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        new = cut(step.join(jump, "comp", "left")
-                  .select("id", F.least("comp", F.coalesce("up", "comp")).alias("comp"),
-                          (F.least("comp", F.coalesce("up", "comp")) < F.col("old")).alias("moved")), "labels")
-        labels = new.select("id", "comp")
+        up = F.least("comp", F.coalesce("up", "comp"))
+        new = cut(step.join(jump, "comp", "left").select("id", up.alias("comp"), (up < F.col("old")).alias("moved")),
+                  "labels")
+        release(labels)
+        labels = new
         if new.where("moved").isEmpty():
-            return labels
+            release(both)
+            return labels.select("id", "comp")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
