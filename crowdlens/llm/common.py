@@ -56,7 +56,7 @@ def may_match(left: DataFrame, right: DataFrame, key: str, bits: int = 24) -> Da
     rows = rows.join(F.broadcast(maps), F.bitmap_bucket_number("_slot") == F.col("_bucket"), "left")
     spot = F.bitmap_bit_position("_slot")
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.get_bit(byte.cast("long"), (spot % 8).cast("int")) == 1
+    hit = F.getbit(byte.cast("long"), (spot % 8).cast("int")) == 1
     return rows.select(*[left[c] for c in left.columns], F.coalesce(hit, F.lit(False)).alias("_may"))
 
 
