@@ -24,16 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crowdlens.llm.common import aliased, byte_slices, components, groups, hot_join, restored, table
+from crowdlens.llm.common import (
+    aliased, byte_slices, components, groups, hot_join, may_match, restored, table)
 from crowdlens.llm.words import BASE, U, joined_bytes, mix, shingles, split_words
-from crowdlens.session import cut
+from crowdlens.session import cut, release
 
 SHINGLE, SIMILARITY = 5, 0.8
 TOKENS = 96  # MinHash tokens of a set
 RECALL, DEPTH = 0.999, 3  # target for a pair at the threshold, levels of splitting
 SMALL = 256  # sets of a bucket that is compared at once
-BLOCK = 512  # sets of a block of a large bucket or component
-BLOCK_SHINGLES = 2_000_000  # shingles of a block, at most (unless one set is larger)
+SKETCHES = 8192  # sketches of a block of a bucket that stays large
+BLOCK = 512  # sets of a block of a large component
+BLOCK_SHINGLES = 1_000_000  # shingles of a block, at most (unless one set is larger)
 SLACK = 4.0  # standard deviations by which a sketch may fall short
 EDGE = "a long, b long"
 MULTIPLY = mix(np.arange(1, TOKENS + 1, dtype=U) * BASE) | U(1)
@@ -223,17 +225,22 @@ def _candidates(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
     for depth in range(DEPTH):
         level = cut(level, "paths")
         sizes = level.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
-        # sets that share no path go here; the others fetch their tokens
+        # sets that share no path go here; the others fetch their sketches
         met = cut(level.join(sizes, "path"), "met")
-        last = depth == DEPTH - 1
-        now = met if last else met.where(F.col("size") <= SMALL)
-        now = now.withColumn("blocks", F.when(F.col("size") <= SMALL, 1).otherwise(
-            F.ceil(F.col("size") / BLOCK)).cast("int"))
+        release(level)
+        large = met.where(F.col("size") > SMALL)
+        last = depth == DEPTH - 1 or large.isEmpty()
+        now = (met if last else met.where(F.col("size") <= SMALL)).withColumn(
+            "blocks", F.when(F.col("size") <= SMALL, 1).otherwise(F.ceil(F.col("size") / SKETCHES)).cast("int"))
         found = _sketch_links(_blocked(now, "path", "blocks").join(sets.select("id", "sketch"), "id"), similarity)
-        edges = cut(found if edges is None else edges.unionByName(found), "links")
-        if last or met.where(F.col("size") > SMALL).isEmpty():
+        links = cut((found if edges is None else edges.unionByName(found)).distinct(), "links")
+        if edges is not None:
+            release(edges)
+        edges = links
+        if last:
+            release(met)
             return edges
-        level = _deeper(met.where(F.col("size") > SMALL).join(sets.select("id", "tokens"), "id"), similarity)
+        level = _deeper(large.join(sets.select("id", "tokens"), "id"), similarity)
     return edges
 
 
@@ -299,16 +306,18 @@ def near_groups(df: DataFrame, text: str, similarity: float = SIMILARITY, recall
                                            F.max("n").alias("n")), "classes")
     member = cut(hot_join(full.select("_id", "digest"), equal.select("digest", "id", "weight"), "digest", "weight")
                  .select("_id", "id"), "members")
-    first = full.select(F.col("_id").alias("id"), "tokens", "sketch").join(equal.select("id"), "id", "left_semi")
-    edges = _candidates(cut(first, "sets"), similarity, recall)
+    sets = cut(full.select(F.col("_id").alias("id"), "tokens", "sketch").join(equal.select("id"), "id", "left_semi"),
+               "sets")
+    edges = _candidates(sets, similarity, recall)
     comps = components(edges)
+    release(sets, edges)
     found = comps.join(equal.select("id", "weight", "n"), "id")
     shape = found.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
     found = cut(found.join(shape.select("comp", blocks.cast("int").alias("blocks")), "comp"), "components")
-    # both sides by hash whatever their size, so that the plan grows evenly
-    texts = docs.join(found.hint("merge"), docs["_id"] == found["id"]).drop("_id")
+    texts = may_match(docs.withColumnRenamed("_id", "id"), found, "id").where("_may").drop("_may").join(found, "id")
     verified = cut(_verify(_blocked(texts, "comp", "blocks"), similarity), "verified")
+    release(found)
     links = verified.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("links"))
     near = components(verified.where("b is not null").select("a", "b")).select("id", "comp")
     classes = cut(equal.select("id", "weight").join(links, "id", "left").join(near, "id", "left").select(
@@ -326,10 +335,13 @@ def keep_one(df: DataFrame, text: str, id_col: str) -> DataFrame:
     rows = cut(inner.select(*names, F.monotonically_increasing_id().alias("_uid")), "rows")
     body, order = (names[df.columns.index(c)] for c in (text, id_col))
     found = near_groups(rows, body)
-    best = (found.join(rows.select("_uid", order), "_uid").groupBy("class_uid")
-            .agg(F.min(F.struct(F.col(order).isNull(), order, "_uid")).alias("m"))
-            .select(F.col("m._uid").alias("_best")))
-    return restored(rows.join(best, rows["_uid"] == F.col("_best"), "left_semi"), df.columns)
+    found = cut(found.join(rows.select("_uid", order), "_uid"), "grouped")
+    best = (found.groupBy("class_uid").agg(F.min(F.struct(F.col(order).isNull(), order, "_uid")).alias("m"))
+            .select(F.col("m._uid").alias("_uid")))
+    gone = cut(found.join(best, "_uid", "left_anti").select("_uid"), "gone")
+    marked = may_match(rows, gone, "_uid")  # few rows go: only what may be gone is shuffled
+    kept = marked.where("not _may").unionByName(marked.where("_may").join(gone, "_uid", "left_anti"))
+    return restored(kept, df.columns)
 
 
 def classes(df: DataFrame, text: str, id_col: str) -> DataFrame:

@@ -94,8 +94,10 @@ def scan(df: DataFrame, text: str, owner: str, repo: str, keep: list[str],
     spans = F.filter("all", lambda s: (s["ord"] < BASE) | (s["live"] & ~F.exists(
         F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
     judged = judged.withColumn("base", base).select("_uid", spans.alias("_judged"))
-    return (found.drop("_owner", "_repo").join(judged, "_uid", "left")
-            .select(*keep, "_uid", F.coalesce("_judged", F.array().cast(SPAN)).alias("_spans")))
+    found = found.drop("_owner", "_repo")
+    hits = found.where(F.size("_spans") > 0).drop("_spans").join(judged, "_uid").select(
+        *keep, "_uid", F.col("_judged").alias("_spans"))
+    return hits.unionByName(found.where(F.size("_spans") == 0).select(*keep, "_uid", "_spans"))
 
 
 def joined(spans: Column) -> Column:
