@@ -12,7 +12,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# set while an intermediate table is written
+JOB_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+            "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 _LOCAL: dict[str, str] = {}  # scratch folder of each local application
 
 
@@ -67,15 +69,18 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     nothing.  (An eager reliable ``checkpoint()`` of an uncached plan runs
     the plan twice: once to count, once to write.)  The shuffle files of the
     job are released as it ends: nothing reads them after the table is there.
+    Batches that go to Python are bounded in bytes, not only in rows.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(FREE_SHUFFLES, None)
-    spark.conf.set(FREE_SHUFFLES, "true")
+    before = {key: spark.conf.get(key, None) for key in JOB_CONF}
+    for key, value in JOB_CONF.items():
+        spark.conf.set(key, value)
     try:
         df.write.mode("error").parquet(path)
     finally:
-        spark.conf.set(FREE_SHUFFLES, before) if before is not None else spark.conf.unset(FREE_SHUFFLES)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     table = spark.read.parquet(path)
     table.written_to = path  # for release()
     return table
