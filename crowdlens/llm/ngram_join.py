@@ -218,6 +218,11 @@ def _sketch_links(rows: DataFrame, similarity: float) -> DataFrame:
     return _by_group(rows.select("group", "_x", "_y", "_mine", "id", "sketch")).mapInArrow(run, EDGE)
 
 
+def _only(sets: DataFrame, rows: DataFrame, column: str) -> DataFrame:
+    """(id, column) of the sets that ``rows`` may need."""
+    return may_match(sets.select("id", column), rows, "id").where("_may").drop("_may")
+
+
 def _candidates(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
     """Edges (a, b) proposed by the runs; ``sets``: (id, tokens, sketch), ids distinct."""
     level = _paths(sets, runs_for(recall, similarity, TOKENS, DEPTH), similarity)
@@ -232,7 +237,7 @@ def _candidates(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
         last = depth == DEPTH - 1 or large.isEmpty()
         now = (met if last else met.where(F.col("size") <= SMALL)).withColumn(
             "blocks", F.when(F.col("size") <= SMALL, 1).otherwise(F.ceil(F.col("size") / SKETCHES)).cast("int"))
-        found = _sketch_links(_blocked(now, "path", "blocks").join(sets.select("id", "sketch"), "id"), similarity)
+        found = _sketch_links(_blocked(now, "path", "blocks").join(_only(sets, now, "sketch"), "id"), similarity)
         links = cut((found if edges is None else edges.unionByName(found)).distinct(), "links")
         if edges is not None:
             release(edges)
@@ -240,7 +245,7 @@ def _candidates(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
         if last:
             release(met)
             return edges
-        level = _deeper(large.join(sets.select("id", "tokens"), "id"), similarity)
+        level = _deeper(large.join(_only(sets, large, "tokens"), "id"), similarity)
     return edges
 
 
@@ -306,8 +311,11 @@ def near_groups(df: DataFrame, text: str, similarity: float = SIMILARITY, recall
                                            F.max("n").alias("n")), "classes")
     member = cut(hot_join(full.select("_id", "digest"), equal.select("digest", "id", "weight"), "digest", "weight")
                  .select("_id", "id"), "members")
-    sets = cut(full.select(F.col("_id").alias("id"), "tokens", "sketch").join(equal.select("id"), "id", "left_semi"),
-               "sets")
+    # few rows are copies: only what may be one is shuffled
+    copies = member.where("_id <> id").select("_id")
+    marked = may_match(full.select("_id", "tokens", "sketch"), copies, "_id")
+    sets = cut(marked.where("not _may").unionByName(marked.where("_may").join(copies, "_id", "left_anti"))
+               .select(F.col("_id").alias("id"), "tokens", "sketch"), "sets")
     edges = _candidates(sets, similarity, recall)
     comps = components(edges)
     release(sets, edges)
