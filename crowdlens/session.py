@@ -77,7 +77,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     for key, value in JOB_CONF.items():
         spark.conf.set(key, value)
     try:
-        df.write.mode("error").parquet(path)
+        df.write.mode("error").option("compression", "zstd").parquet(path)
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
