@@ -81,12 +81,13 @@ def scan(df: DataFrame, text: str, owner: str, repo: str, keep: list[str],
     some = cut(found.where(F.size("_spans") > 0)
                .select("_uid", "_owner", "_repo", F.explode("_spans").alias("s"))
                .select("_uid", "_owner", "_repo", "s", F.col("s.key").alias("_key")), "candidates")
-    # distinct (key, owner, repo) first, so a hot value is combined on the map side
-    once = some.groupBy("_key", "_owner", "_repo").agg(F.count("*").alias("n"))
-    by_owner = once.groupBy("_key", "_owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
-    verdict = cut(by_owner.groupBy("_key").agg(
-        F.sum("n").alias("n"), ((F.count("*") < min_owners) | (F.sum("repos") < min_owners)).alias("live")),
-        "ownership")
+    # by owner (or repository) first, so a hot value is combined on the map side
+    def distinct(who, count, *more):
+        once = some.groupBy("_key", who).agg(F.count("*").alias("n"))
+        return once.groupBy("_key").agg(F.count("*").alias(count), *more)
+
+    verdict = cut(distinct("_owner", "owners", F.sum("n").alias("n")).join(distinct("_repo", "repos"), "_key").select(
+        "_key", "n", ((F.col("owners") < min_owners) | (F.col("repos") < min_owners)).alias("live")), "ownership")
     judged = (hot_join(some.select("_uid", "s", "_key"), verdict, "_key", "n")
               .select("_uid", F.col("s").withField("live", F.col("live")).alias("s"))
               .groupBy("_uid").agg(F.array_sort(F.collect_list("s")).alias("all")))
