@@ -21,6 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from crowdlens.operators import evaluate as _E
 from crowdlens.operators import mapping as _MP
@@ -65,15 +66,19 @@ build_vocabulary = _V.vocabulary
 def fit(df: DataFrame, vocab: DataFrame | None = None, iterations: int = _M.ITERATIONS,
         tol: float | None = None, use_words: bool = True, worker_prior: str = "biased",
         clamp: DataFrame | None = None, stem: str = "porter2", **options) -> CrowdModel:
-    """Fit the label model; with ``vocab`` and ``use_words`` the words of each
-    task's first text join the model."""
+    """Fit the label model; with ``use_words`` the words of each task's first
+    text join the model, over ``vocab`` or a vocabulary built from ``df``."""
     words = None
     size = None
-    if use_words and vocab is not None:
+    if use_words and vocab is None:
+        vocab = build_vocabulary(df, stem=stem)
+    if use_words:
         words = _V.task_words(df, vocab, stem=stem)
         size = vocab.count()
-    return _M.fit(df, words, vocab_size=size, iterations=iterations, tol=tol,
-                  worker_prior=worker_prior, clamp=clamp, **options)
+    model = _M.fit(df, words, vocab_size=size, iterations=iterations, tol=tol,
+                   worker_prior=worker_prior, clamp=clamp, **options)
+    model.stem, model.vocab = stem, vocab
+    return model
 
 
 @dataclass
@@ -92,7 +97,9 @@ def evaluate(model: CrowdModel, df: DataFrame, score: str = "p1",
     pred = _E.predictions(model, _MP.gold_per_task(df, model.domain))
     c = model.classes
     conf = _E.model_confusion(pred, c)
-    roc = _E.roc_points(pred, score=score, grid=grid)
+    # the curve is defined for two classes only: else its rates and area are null
+    scored = pred if c == 2 else pred.limit(0).withColumn("p_1", F.lit(None).cast("double"))
+    roc = _E.roc_points(scored, score=score, grid=grid)
     return Evaluation(pred, conf, _E.class_recall(pred, c), _E.metrics(pred, df, c),
                       _E.binary_confusion(conf), roc, _E.roc_auc(roc, anchor=grid == "full"))
 

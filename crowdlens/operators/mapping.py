@@ -152,14 +152,10 @@ def worker_tasks(ann: DataFrame, domain: LabelDomain) -> DataFrame:
             .select("worker_id", "worker_idx", "task_id", "task_idx", "label", "row_id"))
 
 
-# A10: portable seeded hash, the same integer arithmetic in Spark and SQL.
-HASH_PRIME = 2147483647  # fixed value: 2^31 - 1
-HASH_MULT = 48271        # fixed value: Lehmer multiplier
-
-
 def seeded_hash(row_id: str = "row_id", seed: int = 42):
-    return ((F.pmod(F.col(row_id), F.lit(HASH_PRIME)) * F.lit(HASH_MULT) + F.lit(seed))
-            % F.lit(HASH_PRIME))
+    """A10: a mixing hash of seed and row that Spark and SQL share, so another
+    seed gives another order."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")))
 
 
 def random_label(ann: DataFrame, seed: int = 42) -> DataFrame:

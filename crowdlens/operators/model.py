@@ -203,10 +203,9 @@ ROWS_PER_BUCKET = 50_000
 
 def _bucket_count(spark, n_rows: int) -> int:
     """Buckets for the co-located layout: about one per ``ROWS_PER_BUCKET``
-    annotations, at least the task slots, at most the shuffle partitions."""
-    slots = spark.sparkContext.defaultParallelism
-    most = max(slots, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    return max(slots, min(most, n_rows // ROWS_PER_BUCKET + 1))
+    annotations (which bounds the hash table of a bucket), at least the task
+    slots."""
+    return max(spark.sparkContext.defaultParallelism, n_rows // ROWS_PER_BUCKET + 1)
 
 
 def _bucketed(df: DataFrame, keys: list[str], buckets: int, name: str,
@@ -234,6 +233,9 @@ def _prepare(ann: DataFrame, domain: LabelDomain | None, words: DataFrame | None
         if stats["lo"] is None:
             raise ValueError("no annotations: the label domain is undefined")
         domain = LabelDomain(int(stats["lo"]), int(stats["hi"]))
+    if stats["lo"] is not None and (stats["lo"] < domain.label_min
+                                    or stats["hi"] >= domain.label_min + domain.count):
+        raise ValueError("annotations with a label outside the given domain")
     a = raw.select("task_id", "worker_id", "row_id",
                    (F.col("worker_label") - F.lit(domain.label_min)).cast("int").alias("label"))
     a = a.where((F.col("label") >= 0) & (F.col("label") < domain.count))
@@ -249,7 +251,7 @@ def _prepare(ann: DataFrame, domain: LabelDomain | None, words: DataFrame | None
         hot_workers = [r["worker_id"] for r in a.groupBy("worker_id")
                        .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > threshold)
                        .select("worker_id").collect()]
-    salt = (F.when(F.col("task_id").isin(hot), F.pmod(F.col("row_id"), F.lit(salts)))
+    salt = (F.when(F.col("task_id").isin(hot), F.pmod(F.xxhash64("row_id"), F.lit(salts)))
             .otherwise(F.lit(0)) if hot else F.lit(0))
     a = a.select("task_id", "worker_id", "label", salt.cast("int").alias("salt"))
     spark = ann.sparkSession
@@ -258,7 +260,7 @@ def _prepare(ann: DataFrame, domain: LabelDomain | None, words: DataFrame | None
     if buckets is not None:
         try:
             a = _bucketed(a, ["task_id", "salt"], buckets, "annotations")
-        except Exception:  # noqa: BLE001 -- no writable catalog: plain layout
+        except AnalysisException:  # no writable catalog, found before anything is written
             buckets = None
     if buckets is None:
         # spread evenly over the task slots so every round's scan is parallel
@@ -302,6 +304,8 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
     the largest change of q.
     """
     spark = ann.sparkSession
+    if words is not None and not vocab_size:
+        raise ValueError("words need vocab_size, the number of vocabulary terms")
     inp, domain = _prepare(ann, domain, words, vocab_size, hot_share, salts,
                            (buckets or 0) if co_locate else None, broadcast_rows)
     c = domain.count
@@ -326,10 +330,14 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
 
     clamp_q = None
     if clamp is not None:
+        clamp = clamp.groupBy("task_id").agg(F.min("label").alias("label"))
         clamp_q = cut(clamp.select("task_id", *[
             F.when(F.col("label") == t, 1.0).otherwise(0.0).alias(f"p_{t}")
             for t in range(c)]), "clamp")
 
+    part_q = None  # fixed classes of some tasks only: the others go on being estimated
+    if clamp_q is not None and not inp.ann.join(clamp_q, "task_id", "left_anti").isEmpty():
+        part_q, clamp_q = clamp_q, None
     q_prev = None
     history: list[tuple[int, float | None, float | None]] = []
     seconds: list[float] = []
@@ -378,6 +386,10 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
             summed = scores.groupBy("task_id").agg(*[
                 (F.sum(f"e_{t}") + F.lit(ek[t])).alias(f"e_{t}") for t in range(c)])
             q_new = _softmax(summed, c)
+            if part_q is not None:
+                fixed = part_q.select("task_id", *[F.col(f"p_{t}").alias(f"f_{t}") for t in range(c)])
+                q_new = q_new.join(fixed, "task_id", "left").select("task_id", *[
+                    F.coalesce(f"f_{t}", f"p_{t}").alias(f"p_{t}") for t in range(c)])
             if inp.buckets is not None:
                 q_tbl = _bucketed(_salted(q_new, inp.hot, salts), ["task_id", "salt"],
                                   inp.buckets, "q", q_tables)

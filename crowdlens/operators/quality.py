@@ -32,29 +32,29 @@ def _rule_array(labels: tuple[int, ...] | None, min_text_length: int) -> Column:
     clean_len = T.letters_only_length(body)
     rules = [
         _issue(T.is_blank(F.col("worker_id")), "error", "V2",
-               F.lit("WorkerId is empty or whitespace.")),
+               F.lit("worker id is blank")),
         _issue(T.is_blank(F.col("task_id")), "error", "V3",
-               F.lit("TaskId is empty or whitespace.")),
+               F.lit("task id is blank")),
     ]
     if allowed is not None:
         rules += [
             _issue(~wl.isin(allowed), "error", "V4",
-                   F.format_string("WorkerLabel '%d' is not a valid label. Expected one of: %s",
+                   F.format_string("worker label %d is outside {%s}",
                                    wl, F.lit(expected))),
             _issue(gl.isNotNull() & ~gl.isin(allowed), "error", "V5",
-                   F.format_string("GoldLabel '%d' is not a valid label. Expected one of: %s",
+                   F.format_string("gold label %d is outside {%s}",
                                    gl, F.lit(expected))),
         ]
     rules += [
-        _issue(blank_text, "error", "V6", F.lit("BodyText is empty or whitespace.")),
+        _issue(blank_text, "error", "V6", F.lit("text is blank")),
         _issue(~blank_text & ~T.has_letters(body), "warning", "V7",
-               F.lit("BodyText contains no alphabetic characters.")),
+               F.lit("text has no letters")),
         _issue(~blank_text & T.has_letters(body) & (clean_len < F.lit(min_text_length)),
                "warning", "V8",
-               F.format_string("BodyText is very short (%d characters after cleaning).",
+               F.format_string("text has only %d letters and spaces",
                                clean_len)),
         _issue(~blank_text & (F.length(body) > F.lit(T.LONG_TEXT)), "warning", "V9",
-               F.format_string("BodyText is very long (%d characters).", F.length(body))),
+               F.format_string("text has %d characters", F.length(body))),
     ]
     return F.array_compact(F.array(*rules))
 
@@ -99,24 +99,24 @@ def _dataset_rules() -> list[tuple[Column, str, str, Column, Column]]:
     """(condition, severity, rule, value, message) over the aggregate row."""
     share = F.try_divide(F.col("top").cast("double"), F.col("n_rows"))
     return [
-        (F.col("n_rows") == 0, "error", "V1", F.lit(0.0), F.lit("No data records found.")),
+        (F.col("n_rows") == 0, "error", "V1", F.lit(0.0), F.lit("the dataset has no rows")),
         ((F.col("n_rows") > 0) & (F.col("n_workers") == 0), "error", "V11",
-         F.lit(0.0), F.lit("No valid workers found in dataset.")),
+         F.lit(0.0), F.lit("no row names a worker")),
         (F.col("n_workers") == 1, "warning", "V11", F.lit(1.0),
-         F.lit("Only one unique worker found.")),
+         F.lit("all rows come from one worker")),
         ((F.col("n_rows") > 0) & (F.col("n_tasks") == 0), "error", "V12",
-         F.lit(0.0), F.lit("No valid tasks found in dataset.")),
+         F.lit(0.0), F.lit("no row names a task")),
         (F.col("n_tasks") == 1, "warning", "V12", F.lit(1.0),
-         F.lit("Only one unique task found.")),
+         F.lit("all rows belong to one task")),
         (F.col("single_tasks") > 0, "warning", "V13",
          F.col("single_tasks").cast("double"),
-         F.format_string("%d task(s) have only one annotation.", F.col("single_tasks"))),
+         F.format_string("%d tasks were labelled once", F.col("single_tasks"))),
         (F.col("n_labels") == 1, "warning", "V14", F.col("top_label").cast("double"),
-         F.format_string("All annotations have the same label (%d).",
+         F.format_string("every row has label %d",
                          F.col("top_label"))),
         ((F.col("n_labels") > 1) & (share > F.lit(SINGLE_LABEL_SHARE)), "warning",
          "V15", share,
-         F.format_string("Severe class imbalance: label %d dominates.",
+         F.format_string("label %d holds nearly all rows",
                          F.col("top_label"))),
     ]
 

@@ -32,11 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 ROUNDS = 3            # rounds of the registered fits (API default is 35)
-VOCAB_CAP = 1000      # vocabulary size of the registered word-model fits
+VOCAB_CAP = None      # the registered word-model fits take the whole vocabulary
 TOP_WORDS = 30        # fixed value: words per class in the word report
-PREFIX_ROWS = 20000   # fixed value: rows feeding the default vocabulary
-PREFIX_CAP = 6        # fixed value: size of the default vocabulary
-ROW_CAP = 32767       # fixed value: default row cap of the TSV reader
 BELIEF = 0.7
 
 
@@ -68,11 +65,16 @@ def A(spark, d):
     return FX.text_annotations(spark, d)
 
 
+def D(spark, d):
+    return FX.document_rows(spark, d)
+
+
 def B(spark, d):
     return FX.order_annotations(spark, d)
 
 
 WITH_A = f"with a as materialized ({S.FIXTURE_A})"
+WITH_D = f"with a as materialized ({S.FIXTURE_D})"  # the text queries read every document
 WITH_B = f"with b as materialized ({S.FIXTURE_B})"
 
 # ---------------------------------------------------------------- mapping (B)
@@ -172,7 +174,7 @@ def worker_tasks(spark, d):
     return MP.worker_tasks(b, MP.label_domain(b))
 
 
-HASH_SQL = (f"((row_id % {MP.HASH_PRIME}) * {MP.HASH_MULT} + 42) % {MP.HASH_PRIME}")
+HASH_SQL = "md5('42:' || row_id)"
 
 
 @register("random_label", WITH_B + f"""
@@ -195,20 +197,20 @@ def worker_label_accuracy(spark, d):
 
 QUALITY_ERRORS_SQL = """
 select row_id, 'error' as severity, 'V4' as rule,
-       'WorkerLabel ''' || worker_label || ''' is not a valid label. Expected one of: 0, 1'
+       'worker label ' || worker_label || ' is outside {0, 1}'
        as message from b where worker_label not in (0, 1)
 union all
 select row_id, 'error', 'V5',
-       'GoldLabel ''' || gold_label || ''' is not a valid label. Expected one of: 0, 1'
+       'gold label ' || gold_label || ' is outside {0, 1}'
 from b where gold_label is not null and gold_label not in (0, 1)
 union all
-select row_id, 'error', 'V2', 'WorkerId is empty or whitespace.' from b
+select row_id, 'error', 'V2', 'worker id is blank' from b
 where worker_id is null or regexp_matches(worker_id, '^\\s*$')
 union all
-select row_id, 'error', 'V3', 'TaskId is empty or whitespace.' from b
+select row_id, 'error', 'V3', 'task id is blank' from b
 where task_id is null or regexp_matches(task_id, '^\\s*$')
 union all
-select row_id, 'error', 'V6', 'BodyText is empty or whitespace.' from b
+select row_id, 'error', 'V6', 'text is blank' from b
 where body_text is null or regexp_matches(body_text, '^\\s*$')"""
 
 
@@ -219,11 +221,11 @@ def quality_errors(spark, d):
 
 QUALITY_WARNINGS_SQL = """
 select row_id, 'warning' as severity, 'V7' as rule,
-       'BodyText contains no alphabetic characters.' as message
+       'text has no letters' as message
 from a where not (body_text is null or regexp_matches(body_text, '^\\s*$'))
   and not regexp_matches(body_text, '[a-zA-Z]')
 union all
-select row_id, 'warning', 'V9', 'BodyText is very long (' || length(body_text) || ' characters).'
+select row_id, 'warning', 'V9', 'text has ' || length(body_text) || ' characters'
 from a where not (body_text is null or regexp_matches(body_text, '^\\s*$'))
   and length(body_text) > 10000"""
 
@@ -258,11 +260,11 @@ def quality_summary(spark, d):
 tasks as (select task_id, count(*) as n from b group by task_id),
 labs as (select worker_label, count(*) as n from b group by worker_label)
 select 'warning' as severity, 'V13' as rule, cast(count(*) as double) as value,
-       count(*) || ' task(s) have only one annotation.' as message
+       count(*) || ' tasks were labelled once' as message
 from tasks where n = 1 having count(*) > 0
 union all
 select 'warning', 'V15', round(max(n) * 1.0 / sum(n), 6),
-       'Severe class imbalance: label ' || arg_max(worker_label, n) || ' dominates.'
+       'label ' || arg_max(worker_label, n) || ' holds nearly all rows'
 from labs having count(*) > 1 and max(n) * 1.0 / sum(n) > 0.95""")
 def dataset_warnings(spark, d):
     return Q.dataset_issues(B(spark, d)).select("severity", "rule", r6("value"), "message")
@@ -295,11 +297,11 @@ def task_text(spark, d):
     return MP.task_text(A(spark, d))
 
 
-@register("corpus_distinct", WITH_A + """
+@register("corpus_distinct", WITH_D + """
 select body_text, min(row_id) as doc_order, count(*) as n_rows from a
 where body_text is not null group by body_text""")
 def corpus_distinct(spark, d):
-    return V.corpus(A(spark, d))
+    return V.corpus(D(spark, d))
 
 
 @register("relabel_majority", WITH_A + """,
@@ -318,45 +320,45 @@ def relabel_majority(spark, d):
 TTEXT = "ttext as materialized (select task_id, arg_min(body_text, row_id) as body_text from a group by task_id)"
 
 
-@register("clean_text", WITH_A + f""", {TTEXT}
+@register("clean_text", WITH_D + f""", {TTEXT}
 select task_id, {S.clean_sql('body_text')} as clean_text from ttext""")
 def clean_text(spark, d):
-    t = MP.task_text(A(spark, d))
+    t = MP.task_text(D(spark, d))
     return t.select("task_id", T.clean(F.col("body_text")).alias("clean_text"))
 
 
-@register("tokenize", WITH_A + f""", {TTEXT}
+@register("tokenize", WITH_D + f""", {TTEXT}
 {S.tokens_sql('ttext', 'task_id')}""")
 def tokenize(spark, d):
-    return V.tokens(MP.task_text(A(spark, d)), "task_id")
+    return V.tokens(MP.task_text(D(spark, d)), "task_id")
 
 
-@register("tokens_no_stop", WITH_A + f""", {TTEXT}
+@register("tokens_no_stop", WITH_D + f""", {TTEXT}
 select * from ({S.tokens_sql('ttext', 'task_id')}) where token not in ({S.STOP_LIST})""")
 def tokens_no_stop(spark, d):
-    return V.vocab_terms(MP.task_text(A(spark, d)), "task_id", stem="none").withColumnRenamed(
+    return V.vocab_terms(MP.task_text(D(spark, d)), "task_id", stem="none").withColumnRenamed(
         "term", "token")
 
 
-@register("term_counts", WITH_A + "," + S.vocab_ctes() + """
+@register("term_counts", WITH_D + "," + S.vocab_ctes() + """
 select term, n, df, first_doc, first_pos from tcount""")
 def term_counts(spark, d):
-    return V.term_stats(A(spark, d), stem="none").counts
+    return V.term_stats(D(spark, d), stem="none").counts
 
 
-@register("doc_freq", WITH_A + "," + S.vocab_ctes() + """
+@register("doc_freq", WITH_D + "," + S.vocab_ctes() + """
 select term, df from tcount""")
 def doc_freq(spark, d):
-    return V.term_stats(A(spark, d), stem="none").counts.select("term", "df")
+    return V.term_stats(D(spark, d), stem="none").counts.select("term", "df")
 
 
 IDF_SQL = "ln((select count(*) from docs) / (1.0 + df))"
 
 
-@register("idf", WITH_A + "," + S.vocab_ctes() + f"""
+@register("idf", WITH_D + "," + S.vocab_ctes() + f"""
 select term, df, round({IDF_SQL}, 6) as idf from tcount""")
 def idf(spark, d):
-    return V.idf(V.term_stats(A(spark, d), stem="none")).select("term", "df", r6("idf"))
+    return V.idf(V.term_stats(D(spark, d), stem="none")).select("term", "df", r6("idf"))
 
 
 TFIDF_CTE = f""",
@@ -368,40 +370,33 @@ l2 as materialized (select doc_order, term, tf, tfidf,
        from tf)"""
 
 
-@register("tfidf", WITH_A + "," + S.vocab_ctes() + TFIDF_CTE + """
+@register("tfidf", WITH_D + "," + S.vocab_ctes() + TFIDF_CTE + """
 select doc_order, term, tf, round(tfidf, 6) as tfidf from tf""")
 def tfidf(spark, d):
-    return V.tfidf(V.term_stats(A(spark, d), stem="none")).select(
+    return V.tfidf(V.term_stats(D(spark, d), stem="none")).select(
         "doc_order", "term", "tf", r6("tfidf"))
 
 
-@register("tfidf_l2", WITH_A + "," + S.vocab_ctes() + TFIDF_CTE + """
+@register("tfidf_l2", WITH_D + "," + S.vocab_ctes() + TFIDF_CTE + """
 select doc_order, term, round(weight, 6) as weight from l2""")
 def tfidf_l2(spark, d):
-    return V.tfidf_l2(V.term_stats(A(spark, d), stem="none")).select(
+    return V.tfidf_l2(V.term_stats(D(spark, d), stem="none")).select(
         "doc_order", "term", r6("weight"))
 
 
-@register("vocab_first_seen", WITH_A + "," + S.vocab_ctes() + """
+@register("vocab_first_seen", WITH_D + "," + S.vocab_ctes() + """
 select word_idx, term from vocab""")
 def vocab_first_seen(spark, d):
-    return V.vocabulary(A(spark, d), stem="none")
+    return V.vocabulary(D(spark, d), stem="none")
 
 
-@register("vocab_prefix_rows", WITH_A + "," + S.vocab_ctes(cap=PREFIX_CAP, prefix_rows=PREFIX_ROWS)
-          + """
-select word_idx, term from vocab""")
-def vocab_prefix_rows(spark, d):
-    return V.vocabulary(A(spark, d), stem="none", sample_rows=PREFIX_ROWS, max_terms=PREFIX_CAP)
-
-
-@register("vocab_min_count", WITH_A + "," + S.vocab_ctes(min_count=4) + """
+@register("vocab_min_count", WITH_D + "," + S.vocab_ctes(min_count=4) + """
 select word_idx, term from vocab""")
 def vocab_min_count(spark, d):
-    return V.vocabulary(A(spark, d), stem="none", min_count=4)
+    return V.vocabulary(D(spark, d), stem="none", min_count=4)
 
 
-@register("vocab_tfidf", WITH_A + "," + S.vocab_ctes() + TFIDF_CTE + """,
+@register("vocab_tfidf", WITH_D + "," + S.vocab_ctes() + TFIDF_CTE + """,
 seen as (select term, row_number() over (order by first_doc, first_pos) as seen from tcount),
 sel as (select l2.term, l2.doc_order, -l2.weight as neg_w, seen.seen,
                row_number() over (partition by l2.term order by l2.doc_order, -l2.weight, seen.seen) as rn
@@ -409,7 +404,7 @@ sel as (select l2.term, l2.doc_order, -l2.weight as neg_w, seen.seen,
 select cast(row_number() over (order by doc_order, neg_w, seen) - 1 as int) as word_idx, term
 from sel where rn = 1""")
 def vocab_tfidf(spark, d):
-    return V.vocabulary(A(spark, d), selection="tfidf", threshold=0.8, stem="none")
+    return V.vocabulary(D(spark, d), selection="tfidf", threshold=0.8, stem="none")
 
 
 def _vocab_a(spark, d):
@@ -439,20 +434,20 @@ def task_word_counts(spark, d):
     return V.task_word_counts(a, V.task_words(a, vocab, stem="none"))
 
 
-@register("processed_text_quality", WITH_A + f""", {TTEXT},
+@register("processed_text_quality", WITH_D + f""", {TTEXT},
 terms as (select task_id, count(*) as n from ({S.tokens_sql('ttext', 'task_id')})
           where token not in ({S.STOP_LIST}) group by task_id)
 select t.task_id, cast(coalesce(n, 0) as bigint) as n_terms,
        case when coalesce(n, 0) = 0 then 'empty' when n = 1 then 'one_term' else 'ok' end as status
 from ttext t left join terms on t.task_id = terms.task_id""")
 def processed_text_quality(spark, d):
-    return V.processed_text_quality(A(spark, d), stem="none")
+    return V.processed_text_quality(D(spark, d), stem="none")
 
 
 @register("stem_tokens")
 def stem_tokens(spark, d):
     """F10 (rows-only check): distinct vocabulary tokens and their stems."""
-    toks = V.vocab_terms(MP.task_text(A(spark, d)), "task_id", stem="none")
+    toks = V.vocab_terms(MP.task_text(D(spark, d)), "task_id", stem="none")
     distinct = toks.select(F.col("term").alias("token")).distinct()
     return distinct.select("token", stem_col(F.col("token"), "porter2").alias("stem"))
 
@@ -680,7 +675,7 @@ from s""")
 def score_text(spark, d):
     a, vocab, m = fit_a(spark, d)
     docs = FX.table(spark, d, "documents").select("doc_id", "text")
-    return score_texts(m, vocab, docs, "doc_id").select("doc_id", r6("p_0"), r6("p_1"))
+    return score_texts(m, vocab, docs, "doc_id", stem="none").select("doc_id", r6("p_0"), r6("p_1"))
 
 
 def _bound_sql(r: int, c: int = 2) -> str:
@@ -938,18 +933,6 @@ def load_tsv(spark, d):
     return TSV.read_annotations(spark, _tsv_read(spark, d))
 
 
-@register("load_capped", WITH_A + TSV_A + f"""
-select * from (
-select cast(line_no - 1 as bigint) as row_id, worker_id, task_id,
-       cast(worker_label as int) as worker_label, body_text, cast(gold_label as int) as gold_label
-from src
-union all
-select cast((select n from n) + k as bigint), worker_id, task_id, cast(worker_label as int),
-       body_text, cast(gold_label as int) from probes) order by row_id limit {ROW_CAP}""")
-def load_capped(spark, d):
-    return TSV.read_annotations(spark, _tsv_read(spark, d), max_rows=ROW_CAP)
-
-
 @register("load_rejects", WITH_A + """,
 n as (select count(*) as n from a)
 select cast((select n from n) + k as bigint) as line_no, reason, line from (values

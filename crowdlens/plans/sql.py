@@ -9,6 +9,12 @@ from crowdlens.functions.text import DELIMITERS
 from crowdlens.operators.model import DIAG_PRIOR, OFF_PRIOR
 from crowdlens.sources.stopwords import STOP_WORDS
 
+FIXTURE_D = """
+select doc_id as row_id, 'w0' as worker_id, cast(doc_id as varchar) as task_id,
+       cast(0 as int) as worker_label, text as body_text, cast(null as int) as gold_label
+from documents
+"""
+
 FIXTURE_A = """
 select cast(d.doc_id*100 + w.k as bigint) as row_id,
        concat('w', cast(w.k as varchar)) as worker_id,

@@ -28,6 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as one row of the canonical schema, for the text queries."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("bigint").alias("row_id"), F.lit("w0").alias("worker_id"),
+        F.col("doc_id").cast("string").alias("task_id"), F.lit(0).alias("worker_label"),
+        F.col("text").alias("body_text"), F.lit(None).cast("int").alias("gold_label"))
+
+
 def text_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     d = F.col("doc_id")
