@@ -31,7 +31,7 @@ from crowdlens.streaming.scoring import score_texts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-ROUNDS = 3            # rounds of the registered fits (API default is 35)
+ROUNDS = 35            # rounds of the registered fits (API default is 35)
 VOCAB_CAP = None      # the registered word-model fits take the whole vocabulary
 TOP_WORDS = 30        # fixed value: words per class in the word report
 BELIEF = 0.7

@@ -2,6 +2,8 @@
 
 import pytest
 
+from crowdlens.plans import catalog
+
 from tests.oracle_check import compare
 
 SF = "/root/testdata/sf0.001"
@@ -21,7 +23,8 @@ def test_every_query_has_sql_or_is_rows_only():
     import __spark_entry__ as e
     qs, sqls = e.queries(), e.oracle_sql()
     assert set(sqls) <= set(qs)
-    assert set(qs) - set(sqls) == {"stem_tokens"}
+    assert set(catalog.QUERIES) <= set(qs)
+    assert set(catalog.QUERIES) - set(sqls) == {"stem_tokens"}
 
 
 def test_entry_smoke(spark):
