@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from crowdlens.operators.ordering import dense_positions
 
 
+MAX_CLASSES = 1000  # the model holds one probability column per class
+
+
 @dataclass(frozen=True)
 class LabelDomain:
     """Label range observed on worker labels (or given by the caller)."""
@@ -25,6 +28,10 @@ class LabelDomain:
     label_min: int
     label_max: int
 
+    def __post_init__(self) -> None:
+        if self.count > MAX_CLASSES:
+            raise ValueError(f"labels {self.label_min} to {self.label_max} are more than {MAX_CLASSES} classes")
+
     @property
     def count(self) -> int:
         return self.label_max - self.label_min + 1
@@ -98,25 +105,56 @@ def gold_per_task(ann: DataFrame, domain: LabelDomain) -> DataFrame:
         "n_gold_values")
 
 
-def majority_vote(ann: DataFrame, domain: LabelDomain | None = None) -> DataFrame:
+VOTE_COLUMNS = 32  # classes counted in columns of their own
+
+
+def majority_vote(ann: DataFrame, domain: LabelDomain | None = None,
+                  given: DataFrame | None = None) -> DataFrame:
     """Most frequent label per task; a tie goes to the tied label
     whose first annotation comes first.
 
-    Two aggregations, no window: counts per (task, label), then ``max_by``
-    with the key ``(count, -first_row)``.
+    With a ``domain`` of few classes the votes of a task are columns of one hash
+    aggregate, and labels outside the domain (or null) have no vote; else they
+    are counts per (task, label), then ``max_by``.  ``given``: rows whose tasks
+    alone get a vote (A9); every annotation of such a task counts.
     """
     shift = domain.label_min if domain is not None else 0
-    per_label = ann.groupBy("task_id", "worker_label").agg(
-        F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"))
-    key = F.struct(F.col("n"), (-F.col("first_row")).alias("neg_first"))
-    best = per_label.groupBy("task_id").agg(
-        F.max_by(F.struct("worker_label", "n"), key).alias("_best"))
+    if given is not None:
+        ann = ann.join(given.select("task_id").distinct(), "task_id", "left_semi")
+    if domain is not None and domain.count <= VOTE_COLUMNS:
+        labels = range(domain.label_min, domain.label_max + 1)
+        votes = ann.where(F.col("worker_label").between(domain.label_min, domain.label_max)) \
+            .groupBy("task_id").agg(
+                *[F.count_if(F.col("worker_label") == x).alias(f"n_{i}") for i, x in enumerate(labels)],
+                *[F.min(F.when(F.col("worker_label") == x, F.col("row_id"))).alias(f"f_{i}")
+                  for i, x in enumerate(labels)])
+        best = F.array_max(F.array(*[
+            F.struct(F.col(f"n_{i}").alias("n"), (-F.col(f"f_{i}")).alias("neg_first"), F.lit(x).alias("worker_label"))
+            for i, x in enumerate(labels)]))
+        best = votes.select("task_id", best.alias("_best"))
+    else:
+        per_label = ann.groupBy("task_id", "worker_label").agg(
+            F.count(F.lit(1)).alias("n"), F.min("row_id").alias("first_row"))
+        key = F.struct(F.col("n"), (-F.col("first_row")).alias("neg_first"))
+        best = per_label.groupBy("task_id").agg(
+            F.max_by(F.struct("worker_label", "n"), key).alias("_best"))
     return best.select(
         "task_id",
         (F.col("_best.worker_label") - F.lit(shift)).cast("int").alias("majority_label"),
         F.col("_best.n").alias("majority_count"))
 
 
+def true_labels(ann: DataFrame, given: DataFrame, domain: LabelDomain, seed: int = 42) -> DataFrame:
+    """M8: ``task_id, label, voted`` (zero-based) for every task of ``ann``: the
+    vote of the tasks in ``given``, a seeded pick from the domain for the others."""
+    pick = F.pmod(F.conv(F.substring(seeded_hash("task_id", seed), 1, 8), 16, 10).cast("bigint"),
+                  F.lit(domain.count)).cast("int")
+    votes = majority_vote(ann, domain, given).select("task_id", "majority_label")
+    return ann.select("task_id").distinct().join(votes, "task_id", "left").select(
+        "task_id", F.coalesce("majority_label", pick).alias("label"),
+        F.col("majority_label").isNotNull().alias("voted"))
+
+
 def first_seen_index(ann: DataFrame, key: str, out: str) -> DataFrame:
     """Dense 0-based index of ``key`` values by first appearance."""
     firsts = ann.groupBy(key).agg(F.min("row_id").alias("first_row"))
@@ -131,10 +169,17 @@ def task_index(ann: DataFrame) -> DataFrame:
     return first_seen_index(ann, "task_id", "task_idx")
 
 
+def first_rows(ann: DataFrame, key: str) -> DataFrame:
+    """The first row of each ``key`` (``row_id`` is unique and never null).
+    The firsts are a hash aggregate of ids; texts are only joined, not sorted
+    and merged on the way."""
+    firsts = ann.groupBy(key).agg(F.min("row_id").alias("row_id"))
+    return ann.join(firsts, [key, "row_id"], "left_semi")
+
+
 def task_text(ann: DataFrame) -> DataFrame:
     """The text of the first annotation of each task."""
-    return ann.groupBy("task_id").agg(
-        F.min_by("body_text", "row_id").alias("body_text"))
+    return first_rows(ann, "task_id").select("task_id", "body_text")
 
 
 def worker_tasks(ann: DataFrame, domain: LabelDomain) -> DataFrame:
@@ -173,9 +218,7 @@ def relabel(ann: DataFrame, assigned: DataFrame, label_col: str) -> DataFrame:
     text = first text of the task, row_id = first row of the task.
     """
     first_worker = ann.agg(F.min_by("worker_id", "row_id")).first()[0]
-    texts = ann.groupBy("task_id").agg(
-        F.min_by("body_text", "row_id").alias("body_text"),
-        F.min("row_id").alias("row_id"))
+    texts = first_rows(ann, "task_id").select("task_id", "body_text", "row_id")
     return (assigned.join(texts, "task_id")
             .select("row_id",
                     F.lit(first_worker).cast("string").alias("worker_id"),

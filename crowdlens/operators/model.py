@@ -19,17 +19,18 @@ Spark shape per round: the E-step is a join of the annotations with the
 sums by task; the M-step is the annotations joined with q and grouped sums
 by (worker, label) and by word.  Classes are C columns, so the joins stay
 one row per annotation.  The (worker, label) and word tables are broadcast
-only when their row counts (known at fit start) are under
-``broadcast_rows``; otherwise they are shuffle-joined.
+only when their sizes (rows counted at fit start, times their columns) are under
+``broadcast_bytes``; otherwise they are shuffle-joined, and workers or words
+with over ``split_rows`` rows take their table rows by broadcast.
 
 Layout: the annotations and task words are written once as tables bucketed
-by (task, salt), and q is written bucketed the same way every round, so the
-E-step sums per (task, salt) and the M-step joins without moving the
-annotations; only task-sized and (worker, label)-sized data is shuffled per
-round.  Tasks holding a large share of all annotations get several salts
-(the hot-task list is bounded by construction).  Every round's tables live
-in the shared checkpoint folder, so lineage stays one round deep and a lost
-executor only re-runs the current round.
+by task, and q is written bucketed the same way every round, so the E-step
+sums and the M-step joins without moving the annotations.  If some tasks have
+over ``split_rows`` annotations, the bucket key is (task, salt) and each such
+task gets one salt per ``split_rows`` of them.  Every round's tables live in
+the shared checkpoint folder, so lineage stays one round deep and a lost
+executor only re-runs the current round; tables that no later round reads are
+deleted.
 """
 
 from __future__ import annotations
@@ -39,12 +40,14 @@ import time
 import uuid
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdlens.functions.special import digamma, lgamma
+from crowdlens.operators.joins import BROADCAST_BYTES, SPLIT_ROWS, hot_keys, small, split_join
 from crowdlens.operators.mapping import LabelDomain
-from crowdlens.session import cut, scratch_path
+from crowdlens.session import cut, release, scratch_path
 
 DIAG_PRIOR = 5.5   # fixed value: prior pseudo-count for a correct label
 OFF_PRIOR = 1.0    # fixed value: prior pseudo-count for a wrong label
@@ -189,42 +192,57 @@ def _softmax(scores: DataFrame, c: int) -> DataFrame:
 
 @dataclass
 class _Inputs:
-    ann: DataFrame          # task_id, worker_id, label, salt
-    words: DataFrame | None  # task_id, word_idx
-    hot: list[str]
-    n_pairs: int
-    vocab_size: int
+    ann: DataFrame          # task_id, worker_id, label (and salt)
+    words: DataFrame | None  # task_id, word_idx (and salt)
+    keys: list[str]         # task_id, with salt if some task is hot
+    salts: DataFrame | None  # task_id, salts of the hot tasks
     buckets: int | None     # bucket count when annotations are co-located with q
-    hot_workers: list[str]  # workers salted in a non-broadcast E-step join
+    hash_join: bool         # q of one bucket is small enough for a hash table
+    hot_workers: DataFrame | None  # read only if the tables are too large to broadcast
+    hot_words: DataFrame | None
+    word_only: bool         # some tasks have words but no annotation
+    bc_pairs: bool
+    bc_words: bool
+    vocab_size: int
 
 
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 200_000
+HASH_ROWS = 4_000_000  # rows of a bucket up to which its q is hashed, not sorted
 
 
 def _bucket_count(spark, n_rows: int) -> int:
-    """Buckets for the co-located layout: about one per ``ROWS_PER_BUCKET``
-    annotations (which bounds the hash table of a bucket), at least the task
-    slots."""
-    return max(spark.sparkContext.defaultParallelism, n_rows // ROWS_PER_BUCKET + 1)
+    """Buckets for the co-located layout: one per ``ROWS_PER_BUCKET`` annotations,
+    at least the task slots, at most what the session allows in one table."""
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    return min(most, max(spark.sparkContext.defaultParallelism, n_rows // ROWS_PER_BUCKET + 1))
 
 
-def _bucketed(df: DataFrame, keys: list[str], buckets: int, name: str,
-              tables: list[str] | None = None) -> DataFrame:
+def _bucketed(df: DataFrame, keys: list[str], buckets: int, name: str) -> DataFrame:
     """Write ``df`` as an external table bucketed by ``keys`` under the shared
     checkpoint folder and read it back.  Two tables bucketed the same way
     join and group on their keys without any exchange."""
     spark = df.sparkSession
-    table = f"crowdlens_{name}_{uuid.uuid4().hex[:12]}"
+    name = f"crowdlens_{name}_{uuid.uuid4().hex[:12]}"
+    path = scratch_path(spark, name)
     (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys)
-       .option("path", scratch_path(spark, table)).saveAsTable(table))
-    if tables is not None:
-        tables.append(table)
-    return spark.table(table)
+       .option("path", path).saveAsTable(name))
+    table = spark.table(name)
+    table.written_to, table.catalog_name = path, name
+    return table
+
+
+def _forget(table: DataFrame | None) -> None:
+    """Delete a written table that nothing reads any more."""
+    if table is None:
+        return
+    if hasattr(table, "catalog_name"):
+        table.sparkSession.sql(f"DROP TABLE IF EXISTS {table.catalog_name}")
+    release(table)
 
 
 def _prepare(ann: DataFrame, domain: LabelDomain | None, words: DataFrame | None,
-             vocab_size: int | None, hot_share: float, salts: int,
-             buckets: int | None, broadcast_rows: int) -> tuple[_Inputs, LabelDomain]:
+             vocab_size: int | None, split_rows: int,
+             buckets: int | None, broadcast_bytes: int) -> tuple[_Inputs, LabelDomain]:
     raw = cut(ann.select("task_id", "worker_id", "row_id", "worker_label"), "annotations")
     stats = raw.agg(F.count(F.lit(1)).alias("n"),
                     F.countDistinct("worker_id", "worker_label").alias("pairs"),
@@ -236,55 +254,56 @@ def _prepare(ann: DataFrame, domain: LabelDomain | None, words: DataFrame | None
     if stats["lo"] is not None and (stats["lo"] < domain.label_min
                                     or stats["hi"] >= domain.label_min + domain.count):
         raise ValueError("annotations with a label outside the given domain")
+    c, v = domain.count, int(vocab_size or 0)
     a = raw.select("task_id", "worker_id", "row_id",
                    (F.col("worker_label") - F.lit(domain.label_min)).cast("int").alias("label"))
-    a = a.where((F.col("label") >= 0) & (F.col("label") < domain.count))
-    n_rows, n_pairs = int(stats["n"]), int(stats["pairs"])
-    # Hot tasks: more than ``hot_share`` of all annotations.  At most
-    # 1/hot_share of them exist, so the list is bounded by construction.
-    threshold = max(1, int(n_rows * hot_share))
-    hot = [r["task_id"] for r in a.groupBy("task_id").agg(F.count(F.lit(1)).alias("n"))
-           .where(F.col("n") > threshold).select("task_id").collect()]
-    hot_workers: list[str] = []
-    if n_pairs > broadcast_rows:
-        # the worker table will be shuffle-joined: find workers to salt
-        hot_workers = [r["worker_id"] for r in a.groupBy("worker_id")
-                       .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > threshold)
-                       .select("worker_id").collect()]
-    salt = (F.when(F.col("task_id").isin(hot), F.pmod(F.xxhash64("row_id"), F.lit(salts)))
-            .otherwise(F.lit(0)) if hot else F.lit(0))
-    a = a.select("task_id", "worker_id", "label", salt.cast("int").alias("salt"))
+    a = a.where((F.col("label") >= 0) & (F.col("label") < c))
+    bc_pairs = int(stats["pairs"]) * (64 + 16 * c) <= broadcast_bytes
+    bc_words = v * (24 + 8 * c) <= broadcast_bytes
+    hot = hot_keys(a, "task_id", split_rows)
+    hot_workers = None if bc_pairs else hot_keys(a, "worker_id", split_rows)
+    keys, salts = ["task_id"], None
+    if hot is not None:
+        keys = ["task_id", "salt"]
+        salts = small(cut(hot.select("task_id", F.ceil(F.col("n") / F.lit(split_rows)).cast("int").alias("salts")),
+                          "salts"))
+        a = a.join(salts, "task_id", "left").withColumn(
+            "salt", F.pmod(F.xxhash64("row_id", "worker_id"), F.coalesce("salts", F.lit(1))).cast("int"))
+    a = a.select("task_id", "worker_id", "label", *keys[1:])
     spark = ann.sparkSession
+    n_rows = int(stats["n"])
     if buckets == 0:
         buckets = _bucket_count(spark, n_rows)
     if buckets is not None:
         try:
-            a = _bucketed(a, ["task_id", "salt"], buckets, "annotations")
+            placed = _bucketed(a, keys, buckets, "annotations")
         except AnalysisException:  # no writable catalog, found before anything is written
             buckets = None
     if buckets is None:
         # spread evenly over the task slots so every round's scan is parallel
-        a = cut(a.repartition(spark.sparkContext.defaultParallelism), "annotations")
-    w = None
-    v = 0
+        placed = cut(a.repartition(spark.sparkContext.defaultParallelism), "annotations")
+    release(raw)
+    w = hot_words = None
+    word_only = False
     if words is not None:
-        w = words.select("task_id", F.col("word_idx").cast("int").alias("word_idx"))
+        w = words.select("task_id", F.col("word_idx").cast("bigint").alias("word_idx"),
+                         *[F.lit(0).alias(x) for x in keys[1:]])  # meets q's salt-0 row exactly once
         if buckets is not None:
-            # same buckets as q (salt 0 meets q's salt-0 row exactly once)
-            w = _bucketed(w.withColumn("salt", F.lit(0)), ["task_id", "salt"], buckets,
-                          "task_words")
+            w = _bucketed(w, keys, buckets, "task_words")
         else:
             w = cut(w.repartition(spark.sparkContext.defaultParallelism), "task-words")
-        v = int(vocab_size) if vocab_size is not None else 0
-    return _Inputs(a, w, hot, n_pairs, v, buckets, hot_workers), domain
+        hot_words = None if bc_words else hot_keys(w, "word_idx", split_rows)
+        word_only = not w.join(placed, keys, "left_anti").isEmpty()
+    return _Inputs(placed, w, keys, salts, buckets, n_rows <= HASH_ROWS * (buckets or 0), hot_workers, hot_words,
+                   word_only, bc_pairs, bc_words, v), domain
 
 
 def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None = None,
         iterations: int = ITERATIONS, domain: LabelDomain | None = None,
         worker_prior: str = "biased", belief: float = 0.7, tol: float | None = None,
         trace: bool = True, clamp: DataFrame | None = None,
-        broadcast_rows: int = 2_000_000, hot_share: float = 0.01,
-        salts: int = 32, co_locate: bool = True, buckets: int | None = None) -> CrowdModel:
+        broadcast_bytes: int = BROADCAST_BYTES, split_rows: int = SPLIT_ROWS,
+        co_locate: bool = True, buckets: int | None = None) -> CrowdModel:
     """M1/M5: fit the model for ``iterations`` rounds (or until the largest
     change of any task posterior is below ``tol``).
 
@@ -292,26 +311,23 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
     labels-only model (M10).  ``clamp``: ``(task_id, label)`` fixes the true
     class of those tasks (M8).  Returns the posterior tables.
 
-    ``co_locate``: store the annotations bucketed by (task, salt) once and
-    write q bucketed the same way every round, so neither the E-step sum
-    nor the annotation-q join moves the annotations (only task-sized data
-    is shuffled per round).  ``buckets`` defaults to one per 50,000
-    annotations, between the task slots and the shuffle partitions.
+    ``co_locate``: store the annotations bucketed by task once and write q
+    bucketed the same way every round, so neither the E-step sum nor the
+    annotation-q join moves the annotations.  ``buckets`` defaults to one per
+    200,000 annotations.  ``split_rows``: annotations of one task (worker, word)
+    that may meet in one task; beyond it the key is split.
 
     Jobs per round: write q, write the (worker, label) table, write the
     word table, one aggregate over q (class totals + entropy), one over the
     word table; with ``trace`` one more over workers (bound) and one for
     the largest change of q.
     """
-    spark = ann.sparkSession
     if words is not None and not vocab_size:
         raise ValueError("words need vocab_size, the number of vocabulary terms")
-    inp, domain = _prepare(ann, domain, words, vocab_size, hot_share, salts,
-                           (buckets or 0) if co_locate else None, broadcast_rows)
+    inp, domain = _prepare(ann, domain, words, vocab_size, split_rows,
+                           (buckets or 0) if co_locate else None, broadcast_bytes)
     c = domain.count
     prior = confusion_prior(c, worker_prior, belief)
-    bc_pairs = inp.n_pairs <= broadcast_rows
-    bc_words = inp.vocab_size <= broadcast_rows
     row0 = [sum(prior[t]) for t in range(c)]
 
     # Initial parameters = priors: kappa = 1, pi = prior, phi = 1.
@@ -338,14 +354,11 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
     part_q = None  # fixed classes of some tasks only: the others go on being estimated
     if clamp_q is not None and not inp.ann.join(clamp_q, "task_id", "left_anti").isEmpty():
         part_q, clamp_q = clamp_q, None
-    q_prev = None
+    stored = before = None  # q of this round and of the last one, with its salts
     history: list[tuple[int, float | None, float | None]] = []
     seconds: list[float] = []
-    q_tables: list[str] = []
     for it in range(1, iterations + 1):
         started = time.time()
-        if len(q_tables) >= 2:
-            _drop_table(spark, q_tables.pop(0))  # two rounds old: no longer read
         # ---------------- E-step: one grouped sum by task ----------------
         if clamp_q is not None:
             q = clamp_q
@@ -353,67 +366,45 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
             epi = worker_alpha.select("worker_id", "label", *[
                 (digamma(F.col(f"a_{t}")) - digamma(F.col(f"s_{t}"))).alias(f"e_{t}")
                 for t in range(c)])
-            if bc_pairs:
+            if inp.bc_pairs:
                 scores = inp.ann.join(F.broadcast(epi), ["worker_id", "label"])
-            elif inp.hot_workers:
-                # shuffle join: spread each hot worker's annotations over
-                # ``salts`` keys and repeat its table rows for every salt
-                hw = inp.hot_workers
-                wsalt = F.when(F.col("worker_id").isin(hw),
-                               F.pmod(F.xxhash64("task_id", "salt"), F.lit(salts))) \
-                    .otherwise(F.lit(0)).cast("int")
-                epi_s = epi.withColumn("wsalt", F.explode(
-                    F.when(F.col("worker_id").isin(hw), F.sequence(F.lit(0), F.lit(salts - 1)))
-                    .otherwise(F.array(F.lit(0)))))
-                scores = inp.ann.withColumn("wsalt", wsalt).join(
-                    epi_s, ["worker_id", "label", "wsalt"])
             else:
-                scores = inp.ann.join(epi, ["worker_id", "label"])
-            if inp.buckets is not None:
-                # per (task, salt) first: on the bucketed layout no exchange
-                scores = scores.groupBy("task_id", "salt").agg(
-                    *[F.sum(f"e_{t}").alias(f"e_{t}") for t in range(c)])
-            scores = scores.select("task_id", *p_cols(c, "e_"))
+                scores = split_join(inp.ann, epi, ["worker_id", "label"], inp.hot_workers)
+            ws = None
             if inp.words is not None:
                 ephi = _elog_phi(word_alpha, word_totals, c)
-                ephi = F.broadcast(ephi) if bc_words else ephi
-                ws = inp.words.join(ephi, "word_idx")
-                if inp.buckets is not None:
-                    ws = ws.groupBy("task_id", "salt").agg(
-                        *[F.sum(f"e_{t}").alias(f"e_{t}") for t in range(c)])
-                scores = scores.unionByName(ws.select("task_id", *p_cols(c, "e_")))
+                if inp.bc_words:
+                    ws = inp.words.join(F.broadcast(ephi), "word_idx")
+                else:
+                    ws = split_join(inp.words, ephi, ["word_idx"], inp.hot_words)
             ek = _elog_kappa(kappa)
-            summed = scores.groupBy("task_id").agg(*[
-                (F.sum(f"e_{t}") + F.lit(ek[t])).alias(f"e_{t}") for t in range(c)])
-            q_new = _softmax(summed, c)
+            q_new = _softmax(_summed(scores, ws, inp, c).select("task_id", *[
+                (F.col(f"e_{t}") + F.lit(ek[t])).alias(f"e_{t}") for t in range(c)]), c)
             if part_q is not None:
                 fixed = part_q.select("task_id", *[F.col(f"p_{t}").alias(f"f_{t}") for t in range(c)])
                 q_new = q_new.join(fixed, "task_id", "left").select("task_id", *[
                     F.coalesce(f"f_{t}", f"p_{t}").alias(f"p_{t}") for t in range(c)])
-            if inp.buckets is not None:
-                q_tbl = _bucketed(_salted(q_new, inp.hot, salts), ["task_id", "salt"],
-                                  inp.buckets, "q", q_tables)
-                q = q_tbl.where(F.col("salt") == 0).drop("salt")
-            else:
-                q = cut(q_new, "q")
+            q_new = _salted(q_new, inp)
+            stored = (_bucketed(q_new, inp.keys, inp.buckets, "q") if inp.buckets is not None
+                      else cut(q_new, "q"))
+            q = _plain(stored)
 
         # ---------------- M-step: grouped sums of q ----------------
-        if clamp_q is None and inp.buckets is not None:
-            # both sides bucketed by (task, salt): hash join without exchange
-            aq = inp.ann.join(q_tbl.hint("shuffle_hash"), ["task_id", "salt"])
-        elif inp.hot:
-            aq = inp.ann.join(_salted(q, inp.hot, salts), ["task_id", "salt"])
-        else:
-            aq = inp.ann.join(q, "task_id")
-        counts = aq.groupBy("worker_id", "label").agg(*[
+        if clamp_q is not None:
+            at_rows, on = q, ["task_id"]
+        else:  # both sides bucketed by the keys: joined without exchange
+            at_rows, on = stored.hint("shuffle_hash") if inp.hash_join else stored, inp.keys
+        counts = inp.ann.join(at_rows, on).groupBy("worker_id", "label").agg(*[
             (F.sum(f"p_{t}") + F.first(_prior_col(F.col("label"), t, prior))).alias(f"a_{t}")
             for t in range(c)])
         # each worker's row sums ride along (a window over at most C rows
         # per worker), so the next E-step needs no group-by or join
         per_worker = Window.partitionBy("worker_id")
+        used = worker_alpha
         worker_alpha = cut(counts.select("worker_id", "label", *p_cols(c, "a_"), *[
             (F.sum(F.col(f"a_{t}") - _prior_col(F.col("label"), t, prior)).over(per_worker)
              + F.lit(row0[t])).alias(f"s_{t}") for t in range(c)]), "worker-alpha")
+        _forget(used)
         ent = sum((F.when(F.col(f"p_{t}") > 0, -F.col(f"p_{t}") * F.log(F.col(f"p_{t}")))
                    .otherwise(0.0) for t in range(c)), F.lit(0.0))
         totals = q.agg(*[F.sum(f"p_{t}").alias(f"k_{t}") for t in range(c)],
@@ -422,13 +413,11 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
         entropy = float(totals["entropy"] or 0.0)
         w_cells = 0.0
         if inp.words is not None:
-            if clamp_q is None and inp.buckets is not None:
-                wq = inp.words.join(q_tbl.hint("shuffle_hash"), ["task_id", "salt"])
-            else:
-                wq = inp.words.join(q, "task_id")
-            word_alpha = cut(wq.groupBy("word_idx").agg(*[
+            used = word_alpha
+            word_alpha = cut(inp.words.join(at_rows, on).groupBy("word_idx").agg(*[
                 (F.sum(f"p_{t}") + F.lit(WORD_PRIOR)).alias(f"a_{t}") for t in range(c)]),
                 "word-alpha")
+            _forget(used)
             wt = word_alpha.agg(
                 *[F.sum(F.col(f"a_{t}") - F.lit(WORD_PRIOR)).alias(f"w_{t}") for t in range(c)],
                 F.sum(sum((lgamma(F.col(f"a_{t}")) - F.lit(math.lgamma(WORD_PRIOR))
@@ -438,8 +427,8 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
             w_cells = float(wt["cells"] or 0.0)
 
         elbo = delta = None
-        if (trace or tol is not None) and q_prev is not None and clamp_q is None:
-            delta = _max_delta(q, q_prev, c)
+        if (trace or tol is not None) and before is not None:
+            delta = _max_delta(stored, before, inp.keys, c)
         if trace:
             elbo = entropy + _kappa_bound(kappa) + _worker_bound(worker_alpha, prior, c)
             if inp.words is not None:
@@ -448,32 +437,51 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
                                       for t in range(c))
         history.append((it, elbo, delta))
         seconds.append(time.time() - started)
-        q_prev = q
+        _forget(before)
+        before = stored
         if clamp_q is not None:
             break  # nothing changes between rounds when every class is fixed
         if tol is not None and delta is not None and delta < tol:
             break
+    _forget(inp.ann)
+    _forget(inp.words)
 
     return CrowdModel(domain, q, worker_alpha, worker_rows(worker_alpha, prior, c), kappa,
                       word_alpha, inp.vocab_size, word_totals, prior, history, seconds)
 
 
-def _drop_table(spark, name: str) -> None:
-    """Forget a superseded per-round table in the catalog (its files stay
-    in the checkpoint folder, which the cluster cleans)."""
-    try:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-    except Exception:  # noqa: BLE001 -- cleanup is best effort, never fails a fit
-        pass
+def _summed(scores: DataFrame, ws: DataFrame | None, inp: _Inputs, c: int) -> DataFrame:
+    """Scores of annotations and words summed by task.  On the bucketed layout
+    both are summed and joined where they lie; with hot tasks the sums by salt
+    are exchanged once more."""
+    def sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+        return rows.groupBy(*keys).agg(*[F.sum(f"e_{t}").alias(f"e_{t}") for t in range(c)])
+
+    if inp.buckets is not None and inp.salts is None:
+        own = sums(scores, ["task_id"])
+        if ws is None:
+            return own
+        more = sums(ws, ["task_id"]).select("task_id", *[F.col(f"e_{t}").alias(f"w_{t}") for t in range(c)])
+        zero = F.lit(0.0)
+        return own.join(more, "task_id", "full_outer" if inp.word_only else "left").select("task_id", *[
+            (F.coalesce(f"e_{t}", zero) + F.coalesce(f"w_{t}", zero)).alias(f"e_{t}") for t in range(c)])
+    cols = ["task_id", *p_cols(c, "e_")]
+    parts = [sums(x, inp.keys) if inp.buckets is not None else x for x in (scores, ws) if x is not None]
+    both = parts[0].select(*cols) if len(parts) == 1 else parts[0].select(*cols).unionByName(parts[1].select(*cols))
+    return sums(both, ["task_id"])
 
 
-def _salted(q: DataFrame, hot: list[str], salts: int) -> DataFrame:
-    """q with a ``salt`` column: hot tasks repeated for every salt, others salt 0."""
-    if not hot:
-        return q.withColumn("salt", F.lit(0))
-    return q.withColumn("salt", F.explode(
-        F.when(F.col("task_id").isin(hot), F.sequence(F.lit(0), F.lit(salts - 1)))
-        .otherwise(F.array(F.lit(0)))))
+def _salted(q: DataFrame, inp: _Inputs) -> DataFrame:
+    """q with a row for every salt of the hot tasks (salt 0 for the others)."""
+    if inp.salts is None:
+        return q
+    last = F.coalesce(F.col("salts"), F.lit(1)) - 1
+    return (q.join(inp.salts, "task_id", "left")
+            .withColumn("salt", F.explode(F.sequence(F.lit(0), last))).drop("salts"))
+
+
+def _plain(stored: DataFrame) -> DataFrame:
+    return stored.where(F.col("salt") == 0).drop("salt") if "salt" in stored.columns else stored
 
 
 def worker_rows(worker_alpha: DataFrame, prior: list[list[float]], c: int) -> DataFrame:
@@ -485,9 +493,10 @@ def worker_rows(worker_alpha: DataFrame, prior: list[list[float]], c: int) -> Da
         .alias(f"s_{t}") for t in range(c)])
 
 
-def _max_delta(q: DataFrame, q_prev: DataFrame, c: int) -> float:
-    prev = q_prev.select("task_id", *[F.col(f"p_{t}").alias(f"o_{t}") for t in range(c)])
-    d = q.join(prev, "task_id").select(F.greatest(*[
+def _max_delta(q: DataFrame, q_prev: DataFrame, keys: list[str], c: int) -> float:
+    """Largest change of any posterior; both sides are stored by the same keys."""
+    prev = q_prev.select(*keys, *[F.col(f"p_{t}").alias(f"o_{t}") for t in range(c)])
+    d = q.join(prev, keys).select(F.greatest(*[
         F.abs(F.col(f"p_{t}") - F.col(f"o_{t}")) for t in range(c)], F.lit(0.0)).alias("d"))
     v = d.agg(F.max("d")).first()[0]
     return float(v) if v is not None else 0.0
@@ -539,8 +548,13 @@ def score_text(model: CrowdModel, keys: DataFrame, doc_words: DataFrame,
     ephi = _elog_phi(model.word_alpha, model.word_totals, c)
     unseen = [_digamma_py(WORD_PRIOR) - _digamma_py(model.word_totals[t]) for t in range(c)]
     ek = _elog_kappa(model.kappa)
-    scored = doc_words.join(F.broadcast(ephi) if model.vocab_size <= 2_000_000 else ephi,
-                            "word_idx", "left")
+    if model.vocab_size * (24 + 8 * c) <= BROADCAST_BYTES:
+        scored = doc_words.join(F.broadcast(ephi), "word_idx", "left")
+    else:
+        doc_words = cut(doc_words, "doc-words")
+        seen = doc_words.join(ephi.select("word_idx"), "word_idx", "left_anti")  # words of no task
+        scored = split_join(doc_words, ephi, ["word_idx"], hot_keys(doc_words, "word_idx")) \
+            .unionByName(seen, allowMissingColumns=True)
     j = keys.select(key).distinct().join(scored, key, "left")
     summed = j.groupBy(key).agg(*[
         (F.sum(F.when(F.col("word_idx").isNull(), F.lit(0.0))
@@ -554,9 +568,12 @@ def worker_prediction(model: CrowdModel, pairs: DataFrame) -> DataFrame:
 
     ``pairs``: ``(worker_id, task_id)``.  One row per pair and label."""
     c = model.classes
-    conf = model.worker_confusion().groupBy("worker_id", "label").pivot(
-        "true_class", list(range(c))).agg(F.first("mean"))
-    conf = conf.select("worker_id", "label", *[F.col(str(t)).alias(f"m_{t}") for t in range(c)])
+    obs = model.worker_alpha.select("worker_id", "label", *p_cols(c, "a_"))
+    conf = (model.worker_rows.withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(c - 1))))
+            .join(obs, ["worker_id", "label"], "left")
+            .select("worker_id", "label", *[
+                (F.coalesce(F.col(f"a_{t}"), _prior_col(F.col("label"), t, model.prior)) / F.col(f"s_{t}"))
+                .alias(f"m_{t}") for t in range(c)]))
     j = pairs.join(model.q, "task_id").join(conf, "worker_id")
     prob = sum((F.col(f"p_{t}") * F.col(f"m_{t}") for t in range(c)), F.lit(0.0))
     return j.select("worker_id", "task_id", F.col("label").cast("int").alias("label"),

@@ -10,17 +10,21 @@ distinct text, which is also their first-seen order.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdlens.functions import text as T
-from crowdlens.functions.stem import stem_col
+from crowdlens.functions.stem import stem_words
+from crowdlens.operators.joins import (
+    BROADCAST_BYTES, SPLIT_ROWS, hot_keys, keyed_join, measured_bytes, small, split_join)
+from crowdlens.operators.mapping import task_text
 from crowdlens.operators.ordering import dense_positions
-from crowdlens.session import cut
+from crowdlens.session import cut, release
 from crowdlens.sources.stopwords import STOP_WORDS
 
-BROADCAST_ROWS = 2_000_000  # largest term table shipped to every task
+StopWords = tuple[str, ...] | DataFrame  # a DataFrame has its words in its first column
 
 
 def limited_rows(ann: DataFrame, max_rows: int | None) -> DataFrame:
@@ -45,10 +49,6 @@ def corpus(ann: DataFrame) -> DataFrame:
             .agg(F.min("row_id").alias("doc_order"), F.count(F.lit(1)).alias("n_rows")))
 
 
-def cleaned(docs: DataFrame, text_col: str = "body_text") -> DataFrame:
-    return docs.withColumn("clean_text", T.clean(F.col(text_col)))
-
-
 def tokens(docs: DataFrame, key: str, text_col: str = "body_text",
            keep_empty: bool = False) -> DataFrame:
     """``(key, pos, token)``; ``pos`` indexes the split parts."""
@@ -58,15 +58,33 @@ def tokens(docs: DataFrame, key: str, text_col: str = "body_text",
     return out if keep_empty else out.where(F.length("token") > 0)
 
 
+def without_stop_words(toks: DataFrame, stop_words: StopWords) -> DataFrame:
+    """PF8/J4: drops the tokens on the list."""
+    if isinstance(stop_words, DataFrame):
+        listed = cut(stop_words.select(F.col(stop_words.columns[0]).alias("token")).distinct(), "stop-words")
+        return toks.join(small(listed), "token", "left_anti")
+    return toks.where(~F.col("token").isin(list(stop_words)))
+
+
+def stemmed(toks: DataFrame, stem: str) -> DataFrame:
+    """PF9/F10: ``token`` of each row replaced by its ``term``; empty terms go.
+    Every distinct token is stemmed once, so ``toks`` is read twice (a written
+    table, unless ``stem`` is ``none``)."""
+    if stem == "none":
+        return toks.withColumnRenamed("token", "term").where(F.length("term") > 0)
+    stems = cut(stem_words(toks.select("token").distinct(), stem), "stems").where(F.length("term") > 0)
+    return keyed_join(toks, stems, "token").drop("token")
+
+
 def vocab_terms(docs: DataFrame, key: str, stem: str = "porter2",
-                stop_words: tuple[str, ...] = STOP_WORDS,
+                stop_words: StopWords = STOP_WORDS,
                 text_col: str = "body_text") -> DataFrame:
     """Vocabulary path: tokens minus stop words (PF8/J4, before stemming),
     stemmed (F10), empty stems dropped (PF9).  ``(key, pos, term)``."""
-    toks = tokens(docs, key, text_col, keep_empty=True)
-    kept = toks.where(~F.col("token").isin(list(stop_words)))
-    return (kept.select(key, "pos", stem_col(F.col("token"), stem).alias("term"))
-            .where(F.length("term") > 0))
+    kept = without_stop_words(tokens(docs, key, text_col), stop_words)
+    if stem != "none":
+        kept = cut(kept, "tokens")
+    return stemmed(kept, stem).select(key, "pos", "term")
 
 
 @dataclass
@@ -75,30 +93,42 @@ class TermStats:
 
     doc_terms: DataFrame  # doc_order, term, tf, first_pos   (one row per document x term)
     counts: DataFrame     # term, n, df, first_doc, first_pos
-    n_docs: int
+    source: DataFrame     # the annotations
+
+    @cached_property
+    def n_docs(self) -> int:
+        """Distinct texts, counted on their digests (the texts stay where they are)."""
+        texts = self.source.where(F.col("body_text").isNotNull())
+        return texts.select(F.sha2("body_text", 256).alias("d"), F.length("body_text")).distinct().count()
 
 
 def term_stats(ann: DataFrame, stem: str = "porter2",
-               stop_words: tuple[str, ...] = STOP_WORDS) -> TermStats:
+               stop_words: StopWords = STOP_WORDS) -> TermStats:
     """A13/A14/A16 over the distinct texts of ``ann``.
 
-    Tokens are aggregated once per (document, term) -- term frequency and
-    first position -- and every corpus statistic derives from that much
-    smaller table, so the texts are tokenised once.
+    Tokens are aggregated once per (document, token) -- frequency and first
+    position -- before they are stemmed, and every corpus statistic derives
+    from that much smaller table, so the texts are tokenised once.
     """
-    docs = corpus(ann)
-    terms = vocab_terms(docs, "doc_order", stem, stop_words)
-    doc_terms = cut(terms.groupBy("doc_order", "term").agg(
-        F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos")), "doc-terms")
+    toks = without_stop_words(tokens(corpus(ann), "doc_order"), stop_words)
+    doc_terms = cut(toks.groupBy("doc_order", "token").agg(
+        F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos")), "doc-tokens")
+    if stem == "none":
+        doc_terms = stemmed(doc_terms, stem).select("doc_order", "term", "tf", "first_pos")
+    else:
+        doc_tokens = doc_terms
+        doc_terms = cut(stemmed(doc_tokens, stem).groupBy("doc_order", "term").agg(
+            F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos")), "doc-terms")
+        release(doc_tokens)
+    # (document, position) as one number, so that its minimum is a hash aggregate
+    place = F.col("doc_order").cast("decimal(20,0)") * F.lit(1 << 31) + F.col("first_pos")
     counts = doc_terms.groupBy("term").agg(
-        F.sum("tf").alias("n"),
-        F.count(F.lit(1)).alias("df"),
-        F.min(F.struct("doc_order", "first_pos")).alias("_first"))
-    counts = counts.select("term", "n", "df",
-                           F.col("_first.doc_order").alias("first_doc"),
-                           F.col("_first.first_pos").alias("first_pos"))
-    n_docs = docs.count()
-    return TermStats(doc_terms, counts, n_docs)
+        F.sum("tf").alias("n"), F.count(F.lit(1)).alias("df"), F.min(place).alias("_first"))
+    counts = counts.withColumn("_pos", F.pmod(F.col("_first"), F.lit(1 << 31).cast("decimal(11,0)"))).select(
+        "term", "n", "df",
+        F.expr(f"CAST((_first - _pos) DIV {1 << 31} AS BIGINT)").alias("first_doc"),
+        F.col("_pos").cast("int").alias("first_pos"))
+    return TermStats(doc_terms, counts, ann)
 
 
 def idf(stats: TermStats) -> DataFrame:
@@ -108,16 +138,17 @@ def idf(stats: TermStats) -> DataFrame:
         F.log(F.lit(float(stats.n_docs)) / (F.lit(1.0) + F.col("df"))).alias("idf"))
 
 
-def _small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def tfidf(stats: TermStats) -> DataFrame:
-    """Sparse ``(doc_order, term, tf, tfidf)``."""
+    """Sparse ``(doc_order, term, tf, tfidf)``.  A term's document
+    frequency is its number of rows here, so the hot terms are known."""
     tf = stats.doc_terms.select("doc_order", "term", "tf")
-    weights = idf(stats).select("term", "idf")
-    return (tf.join(weights, "term")
-            .select("doc_order", "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf")))
+    weights = cut(idf(stats), "idf")
+    if measured_bytes(weights) <= BROADCAST_BYTES:
+        joined = tf.join(F.broadcast(weights.select("term", "idf")), "term")
+    else:
+        hot = weights.where(F.col("df") > F.lit(SPLIT_ROWS)).select("term")
+        joined = split_join(tf, weights.select("term", "idf"), ["term"], hot)
+    return joined.select("doc_order", "term", "tf", (F.col("tf") * F.col("idf")).alias("tfidf"))
 
 
 def tfidf_l2(stats: TermStats) -> DataFrame:
@@ -130,7 +161,7 @@ def tfidf_l2(stats: TermStats) -> DataFrame:
 def vocabulary(ann: DataFrame, selection: str = "first_seen", min_count: int = 1,
                threshold: float = 0.8, max_terms: int | None = None,
                sample_rows: int | None = None, stem: str = "porter2",
-               stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+               stop_words: StopWords = STOP_WORDS) -> DataFrame:
     """Build ``(word_idx, term)``.
 
     * ``first_seen`` (what the reference code returns): every term with at
@@ -150,36 +181,44 @@ def vocabulary(ann: DataFrame, selection: str = "first_seen", min_count: int = 1
         seen = dense_positions(counts.select("term", "first_doc", "first_pos"),
                                ["first_doc", "first_pos"], "_seen")
         w = tfidf_l2(stats).where(F.col("weight") > F.lit(threshold))
-        w = w.join(seen.select("term", "_seen"), "term")
+        w = keyed_join(cut(w, "selected"), cut(seen.select("term", "_seen"), "seen"), "term")
         keyed = w.groupBy("term").agg(
             F.min(F.struct("doc_order", (-F.col("weight")).alias("neg_w"), "_seen")).alias("_k"))
     else:
         raise ValueError(f"unknown vocabulary selection {selection!r}")
-    ranked = dense_positions(keyed, ["_k"], "word_idx").select(
-        F.col("word_idx").cast("int").alias("word_idx"), "term")
+    ranked = dense_positions(keyed, ["_k"], "word_idx").select("word_idx", "term")
     if max_terms is not None:
         ranked = ranked.where(F.col("word_idx") < F.lit(max_terms))
     return cut(ranked)
 
 
 def task_words(ann: DataFrame, vocab: DataFrame, stem: str = "porter2",
-               vocab_rows: int | None = None, apply_stop_in_index: bool = False,
-               stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+               apply_stop_in_index: bool = False,
+               stop_words: StopWords = STOP_WORDS) -> DataFrame:
     """Distinct ``(task_id, word_idx)`` of the first text of each task.
 
     Indexing path: by default no stop-word filter (as the reference), stems
     matched against the vocabulary; ``apply_stop_in_index`` drops stop
-    words here too.  The vocabulary is broadcast when its checked size
-    allows, else joined by shuffle.
+    words here too.
     """
-    texts = ann.groupBy("task_id").agg(F.min_by("body_text", "row_id").alias("body_text"))
-    toks = tokens(texts, "task_id")
+    toks = tokens(task_text(ann), "task_id")
     if apply_stop_in_index:
-        toks = toks.where(~F.col("token").isin(list(stop_words)))
-    stems = toks.select("task_id", stem_col(F.col("token"), stem).alias("term"))
-    n_vocab = vocab_rows if vocab_rows is not None else vocab.count()
-    return (stems.join(_small_or_shuffled(vocab, n_vocab), "term")
-            .select("task_id", "word_idx").distinct())
+        toks = without_stop_words(toks, stop_words)
+    return words_of(toks, "task_id", vocab, stem)
+
+
+def words_of(toks: DataFrame, key: str, vocab: DataFrame, stem: str) -> DataFrame:
+    """Distinct ``(key, word_idx)`` of ``(key, token)`` rows against a written
+    vocabulary, which is broadcast if its measured size allows."""
+    toks = toks.select(key, "token").distinct()
+    terms = stemmed(toks if stem == "none" else cut(toks, "tokens"), stem)
+    if measured_bytes(vocab) <= BROADCAST_BYTES:
+        found = terms.join(F.broadcast(vocab), "term")
+    else:
+        terms = cut(terms, "terms")  # read twice to find the hot terms
+        found = split_join(terms, vocab, ["term"], hot_keys(terms, "term"))
+    found = found.select(key, "word_idx")
+    return found if stem == "none" else found.distinct()
 
 
 def task_word_counts(ann: DataFrame, words: DataFrame) -> DataFrame:
@@ -191,9 +230,9 @@ def task_word_counts(ann: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def processed_text_quality(ann: DataFrame, stem: str = "porter2",
-                           stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
+                           stop_words: StopWords = STOP_WORDS) -> DataFrame:
     """Terms left per task after stop words and stemming."""
-    texts = ann.groupBy("task_id").agg(F.min_by("body_text", "row_id").alias("body_text"))
+    texts = task_text(ann)
     terms = vocab_terms(texts, "task_id", stem, stop_words)
     n = terms.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_terms"))
     out = texts.select("task_id").join(n, "task_id", "left").select(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdlens.functions import text as T
-from crowdlens.functions.stem import stem_col
+from crowdlens.functions.stem import stem_sql, stem_words
 from crowdlens.operators import evaluate as E
 from crowdlens.operators import mapping as MP
 from crowdlens.operators import model as M
@@ -32,7 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 ROUNDS = 35            # rounds of the registered fits (API default is 35)
-VOCAB_CAP = None      # the registered word-model fits take the whole vocabulary
 TOP_WORDS = 30        # fixed value: words per class in the word report
 BELIEF = 0.7
 
@@ -70,6 +69,11 @@ def D(spark, d):
 
 
 def B(spark, d):
+    """The order annotations without texts (Catalyst drops unused columns, not joins)."""
+    return FX.order_annotations(spark, d, with_text=False)
+
+
+def B_text(spark, d):
     return FX.order_annotations(spark, d)
 
 
@@ -148,6 +152,28 @@ def majority_vote(spark, d):
     return MP.majority_vote(b, MP.label_domain(b))
 
 
+GIVEN = "task_id in (select task_id from b where gold_label is not null)"
+
+
+@register("majority_vote_given", WITH_B + "select * from (" + MAJORITY_SQL.format(src="b") + f") where {GIVEN}")
+def majority_vote_given(spark, d):
+    """Votes of the tasks that have gold rows."""
+    b = B(spark, d)
+    return MP.majority_vote(b, MP.label_domain(b), given=MP.gold_rows(b))
+
+
+@register("true_labels", WITH_B + ", v as (" + MAJORITY_SQL.format(src="b") + f"""),
+t as (select distinct task_id from b)
+select t.task_id, coalesce(v.majority_label,
+         cast(cast('0x' || md5('42:' || t.task_id)[:8] as bigint) % (select max(worker_label) - min(worker_label) + 1 from b)
+              as int)) as label, v.task_id is not null as voted
+from t left join (select * from v where {GIVEN}) v on v.task_id = t.task_id""")
+def true_labels(spark, d):
+    """M8: the vote where there is one, a seeded pick for the other tasks."""
+    b = B(spark, d)
+    return MP.true_labels(b, MP.gold_rows(b), MP.label_domain(b))
+
+
 INDEX_SQL = """
 select {key}, row_number() over (order by first_row, {key}) - 1 as {out}, first_row
 from (select {key}, min(row_id) as first_row from b group by {key})"""
@@ -216,7 +242,7 @@ where body_text is null or regexp_matches(body_text, '^\\s*$')"""
 
 @register("quality_errors", WITH_B + QUALITY_ERRORS_SQL)
 def quality_errors(spark, d):
-    return Q.row_issues(B(spark, d)).where(F.col("severity") == "error")
+    return Q.row_issues(B_text(spark, d)).where(F.col("severity") == "error")
 
 
 QUALITY_WARNINGS_SQL = """
@@ -253,7 +279,7 @@ select (select count(*) from b) as total_records,
        (select w from ds) as n_warnings,
        (select count(*) from e) = 0 as is_valid""")
 def quality_summary(spark, d):
-    return Q.summary(B(spark, d))
+    return Q.summary(B_text(spark, d))
 
 
 @register("dataset_warnings", WITH_B + """,
@@ -273,7 +299,7 @@ def dataset_warnings(spark, d):
 @register("report_quality", WITH_B + """
 select * from (select * from (""" + QUALITY_ERRORS_SQL + """) order by row_id, rule limit 20)""")
 def report_quality(spark, d):
-    return Q.report(B(spark, d))
+    return Q.report(B_text(spark, d))
 
 
 @register("text_checks", WITH_A + """
@@ -288,6 +314,93 @@ def text_checks(spark, d):
     return Q.text_checks(A(spark, d))
 
 
+WITH_F = f"with f as materialized ({S.FIXTURE_F})"
+BLANK = "({0} is null or regexp_matches({0}, '^\\s*$'))"
+LETTERS = ("length(regexp_replace(regexp_replace(body_text, '[^a-zA-Z\\s]', '', 'g'), "
+           "'^\\s+|\\s+$', '', 'g'))")
+FAULT_RULES = [  # severity, rule, condition, message
+    ("error", "V2", BLANK.format("worker_id"), "'worker id is blank'"),
+    ("error", "V3", BLANK.format("task_id"), "'task id is blank'"),
+    ("error", "V4", "worker_label not in (0, 1)", "'worker label ' || worker_label || ' is outside {0, 1}'"),
+    ("error", "V5", "gold_label not in (0, 1)", "'gold label ' || gold_label || ' is outside {0, 1}'"),
+    ("error", "V6", BLANK.format("body_text"), "'text is blank'"),
+    ("warning", "V7", f"not {BLANK.format('body_text')} and not regexp_matches(body_text, '[a-zA-Z]')",
+     "'text has no letters'"),
+    ("warning", "V8", f"regexp_matches(body_text, '[a-zA-Z]') and {LETTERS} < 5",
+     f"'text has only ' || {LETTERS} || ' letters and spaces'"),
+    ("warning", "V9", f"not {BLANK.format('body_text')} and length(body_text) > 10000",
+     "'text has ' || length(body_text) || ' characters'"),
+]
+FAULTS_SQL = " union all ".join(
+    f"select row_id, '{severity}' as severity, '{rule}' as rule, {message} as message from f where {condition}"
+    for severity, rule, condition, message in FAULT_RULES)
+
+
+@register("quality_faults", WITH_F + FAULTS_SQL)
+def quality_faults(spark, d):
+    """V2-V9 with a minimum text length of 5, on rows where each rule fires."""
+    return Q.row_issues(FX.faulty_rows(spark, d), min_text_length=5)
+
+
+@register("report_faults", WITH_F + f""", i as ({FAULTS_SQL})
+select * from (select * from i where severity = 'error' order by row_id, rule limit 20)
+union all select * from (select * from i where severity = 'warning' order by row_id, rule limit 10)""")
+def report_faults(spark, d):
+    return Q.report(FX.faulty_rows(spark, d), min_text_length=5)
+
+
+# tables in which the dataset rules fire: (name, changed columns, kept rows)
+DATASET_CASES = [
+    ("no_rows", {}, "false"),
+    ("no_worker", {"worker_id": "' '"}, "true"),
+    ("one_worker", {"worker_id": "'w1'"}, "true"),
+    ("no_task", {"task_id": "''"}, "true"),
+    ("one_task", {"task_id": "'t1'"}, "true"),
+    ("one_label", {"worker_label": "1"}, "true"),
+    ("rare_label", {"worker_label": "case when row_id % 25 = 0 then 1 else 0 end"}, "true"),
+]
+CASE_COLUMNS = ("row_id", "worker_id", "task_id", "worker_label")
+
+
+def _case_sql(name: str, changed: dict[str, str], kept: str) -> str:
+    cols = ", ".join(f"{changed.get(c, c)} as {c}" for c in CASE_COLUMNS)
+    counts = f"""(select count(*) as n, count(distinct worker_id) filter (where not {BLANK.format('worker_id')}) as w,
+  count(distinct task_id) filter (where not {BLANK.format('task_id')}) as t, count(distinct worker_label) as l,
+  (select count(*) from (select task_id from c where not {BLANK.format('task_id')} group by task_id having count(*) = 1))
+    as single,
+  (select max(k) from (select count(*) as k from c group by worker_label)) as top,
+  (select worker_label from c group by worker_label order by count(*) desc, worker_label limit 1) as lab from c)"""
+    rules = [
+        ("error", "V1", "n = 0", "0.0", "'the dataset has no rows'"),
+        ("error", "V11", "n > 0 and w = 0", "0.0", "'no row names a worker'"),
+        ("warning", "V11", "w = 1", "1.0", "'all rows come from one worker'"),
+        ("error", "V12", "n > 0 and t = 0", "0.0", "'no row names a task'"),
+        ("warning", "V12", "t = 1", "1.0", "'all rows belong to one task'"),
+        ("warning", "V13", "single > 0", "single", "single || ' tasks were labelled once'"),
+        ("warning", "V14", "l = 1", "lab", "'every row has label ' || lab"),
+        ("warning", "V15", "l > 1 and top * 1.0 / n > 0.95", "top * 1.0 / n", "'label ' || lab || ' holds nearly all rows'"),
+    ]
+    return f"(with c as (select {cols} from f where {kept}) " + " union all ".join(
+        f"select '{name}' as name, '{s}' as severity, '{r}' as rule, round(cast({v} as double), 6) as value, {m} as message "
+        f"from {counts} where {cond}" for s, r, cond, v, m in rules) + ")"
+
+
+@register("dataset_faults", WITH_F + " union all ".join(
+    f"select * from {_case_sql(*case)}" for case in DATASET_CASES))
+def dataset_faults(spark, d):
+    """V1, V11-V15, each on a table in which it fires."""
+    rows = FX.faulty_rows(spark, d)
+    parts = []
+    for name, changed, kept in DATASET_CASES:
+        case = rows.where(kept).select(*[F.expr(changed.get(c, c)).alias(c) for c in CASE_COLUMNS])
+        parts.append(Q.dataset_issues(case).select(
+            F.lit(name).alias("name"), "severity", "rule", r6("value"), "message"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 # ---------------------------------------------------------------- mapping (A)
 
 
@@ -340,6 +453,18 @@ def tokens_no_stop(spark, d):
         "term", "token")
 
 
+# a caller's stop list: the words of the benchmark's shortest item
+@register("tokens_own_stop_list", WITH_D + f""", {TTEXT},
+item as (select item_id, text from benchmark where text is not null order by length(text), item_id limit 1),
+listed as (select distinct token from ({S.tokens_sql('item', 'item_id', text='text')}))
+select t.* from ({S.tokens_sql('ttext', 'task_id')}) t where token not in (select token from listed)""")
+def tokens_own_stop_list(spark, d):
+    item = FX.table(spark, d, "benchmark").where("text is not null").orderBy(F.length("text"), "item_id").limit(1)
+    listed = V.tokens(item, "item_id", "text").select("token")
+    return V.vocab_terms(MP.task_text(D(spark, d)), "task_id", stem="none", stop_words=listed) \
+        .withColumnRenamed("term", "token")
+
+
 @register("term_counts", WITH_D + "," + S.vocab_ctes() + """
 select term, n, df, first_doc, first_pos from tcount""")
 def term_counts(spark, d):
@@ -401,22 +526,22 @@ seen as (select term, row_number() over (order by first_doc, first_pos) as seen
 sel as (select l2.term, l2.doc_order, -l2.weight as neg_w, seen.seen,
                row_number() over (partition by l2.term order by l2.doc_order, -l2.weight, seen.seen) as rn
         from l2 join seen on l2.term = seen.term where l2.weight > 0.8)
-select cast(row_number() over (order by doc_order, neg_w, seen) - 1 as int) as word_idx, term
+select row_number() over (order by doc_order, neg_w, seen) - 1 as word_idx, term
 from sel where rn = 1""")
 def vocab_tfidf(spark, d):
     return V.vocabulary(D(spark, d), selection="tfidf", threshold=0.8, stem="none")
 
 
-def _vocab_a(spark, d):
-    """Fixture A and its capped vocabulary, built once per session (the
+def _vocab_a(spark, d, stem="none"):
+    """Fixture A and its whole vocabulary, built once per session (the
     vocabulary is a written table, shared by the word queries and the fit)."""
     def build():
         a = A(spark, d)
-        return a, V.vocabulary(a, stem="none", max_terms=VOCAB_CAP)
-    return _memo(spark, ("vocab_a", d), build)
+        return a, V.vocabulary(a, stem=stem)
+    return _memo(spark, ("vocab_a", d, stem), build)
 
 
-@register("task_words", WITH_A + "," + S.vocab_ctes(cap=VOCAB_CAP) + "," + S.task_words_ctes()
+@register("task_words", WITH_A + "," + S.vocab_ctes() + "," + S.task_words_ctes()
           + """
 select task_id, word_idx from tw""")
 def task_words(spark, d):
@@ -424,7 +549,7 @@ def task_words(spark, d):
     return V.task_words(a, vocab, stem="none")
 
 
-@register("task_word_counts", WITH_A + "," + S.vocab_ctes(cap=VOCAB_CAP) + ","
+@register("task_word_counts", WITH_A + "," + S.vocab_ctes() + ","
           + S.task_words_ctes() + """
 select t.task_id, cast(coalesce(n.n, 0) as bigint) as n_words
 from (select distinct task_id from a) t
@@ -444,24 +569,41 @@ def processed_text_quality(spark, d):
     return V.processed_text_quality(D(spark, d), stem="none")
 
 
-@register("stem_tokens")
+DISTINCT_TOKENS = f"(select distinct token from ({S.tokens_sql('ttext', 'task_id')}) where token not in ({S.STOP_LIST}))"
+
+
+@register("stem_tokens", WITH_D + f""", {TTEXT}
+select token, term as stem from ({stem_sql(DISTINCT_TOKENS)})""")
 def stem_tokens(spark, d):
-    """F10 (rows-only check): distinct vocabulary tokens and their stems."""
+    """distinct vocabulary tokens and their stems."""
     toks = V.vocab_terms(MP.task_text(D(spark, d)), "task_id", stem="none")
     distinct = toks.select(F.col("term").alias("token")).distinct()
-    return distinct.select("token", stem_col(F.col("token"), "porter2").alias("stem"))
+    return stem_words(distinct).withColumnRenamed("term", "stem")
+
+
+@register("vocab_stemmed", WITH_D + "," + S.vocab_ctes(stem=True) + """
+select word_idx, term from vocab""")
+def vocab_stemmed(spark, d):
+    return V.vocabulary(D(spark, d))
+
+
+@register("task_words_stemmed", WITH_A + "," + S.vocab_ctes(stem=True) + "," + S.task_words_ctes(stem=True) + """
+select task_id, word_idx from tw""")
+def task_words_stemmed(spark, d):
+    a, vocab = _vocab_a(spark, d, stem="porter2")
+    return V.task_words(a, vocab)
 
 
 # ---------------------------------------------------------------- model
 
-def fit_a(spark, d, rounds=ROUNDS):
+def fit_a(spark, d, rounds=ROUNDS, stem="none"):
     def build():
-        a, vocab = _vocab_a(spark, d)
-        words = V.task_words(a, vocab, stem="none")
+        a, vocab = _vocab_a(spark, d, stem)
+        words = V.task_words(a, vocab, stem=stem)
         n_vocab = vocab.count()
         m = M.fit(a, words, vocab_size=n_vocab, iterations=rounds)
         return a, vocab, m
-    return _memo(spark, ("a", d, rounds), build)
+    return _memo(spark, ("a", d, rounds, stem), build)
 
 
 def fit_b(spark, d, rounds=ROUNDS, worker_prior="biased"):
@@ -476,8 +618,8 @@ ANN_A = ", ann as materialized (select task_id, worker_id, cast(worker_label - (
 ANN_B = ", ann as materialized (select task_id, worker_id, cast(worker_label - (select min(worker_label) from b) as int) as label from b)"
 
 
-def _vb_a(rounds: int) -> str:
-    return (WITH_A + ANN_A + "," + S.vocab_ctes(cap=VOCAB_CAP) + "," + S.task_words_ctes()
+def _vb_a(rounds: int, stem: bool = False) -> str:
+    return (WITH_A + ANN_A + "," + S.vocab_ctes(stem=stem) + "," + S.task_words_ctes(stem=stem)
             + ",\n" + S.vb_ctes(2, rounds, words=True))
 
 
@@ -507,6 +649,20 @@ def vb_fit(spark, d):
     return _q_out(m.q, m.classes)
 
 
+@register("vb_fit_stemmed", _vb_a(ROUNDS, stem=True) + "\n" + _q_select(2, f"q{ROUNDS}"))
+def vb_fit_stemmed(spark, d):
+    a, vocab, m = fit_a(spark, d, stem="porter2")
+    return _q_out(m.q, m.classes)
+
+
+@register("class_prior", _vb_a(ROUNDS) + f"""
+select cast(0 as int) as true_class, round(k_0, 6) as alpha from kappa{ROUNDS}
+union all select cast(1 as int), round(k_1, 6) from kappa{ROUNDS}""")
+def class_prior(spark, d):
+    a, vocab, m = fit_a(spark, d)
+    return m.class_prior().select("true_class", r6("alpha"))
+
+
 @register("vb_labels_only", _vb_b(ROUNDS) + "\n" + _q_select(3, f"q{ROUNDS}"))
 def vb_labels_only(spark, d):
     b, m = fit_b(spark, d)
@@ -595,6 +751,19 @@ def fit_majority(spark, d):
     return m.worker_confusion().select("worker_id", "true_class", "label", r6("alpha"))
 
 
+# the vote fixes the class of the tasks whose number is even; the others are estimated
+@register("fit_clamp_partial", WITH_B + ANN_B + ",\nmv as (" + MAJORITY_SQL.format(src="b") + """),
+clamp as (select task_id, majority_label as label from mv where cast(task_id as bigint) % 2 = 0),
+""" + S.vb_ctes(3, ROUNDS, words=False, clamp="clamp") + "\n" + _q_select(3, f"q{ROUNDS}"))
+def fit_clamp_partial(spark, d):
+    b = B(spark, d)
+    dom = MP.label_domain(b)
+    clamp = MP.majority_vote(b, dom).where(F.col("task_id").cast("bigint") % 2 == 0).select(
+        "task_id", F.col("majority_label").alias("label"))
+    m = M.fit(b, None, iterations=ROUNDS, domain=dom, clamp=clamp, trace=False)
+    return _q_out(m.q, m.classes)
+
+
 @register("fit_random", WITH_B + f""",
 rl as (select task_id, worker_label from (
   select task_id, worker_label,
@@ -868,6 +1037,24 @@ def roc_auc(spark, d):
     return E.roc_auc(E.roc_points(p)).select(r6("auc"), r6("auc_se"), "n_pos", "n_neg")
 
 
+@register("roc_gold_score", _vb_a(ROUNDS) + _gold_a() + ROC_SQL.replace("p.p_1", "p.p_gold") + """
+select cutoff_idx, cast(tp as bigint) as tp, cast(tn as bigint) as tn, cast(fp as bigint) as fp, cast(fn as bigint) as fn
+from roc where cutoff_idx < 1000""")
+def roc_gold_score(spark, d):
+    """A26/A27 as the original scores it: P(gold class), without the last cut-off."""
+    a, m, p = _pred(spark, d)
+    return E.roc_points(p, score="gold", grid="reference").select("cutoff_idx", "tp", "tn", "fp", "fn")
+
+
+@register("report_tasks_text", _vb_a(ROUNDS) + f"""
+select task_id, printf('%.4f', round(p_1, 9)) as p_1 from q{ROUNDS}""")
+def report_tasks_text(spark, d):
+    """F16: the task report's scores as fixed-decimal text."""
+    a, vocab, m = fit_a(spark, d)
+    out = R.task_report(m, a).select("task_id", F.round("p_1", 9).alias("p_1"))
+    return R.formatted(out, {"p_1": 4})
+
+
 @register("report_tasks", _vb_a(ROUNDS) + f"""
 select q.task_id, round(q.p_1, 6) as p_1,
        cast(count(*) filter (where a.worker_label = 1) as bigint) as num_pos,
@@ -880,27 +1067,27 @@ def report_tasks(spark, d):
 
 # ---------------------------------------------------------------- TSV source (fixture C)
 
-# Fixed test lines appended to the written TSV: blank, spaces only, 3 fields,
-# label "x", label "1.5", label " 1 ", gold blank, gold "x", 6 fields.
-PROBE_LINES = [
-    "",
-    "   ",
-    "wz\tt1\t1",
-    "wz\tt1\tx\tsome text",
-    "wz\tt1\t1.5\tsome text",
-    "wz\tt2\t 1 \tspaced label",
-    "wz\tt3\t0\tblank gold\t ",
-    "wz\tt4\t1\tbad gold\tx",
-    "wz\tt5\t0\tsix fields\t1\textra",
+# A second file of lines made from every labelled document, of nine kinds by its
+# place: blank, spaces only, 3 fields, a word or a fraction as label, a spaced
+# label, blank gold, a word as gold, 6 fields.
+PROBE_KINDS = [
+    "''", "'   '", "concat('w', q, t, doc_id, t, '1')", "concat('w', q, t, doc_id, t, 'x', t, 'some text')",
+    "concat('w', q, t, doc_id, t, '1.5', t, 'some text')", "concat('w', q, t, doc_id, t, ' 1 ', t, 'spaced label')",
+    "concat('w', q, t, doc_id, t, '0', t, 'blank gold', t, ' ')", "concat('w', q, t, doc_id, t, '1', t, 'bad gold', t, 'x')",
+    "concat('w', q, t, doc_id, t, '0', t, 'six fields', t, '1', t, 'extra')",
 ]
+PROBE_SQL = "case doc_id % 9 " + " ".join(f"when {i} then {x}" for i, x in enumerate(PROBE_KINDS)) + " end"
 
 
 def _written_tsv(spark, d) -> str:
     def build():
         path = scratch_path(spark, "tsv")
         TSV.write_annotations(A(spark, d), path + "/data")
-        spark.createDataFrame([(x,) for x in PROBE_LINES], "value string").coalesce(1) \
-            .write.text(path + "/probes")
+        probes = FX.table(spark, d, "labels").select(
+            F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("doc_id"),
+            F.col("quality").cast("string").alias("q"), F.lit("\t").alias("t"))
+        (probes.select("id", F.expr(PROBE_SQL.replace("case doc_id", "case id", 1)).alias("value"))
+         .orderBy("id").select("value").write.text(path + "/probes"))
         return path
     return _memo(spark, ("tsv", d), build)
 
@@ -916,10 +1103,9 @@ src as (select row_number() over (order by row_id) as line_no, worker_id, task_i
                worker_label, regexp_replace(body_text, '[\\t\\r\\n]', ' ', 'g') as body_text,
                gold_label from a),
 n as (select count(*) as n from a),
-probes as (select * from (values
-  (5, 'wz', 't2', 1, 'spaced label', null),
-  (6, 'wz', 't3', 0, 'blank gold', null),
-  (8, 'wz', 't5', 0, 'six fields', 1)) as p(k, worker_id, task_id, worker_label, body_text, gold_label))"""
+probes as (select (select n from n) + row_number() over (order by doc_id) as line_no, doc_id, doc_id % 9 as kind,
+                  {PROBE_SQL} as line
+           from (select doc_id, quality as q, chr(9) as t from labels))"""
 
 
 @register("load_tsv", WITH_A + TSV_A + """
@@ -927,19 +1113,16 @@ select cast(line_no - 1 as bigint) as row_id, worker_id, task_id,
        cast(worker_label as int) as worker_label, body_text, cast(gold_label as int) as gold_label
 from src
 union all
-select cast((select n from n) + k as bigint), worker_id, task_id, cast(worker_label as int),
-       body_text, cast(gold_label as int) from probes""")
+select cast(line_no - 1 as bigint), split_part(line, chr(9), 1), cast(doc_id as varchar),
+       cast(case when kind = 5 then 1 else 0 end as int), split_part(line, chr(9), 4),
+       cast(case when kind = 8 then 1 end as int) from probes where kind in (5, 6, 8)""")
 def load_tsv(spark, d):
     return TSV.read_annotations(spark, _tsv_read(spark, d))
 
 
-@register("load_rejects", WITH_A + """,
-n as (select count(*) as n from a)
-select cast((select n from n) + k as bigint) as line_no, reason, line from (values
-  (3, 'fields', 'wz' || chr(9) || 't1' || chr(9) || '1'),
-  (4, 'label', 'wz' || chr(9) || 't1' || chr(9) || 'x' || chr(9) || 'some text'),
-  (5, 'label', 'wz' || chr(9) || 't1' || chr(9) || '1.5' || chr(9) || 'some text'),
-  (8, 'gold', 'wz' || chr(9) || 't4' || chr(9) || '1' || chr(9) || 'bad gold' || chr(9) || 'x'))
-  as r(k, reason, line)""")
+@register("load_rejects", WITH_A + TSV_A + """
+select cast(line_no as bigint) as line_no,
+       case kind when 2 then 'fields' when 7 then 'gold' else 'label' end as reason, line
+from probes where kind in (2, 3, 4, 7)""")
 def load_rejects(spark, d):
     return TSV.read_rejects(spark, _tsv_read(spark, d))

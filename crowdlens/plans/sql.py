@@ -5,6 +5,7 @@ Spark plan in ``crowdlens.plans.catalog`` (same semantics, other engine)."""
 from __future__ import annotations
 
 from crowdlens.functions.special import digamma_sql
+from crowdlens.functions.stem import stem_sql
 from crowdlens.functions.text import DELIMITERS
 from crowdlens.operators.model import DIAG_PRIOR, OFF_PRIOR
 from crowdlens.sources.stopwords import STOP_WORDS
@@ -15,6 +16,18 @@ select doc_id as row_id, 'w0' as worker_id, cast(doc_id as varchar) as task_id,
 from documents
 """
 
+# documents with faults by number (every 11th, 13th, ... document)
+FIXTURE_F = """
+select doc_id as row_id,
+       case when doc_id % 11 = 0 then '  ' else concat('w', cast(doc_id % 7 as varchar)) end as worker_id,
+       case when doc_id % 13 <> 0 then cast(cast(floor(doc_id / 3) as bigint) as varchar) end as task_id,
+       cast(case when doc_id % 17 = 0 then 7 else doc_id % 2 end as int) as worker_label,
+       case when doc_id % 19 = 0 then ' ' || chr(9) || ' ' when doc_id % 23 = 0 then '12 34'
+            when doc_id % 29 = 0 then 'a1 b' else text end as body_text,
+       cast(case when doc_id % 31 = 0 then 9 end as int) as gold_label
+from documents
+"""
+
 FIXTURE_A = """
 select cast(d.doc_id*100 + w.k as bigint) as row_id,
        concat('w', cast(w.k as varchar)) as worker_id,
@@ -78,8 +91,8 @@ def tokens_sql(src: str, key: str, text: str = "body_text", keep_empty: bool = F
 
 
 def vocab_ctes(src: str = "a", cap: int | None = None, min_count: int = 1,
-               prefix_rows: int | None = None) -> str:
-    """CTEs ``docs, dterm, tcount, vocab`` (first-seen order, no stemming)."""
+               prefix_rows: int | None = None, stem: bool = False) -> str:
+    """CTEs ``docs, dterm, tcount, vocab`` (first-seen order)."""
     rows = src
     if prefix_rows is not None:
         rows = (f"(select * from {src} where row_id <= (select max(row_id) from "
@@ -88,9 +101,10 @@ def vocab_ctes(src: str = "a", cap: int | None = None, min_count: int = 1,
     return f"""
 docs as materialized (select body_text, min(row_id) as doc_order, count(*) as n_rows
                       from {rows} where body_text is not null group by body_text),
-dterm as materialized (select doc_order, pos, token as term
-                       from ({tokens_sql('docs', 'doc_order', keep_empty=True)})
-                       where token not in ({STOP_LIST}) and length(token) > 0),
+dtoken as materialized (select doc_order, pos, token
+                        from ({tokens_sql('docs', 'doc_order', keep_empty=True)})
+                        where token not in ({STOP_LIST}) and length(token) > 0),
+{_terms_cte('dterm', 'dtoken', 'doc_order, pos', stem)},
 tcount as materialized (
   select g.term, g.n, g.df, f.doc_order as first_doc, f.pos as first_pos
   from (select term, count(*) as n, count(distinct doc_order) as df from dterm group by term) g
@@ -99,18 +113,28 @@ tcount as materialized (
                  row_number() over (partition by term order by doc_order, pos) as rn
           from dterm) where rn = 1) f on g.term = f.term),
 vocab as materialized (
-  select * from (select cast(row_number() over (order by first_doc, first_pos) - 1 as int)
-                          as word_idx, term
+  select * from (select row_number() over (order by first_doc, first_pos) - 1 as word_idx, term
                  from tcount where n >= {min_count}) {capf})"""
 
 
-def task_words_ctes(src: str = "a") -> str:
+def _terms_cte(name: str, tokens: str, keys: str, stem: bool) -> str:
+    """``keys, term`` of a token relation: the token, or its stem."""
+    if not stem:
+        return f"{name} as materialized (select {keys}, token as term from {tokens})"
+    return f"""{name}_stems as materialized ({stem_sql(f'(select distinct token from {tokens})')}),
+{name} as materialized (select {keys}, s.term from {tokens} t
+                        join {name}_stems s on s.token = t.token where length(s.term) > 0)"""
+
+
+def task_words_ctes(src: str = "a", stem: bool = False) -> str:
     """CTEs ``ttext, tw`` (distinct task words against ``vocab``)."""
     return f"""
 ttext as materialized (select task_id, arg_min(body_text, row_id) as body_text
                        from {src} group by task_id),
+ttoken as materialized ({tokens_sql('ttext', 'task_id')}),
+{_terms_cte('tterm', 'ttoken', 'task_id', stem)},
 tw as materialized (select distinct t.task_id, v.word_idx
-                    from ({tokens_sql('ttext', 'task_id')}) t join vocab v on t.token = v.term)"""
+                    from tterm t join vocab v on t.term = v.term)"""
 
 
 def _prior(label: str, t: int, c: int) -> str:
@@ -122,9 +146,10 @@ def _dg(x: str) -> str:
 
 
 def vb_ctes(c: int, rounds: int, words: bool, ann: str = "ann",
-            prior_diag: float = DIAG_PRIOR) -> str:
+            prior_diag: float = DIAG_PRIOR, clamp: str | None = None) -> str:
     """Unrolled rounds: CTEs ``q{r}``, ``pi{r}``, ``rows{r}``, ``kappa{r}`` and
-    (with words) ``phi{r}``, ``tot{r}`` for r = 1..rounds."""
+    (with words) ``phi{r}``, ``tot{r}`` for r = 1..rounds.  ``clamp``: relation
+    ``task_id, label`` whose tasks have a fixed class."""
     def prior(label: str, t: int) -> str:
         return f"(case when {label} = {t} then {prior_diag} else {OFF_PRIOR} end)"
 
@@ -159,6 +184,12 @@ tot0 as materialized (select {', '.join(f'cast((select count(*) from vocab) as d
         m = f"greatest({', '.join(f'e_{t}' for t in T)})" if c > 1 else "e_0"
         z = " + ".join(f"exp(e_{t} - {m})" for t in T)
         qq = f"q{r} as materialized (select task_id, {', '.join(f'exp(e_{t} - {m}) / ({z}) as p_{t}' for t in T)} from sc{r})"
+        if clamp is not None:
+            ps = ", ".join(f"exp(e_{t} - {m}) / ({z}) as p_{t}" for t in T)
+            fixed = ", ".join(f"case when c.label is null then s.p_{t} when c.label = {t} then 1.0 else 0.0 end as p_{t}"
+                              for t in T)
+            qq = (f"q{r} as materialized (select s.task_id, {fixed} from (select task_id, {ps} from sc{r}) s "
+                  f"left join {clamp} c on c.task_id = s.task_id)")
         pi = (f"pi{r} as materialized (select a.worker_id, a.label, {', '.join(f'{prior("a.label", t)} + sum(q.p_{t}) as a_{t}' for t in T)} "
               f"from {ann} a join q{r} q on a.task_id = q.task_id group by a.worker_id, a.label)")
         rows = (f"rows{r} as materialized (select worker_id, {', '.join(f'{row0} + sum(a_{t} - {prior("label", t)}) as s_{t}' for t in T)} "

@@ -36,6 +36,24 @@ def document_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("body_text"), F.lit(None).cast("int").alias("gold_label"))
 
 
+def faulty_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an annotation, with faults by its number, so that each
+    row rule of the quality checks has something to find."""
+    d = F.col("row_id")
+
+    def every(n: int, fault, sound):
+        return F.when(d % n == 0, fault).otherwise(sound)
+
+    return document_rows(spark, sf_dir).select(
+        "row_id",
+        every(11, F.lit("  "), F.concat(F.lit("w"), (d % 7).cast("string"))).alias("worker_id"),
+        every(13, F.lit(None).cast("string"), (F.floor(d / 3)).cast("string")).alias("task_id"),
+        every(17, F.lit(7), (d % 2).cast("int")).cast("int").alias("worker_label"),
+        every(19, F.lit(" \t "), every(23, F.lit("12 34"), every(29, F.lit("a1 b"), F.col("body_text"))))
+        .alias("body_text"),
+        every(31, F.lit(9), F.lit(None).cast("int")).cast("int").alias("gold_label"))
+
+
 def text_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     d = F.col("doc_id")

@@ -13,6 +13,8 @@ window is size-bounded -- gives every split its offset.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,7 +69,8 @@ def read_annotations(spark: SparkSession, path: str, mode: str = "report",
     """IO1-IO7: parsed annotations with ``row_id = line_no - 1``.
 
     ``mode="failfast"`` raises on the first bad line (the reference's
-    behaviour); ``mode="report"`` drops bad lines (see ``read_rejects``).
+    behaviour); ``mode="report"`` drops bad lines with a warning that counts
+    them (see ``read_rejects``).
     ``max_rows`` keeps the first records in file order (IO6; no cap by
     default).
     """
@@ -78,6 +81,8 @@ def read_annotations(spark: SparkSession, path: str, mode: str = "report",
             r = bad[0]
             raise ValueError(f"Line {r['line_no']}: invalid record ({r['reason']}): "
                              f"{r['value']!r}")
+    elif n_bad := p.where(F.col("reason").isNotNull()).count():
+        warnings.warn(f"{n_bad} lines are not valid annotations and were left out", stacklevel=2)
     ok = p.where(F.col("reason").isNull()).select(
         (F.col("line_no") - 1).cast("bigint").alias("row_id"),
         "worker_id", "task_id", F.col("worker_label").cast("int").alias("worker_label"),

@@ -94,8 +94,8 @@ def _numpy_fit(rows, c, rounds, diag=5.5):
 def test_fit_matches_numpy(spark, seed, hot):
     rows = _random_rows(seed, n=150, hot=hot)
     ann = make_ann(spark, rows)
-    # hot_share small enough that the hot task (a third of all rows) is salted
-    m = M.fit(ann, None, iterations=3, trace=False, hot_share=0.2, salts=4)
+    # split_rows small enough that the hot task (a third of all rows) is salted
+    m = M.fit(ann, None, iterations=3, split_rows=20)
     got = {r.task_id: [r.p_0, r.p_1, r.p_2] for r in m.q.collect()}
     want = _numpy_fit(rows, 3, 3)
     assert set(got) == set(want)
@@ -108,7 +108,7 @@ def test_fit_shuffle_join_with_hot_worker(spark):
     rows = _random_rows(21, n=150)
     rows = [("whot",) + r[1:] if i % 3 == 0 else r for i, r in enumerate(rows)]
     ann = make_ann(spark, rows)
-    m = M.fit(ann, None, iterations=3, trace=False, broadcast_rows=0, hot_share=0.2, salts=4)
+    m = M.fit(ann, None, iterations=3, trace=False, broadcast_bytes=0, split_rows=20)
     got = {r.task_id: [r.p_0, r.p_1, r.p_2] for r in m.q.collect()}
     want = _numpy_fit(rows, 3, 3)
     for t in want:
