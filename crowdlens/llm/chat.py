@@ -68,16 +68,29 @@ def format_preferences(pairs: DataFrame, keep: list[str]) -> DataFrame:
         _mask(rest("_a")).alias("chosen_mask"), _mask(rest("_b")).alias("rejected_mask"))
 
 
+def pair_order(convs: DataFrame) -> DataFrame:
+    """``conv_id``, ``pair_id`` and ``side`` (0, 1) of rows with unique
+    ``conv_id``: neighbours in the order of ``opening`` and conv_id (nulls
+    first) are paired inside their opening.  The last conversations of openings
+    with an odd number sort behind all others and are paired among themselves,
+    so they shift no other pair."""
+    odd = (convs.groupBy("opening").agg(F.max("conv_id").alias("odd_id"), F.count(F.lit(1)).alias("n"))
+           .where("n % 2 = 1").select("odd_id", F.lit(1).alias("odd")))  # unique ids: no opening is a join key
+    flagged = convs.join(odd, convs["conv_id"].eqNullSafe(odd["odd_id"]), "left").select(
+        F.coalesce("odd", F.lit(0)).alias("odd"), "opening", "conv_id")
+    return ranked(flagged, ["odd", "opening", "conv_id"], {}).select(
+        "conv_id", F.floor(F.col("_rank") / 2).alias("pair_id"), (F.col("_rank") % 2).alias("side"))
+
+
 def op3_preference_format(spark, sf_dir: str) -> DataFrame:
-    """All ``conversations``, paired with their neighbour in the order of the
-    opening turn: the pairs of an opening are linear in its conversations, and
-    each conversation is in one pair (the last may stay alone).  The first of a
-    pair (least conv_id for equal openings) is the chosen one."""
+    """All ``conversations``, paired inside their opening turn (``pair_order``):
+    the pairs of an opening are linear in its conversations, and each
+    conversation is in one pair (the last one left may stay alone).  The first
+    of a pair (least conv_id for equal openings) is the chosen one."""
     convs = conversations(table(spark, sf_dir, "conversations"))
     first = F.get("turns", F.lit(0))
     convs = cut(convs.withColumn("opening", F.md5(F.concat_ws("\n", first["role"], first["text"]))), "convs")
-    order = ranked(convs.select("conv_id", "opening"), ["opening", "conv_id"], {}).select(
-        "conv_id", F.floor(F.col("_rank") / 2).alias("pair_id"), (F.col("_rank") % 2).alias("side"))
+    order = pair_order(convs.select("conv_id", "opening"))
     placed = convs.join(order, convs["conv_id"].eqNullSafe(order["conv_id"])).select(
         order["conv_id"], "pair_id", "side", "turns")
     side = lambda s, c: F.first(F.when(F.col("side") == s, F.col(c)), ignorenulls=True)

@@ -181,6 +181,31 @@ def test_preference_prompt_is_the_common_prefix(spark):
     assert (c.n_prefix, c.prompt, c.rejected) == (0, "", "")
 
 
+def test_pairs_stay_inside_their_opening(spark, tmp_path):
+    sizes = {"a": 3, "b": 2, "c": 2, "hot": 301, "d": 1, "e": 2}
+    opening = [name for name, n in sizes.items() for _ in range(n)]
+    random.Random(4).shuffle(opening)
+    ids = [None, *range(1, len(opening))]
+    turns = [(i, t, role, text) for i, name in zip(ids, opening)
+             for t, (role, text) in enumerate([("user", name), ("assistant", f"reply {i}")])]
+    kind = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame(turns, kind).repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = chat.op3_preference_format(spark, str(tmp_path)).collect()
+    sides = [(r.chosen_id, r.rejected_id) for r in got]
+    of = dict(zip(ids, opening))
+    # each conversation once: 311 = 155 pairs and one alone
+    assert sorted(r.pair_id for r in got) == list(range(156))
+    assert sum(r.rejected == "" for r in got) == 1
+    own = [(of[a], a, b) for (a, b), r in zip(sides, got) if r.n_prefix]
+    expected = []
+    for name in sizes:
+        held = [i for i in ids if of[i] == name]
+        expected += [(name, *held[k:k + 2]) for k in range(0, len(held) - 1, 2)]
+    assert sorted(own, key=str) == sorted(expected, key=str) and len(own) == 154
+    assert sorted(((of[x] for pair, r in zip(sides, got) if not r.n_prefix for x in pair[:1 + (r.rejected != "")]))) == [
+        "a", "d", "hot"]
+
+
 # ------------------------------------------------------------ 4 language ID
 
 
