@@ -1,21 +1,27 @@
 """License scan: Dice coefficient over word bigrams against license templates.
 
 Units of a text are the text, its paragraphs (between blank lines) and its
-lines.  A template can only reach the threshold t if the number of distinct
-bigrams lies within t / (2 - t) and (2 - t) / t of its own; this size bound
-prunes the templates, and units in which too few bigrams occur in any template
-at all are passed over.  Both bounds are exact: nothing that matches is lost.
+lines; besides, every window of consecutive words is searched, so that a notice
+inside a line or over several lines or paragraphs is found.  A template can only
+reach the threshold t if the number of distinct bigrams lies within t / (2 - t)
+and (2 - t) / t of its own; this size bound prunes the templates, and units and
+windows in which too few bigrams occur in any template at all are passed over.
+Both bounds are exact: a window that matches and is not given itself shares at
+least half of its bytes with ranges of its license that are given, or starts
+where a better one of its template starts or repeats its first bigram.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crowdlens.llm.common import arrow_fields, byte_slices, table
-from crowdlens.llm.words import BASE, U, joined_bytes, mix, split_words
+from crowdlens.llm.words import BASE, U, Words, joined_bytes, mix, split_words
 
 THRESHOLD = 0.85
 MAX_TEMPLATE_BYTES = 8 << 20  # templates are sent to every task
@@ -51,6 +57,10 @@ TEMPLATES = (
 )
 
 
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
 def _bigrams(h: np.ndarray) -> np.ndarray:
     return np.unique(mix(h[:-1] * BASE + h[1:])) if len(h) > 1 else np.zeros(0, U)
 
@@ -70,6 +80,11 @@ class Templates:
         self.sets = sorted(((n, s) for n, s in sets if len(s)), key=lambda x: len(x[1]))
         self.sizes = np.array([len(s) for _, s in self.sets])
         self.known = np.unique(np.concatenate([s for _, s in self.sets] or [np.zeros(0, U)]))
+        self.spots = [np.searchsorted(self.known, s) for _, s in self.sets]
+        # templates of each known bigram, joined, and where they begin
+        spot = np.concatenate(self.spots or [np.zeros(0, np.int64)])
+        self.having = np.repeat(np.arange(len(self.sets)), self.sizes.astype(np.int64))[np.argsort(spot, kind="stable")]
+        self.begin = np.searchsorted(np.sort(spot), np.arange(len(self.known) + 1))
 
     def best(self, own: np.ndarray) -> tuple[str, float] | None:
         """The template with the highest coefficient of at least the threshold;
@@ -84,9 +99,8 @@ class Templates:
                 found.append((-dice, name))
         return (min(found)[1], -min(found)[0]) if found else None
 
-    def scan(self, data: np.ndarray, marks: np.ndarray) -> list[tuple[int, str, float]]:
+    def scan(self, words: Words, marks: np.ndarray) -> list[tuple[int, str, float]]:
         """(unit, name, coefficient) of the units between ``marks``."""
-        words = split_words(data, marks)
         if len(words.hash) < 2 or not len(self.sets):
             return []
         pairs = mix(words.hash[:-1] * BASE + words.hash[1:])
@@ -104,18 +118,84 @@ class Templates:
                 out.append((i, *found))
         return out
 
+    def windows(self, words: Words) -> Iterator[tuple[int, list[tuple[int, int, str, float]]]]:
+        """For each text that has some: its windows that match a template, as
+        (first byte, end byte, name, coefficient), larger templates first, then
+        the higher coefficient."""
+        if len(words.hash) < 2 or not len(self.sets):
+            return
+        pairs = mix(words.hash[:-1] * BASE + words.hash[1:])
+        text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+        spot = np.minimum(np.searchsorted(self.known, pairs), len(self.known) - 1)
+        spot[(self.known[spot] != pairs) | (text[:-1] != text[1:])] = len(self.known)  # not known
+        seen = np.flatnonzero(spot < len(self.known))
+        # distinct bigrams of each template in each text: a window has no more than its text
+        held, of = np.divmod(np.unique(text[seen] * len(self.known) + spot[seen]), len(self.known))
+        count = self.begin[of + 1] - self.begin[of]
+        at = np.repeat(self.begin[of] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        which, n = np.unique(np.repeat(held, count) * len(self.sets) + self.having[at], return_counts=True)
+        which = which[n >= self.low * self.sizes[which % len(self.sets)] - 1e-9]
+        for i in np.unique(which // len(self.sets)).tolist():
+            a, b = int(words.first[i]), int(words.first[i + 1]) - 1
+            near, found = neighbours(pairs[a:b]), []
+            for k in (which[which // len(self.sets) == i] % len(self.sets)).tolist():
+                own = np.zeros(len(self.known) + 1, dtype=bool)
+                own[self.spots[k]] = True
+                found += [(-len(self.spots[k]), -dice, int(words.start[a + s]), int(words.end[a + e + 1]), self.sets[k][0])
+                          for s, e, dice in self._matches(own[spot[a:b]], *near, len(self.spots[k]))]
+            if found:
+                yield i, [(s, e, name, -dice) for _, dice, s, e, name in sorted(found)]
+
+    def _matches(self, hit: np.ndarray, before: np.ndarray, after: np.ndarray, m: int) -> list[tuple[int, int, float]]:
+        """(first, last, coefficient): the best window from each bigram that has
+        one.  Best windows start and end with bigrams of the template (``hit``)
+        and end before their first bigram returns: shortened to that they lose no
+        common bigram.  Bigrams are counted once, where they are new (``before``
+        lies before the window).  The range then takes in the neighbouring bigrams
+        of the template that change neither count."""
+        hits = np.concatenate(([0], np.cumsum(hit)))
+        fresh = np.concatenate(([0], np.cumsum(before < 0)))  # new in the text, so in every window
+        first = np.flatnonzero(hit)
+        stop = np.minimum(after[first], np.searchsorted(fresh, fresh[first] + self.high * m + 1e-9, "right") - 1)
+        enough = hits[stop] - hits[first] >= self.low * m - 1e-9
+        out = []
+        for s, e in zip(first[enough].tolist(), stop[enough].tolist()):
+            new = before[s:e] < s
+            dice = 2 * np.cumsum(new & hit[s:e]) / (np.cumsum(new) + m)
+            top = float(dice.max())
+            if top >= self.threshold:
+                last = s + int(np.flatnonzero((dice == top) & hit[s:e])[-1])
+                lead = s  # bigrams of the template that return inside change no count: at most m of them
+                while lead > max(0, s - m) and hit[lead - 1] and after[lead - 1] <= last:
+                    lead -= 1
+                out.append((lead, last, top))
+        return out
+
+
+def neighbours(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the same value before (-1: none) and after (length: none)."""
+    order = np.argsort(pairs, kind="stable")
+    same = np.flatnonzero(pairs[order[1:]] == pairs[order[:-1]])
+    before, after = np.full(len(pairs), -1), np.full(len(pairs), len(pairs))
+    before[order[same + 1]], after[order[same]] = order[same], order[same + 1]
+    return before, after
+
 
 def units(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Byte marks that cut the joined texts into texts, paragraphs and lines."""
+    """Byte marks that cut the joined texts into texts, paragraphs and lines.
+    A line with nothing but spaces, tabs and carriage returns is blank."""
     line = np.flatnonzero(data == 10)
-    blank = line[:-1][np.diff(line) == 1] if len(line) > 1 else line[:0]
+    solid = np.concatenate(([0], np.cumsum(~BLANK[data])))
+    text = np.searchsorted(offsets, line, "right")
+    blank = line[:-1][(solid[line[1:]] == solid[line[:-1]]) & (text[1:] == text[:-1])]
     return {"text": offsets, "paragraph": np.union1d(offsets, blank + 1), "line": np.union1d(offsets, line + 1)}
 
 
 def scan(df: DataFrame, text: str, keep: list[str], templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``keep`` columns and ``licenses``: array of (start, end, license, dice)
     with byte ranges, in order.  A range that several units share is given
-    once.  Null and empty texts, and texts of one word, have none."""
+    once.  A window of words is given unless at least half of it lies in ranges
+    of its license: units, larger templates and better windows go first.  Null and empty texts, and texts of one word, have none."""
     found = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("dice", pa.float64())])
     base = df.select(*keep, F.col(text).alias("_text"))
 
@@ -124,14 +204,27 @@ def scan(df: DataFrame, text: str, keep: list[str], templates=TEMPLATES, thresho
         for batch in byte_slices(batches, "_text"):
             data, offsets = joined_bytes(batch.column("_text"))
             out: list[set] = [set() for _ in range(batch.num_rows)]
+            whole = split_words(data, offsets)
             for marks in units(data, offsets).values():
+                words = whole
                 if marks is not offsets:  # equal marks (empty texts) hold nothing
                     marks = np.unique(marks)
-                for i, name, dice in own.scan(data, marks):
+                    words = split_words(data, marks)
+                for i, name, dice in own.scan(words, marks):
                     row = int(np.searchsorted(offsets, marks[i], "right")) - 1
                     end = int(marks[i + 1])
                     end -= int(end > marks[i] and data[end - 1] == 10)
                     out[row].add((int(marks[i] - offsets[row]), int(end - offsets[row]), name, dice))
+            for row, windows in own.windows(whole):
+                begin, size = int(offsets[row]), int(offsets[row + 1] - offsets[row])
+                given: dict[str, np.ndarray] = {}  # bytes in ranges of each license
+                for start, end, name, _ in out[row]:
+                    given.setdefault(name, np.zeros(size, dtype=bool))[start:end] = True
+                for start, end, name, dice in windows:
+                    covered = given.setdefault(name, np.zeros(size, dtype=bool))[start - begin:end - begin]
+                    if 2 * np.count_nonzero(covered) < end - start:
+                        covered[:] = True
+                        out[row].add((start - begin, end - begin, name, dice))
             rows = [[dict(zip(("start", "end", "license", "dice"), x)) for x in sorted(o)] for o in out]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in keep], pa.array(rows, pa.list_(found))], [*keep, "licenses"])

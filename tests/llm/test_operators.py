@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from itertools import combinations
 
@@ -282,6 +283,74 @@ def test_license_units_equal_brute_force(spark):
     assert sorted(len(r.licenses) for r in got)[-1] >= 2
 
 
+def published(name, wrap=68):
+    """A license template wrapped as its notice is usually laid out."""
+    text = max((t for n, t in licenses.TEMPLATES if n == name), key=len)
+    if name == "BSD-2-Clause":
+        a, b, c = re.split(r" (?=Redistributions )", text)
+        text = f"{a}\n\n1. {b}\n\n2. {c}"
+    return "\n\n".join(textwrap.fill(p, wrap) for p in text.split("\n\n"))
+
+
+def test_license_notices_that_fill_no_unit(spark):
+    rnd = random.Random(3)
+    body = [prose(rnd, 60) for _ in range(20)]
+    bsd, mit, gpl = published("BSD-2-Clause"), published("MIT"), published("GPL-3.0")
+    cases = [
+        (f"Copyright (c) 2020, Acme\nAll rights reserved.\n\n{bsd}\n\nTHIS SOFTWARE IS PROVIDED {body[0]}", "BSD-2-Clause", bsd),
+        (f"{body[1]}\n{mit}\n{body[2]}", "MIT", mit),
+        (f"{body[3]} Released under the MIT License. {body[4]}", "MIT", "Released under the MIT License"),
+        ("Copyright 2020 Acme. Released under the MIT License.", "MIT", "Released under the MIT License"),
+        (f"{body[5]}\r\n\r\n{gpl}\r\n \r\n{body[6]}".replace("\r\n", "\n").replace("\n", "\r\n"), "GPL-3.0", gpl),
+        (f"{body[7]}\n \t\n{gpl}\n  \n{body[8]}", "GPL-3.0", gpl),
+        (f"{mit} {mit}\n{body[9]} {mit}", "MIT", mit),
+    ]
+    df, _ = documents(spark, [t for t, *_ in cases])
+    got = {r.text: r.licenses for r in licenses.scan(df, "text", ["text"]).collect()}
+    for text, name, notice in cases:
+        assert {x.license for x in got[text]} == {name}
+        found = [words_of(text.encode()[x.start:x.end].decode()) for x in got[text]]
+        assert sum(w == words_of(notice.strip(".")) for w in found) == text.replace("\r", "").count(notice)
+    assert [len(got[t]) for t, *_ in cases] == [1, 1, 1, 1, 1, 1, 3]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_license_windows_equal_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    templates = (("A", "a b c d e f g h a b i"), ("A", "c d e"), ("B", "d e f x y z"))
+    texts = []
+    for _ in range(60):
+        w = [rnd.choice("abcdefghixyzq") for _ in range(rnd.randrange(25))]
+        for _ in range(rnd.randrange(4)):
+            t = rnd.choice(templates)[1].split()
+            if rnd.random() < .6:
+                t[rnd.randrange(len(t))] = rnd.choice("abq")
+            at = rnd.randrange(len(w) + 1)
+            w[at:at] = t
+        texts.append("".join(x + rnd.choice([" ", " ", "\n", "\n\n", "\r\n"]) for x in w))
+    got = licenses.scan(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "text", ["text"],
+                        templates, .8).collect()
+    assert [r.text for r in got] == texts
+    full = lambda b, t: 2 * len(b & t) / (len(b) + len(t)) if b else 0
+    sets = [(n, set(zip(t.split(), t.split()[1:]))) for n, t in templates]
+    some = 0
+    for text, row in zip(texts, got):
+        places = [(m.start(), m.end(), m.group()) for m in re.finditer("[a-z]", text)]
+        given = {n: set() for n, _ in sets}
+        for x in row.licenses:
+            own = [w for s, e, w in places if x.start <= s and e <= x.end]
+            assert math.isclose(x.dice, max(full(set(zip(own, own[1:])), t) for n, t in sets if n == x.license))
+            given[x.license].update(range(x.start, x.end))
+        for i, j in combinations(range(len(places)), 2):
+            own = [w for *_, w in places[i:j + 1]]
+            pairs = list(zip(own, own[1:]))
+            for n, t in sets:
+                if full(set(pairs), t) >= .8:  # every matching window meets a range of its license
+                    some += 1
+                    assert given[n] & set(range(places[i][0], places[j][1])), (text, own, n)
+    assert some > 100
+
+
 # ------------------------------------------------------------ 6 near duplicates
 
 
