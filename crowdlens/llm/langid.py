@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 from crowdlens.llm.common import arrow_fields, byte_slices, table
 from crowdlens.llm.words import U, joined_bytes, mix
+from crowdlens.session import cut
 
 UNKNOWN = "und"
 BITS = 15  # hashed n-gram features
-TRAIN_DOCS = 20_000  # bound of the training sample (documents, by hash of the id)
+TRAIN_DOCS = 20_000  # bound of the training sample (documents, by language and hash of the id)
 SWITCH = 12.0  # penalty of a change of language, in log probability
 SMOOTH = 0.5
 MIN_SHARE = 0.005  # a script is a candidate for a language from this share of its words
@@ -38,6 +39,7 @@ SCRIPTS = (
 NAMES = sorted({s for _, s in SCRIPTS})
 BOUNDS = np.array([b for b, _ in SCRIPTS])
 SCRIPT_OF = np.array([NAMES.index(s) for _, s in SCRIPTS])
+WORD = r"[A-Za-z]|[^\x00-\x7F]"  # a text with a word
 LETTER = np.zeros(256, dtype=bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
@@ -132,18 +134,35 @@ class Model:
         return out
 
 
+def quota(sizes: list[int], bound: int) -> float:
+    """The q for which the sum of min(size, q) is ``bound``; the largest size if
+    all fit."""
+    left = float(bound)
+    for i, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - i) > left:
+            return left / (len(sizes) - i)
+        left -= n
+    return float(max(sizes, default=0))
+
+
 def train(docs: DataFrame, text: str, lang: str, id_col: str, max_docs: int = TRAIN_DOCS) -> Model:
-    """Learns from the rows of ``docs`` with a language and a text.
+    """Learns from the rows of ``docs`` with a language and a text that has a word.
 
-    At most about ``max_docs`` rows are read, chosen by a hash of the id; the
+    At most about ``max_docs`` rows are read: all rows of the languages that
+    have few, and of the others an equal number each (``quota``), chosen by a
+    hash of the id (of the text if it is null).  The row with the least hash is
+    always read, so every such language is learned, whatever the size.  The
     feature counts are summed by Spark, and the driver gets one row for each
     language and feature (languages x 2**15 at most).
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    total = rows.count()
-    share = min(1.0, max_docs / total) if total else 1.0
-    keep = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) < int(share * (1 << 30))
-    rows = rows.where(keep).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("_text"))
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(WORD)).select(
+        F.col(lang).cast("string").alias("lang"), F.col(text).alias("_text"),
+        F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text))).alias("_hash"))
+    sizes = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("_hash").alias("least")), "languages")
+    own = quota([r.n for r in sizes.select("n").collect()], max_docs)
+    keep = F.pmod("_hash", F.lit(1 << 30)) < F.least(F.lit(1.0), F.lit(own) / F.col("n")) * (1 << 30)
+    rows = (rows.join(F.broadcast(sizes), "lang")  # one row a language
+            .where(keep | (F.col("_hash") == F.col("least"))).select("lang", "_text"))
 
     def run(batches):
         tally: dict[str, np.ndarray] = {}

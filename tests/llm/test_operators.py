@@ -228,6 +228,24 @@ def test_languages_of_held_out_and_mixed_texts(spark):
     assert got[7].lang_pred in model.languages
 
 
+def test_rare_languages_are_learned_from_a_bounded_sample(spark):
+    rows = [(i, f"common word {i}", "en") for i in range(30_000)] + [(i, f"autre mot {i}", "fr") for i in range(9_000)]
+    rows += [(i, "zeldzaam", "nl") for i in range(2)] + [(None, "слово", "ru"), (7, "12", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, "text", "lang", "doc_id", 200)
+    assert model.languages == ["en", "fr", "nl", "ru"]
+    got = langid.predict(spark.createDataFrame([(0, "zeldzaam"), (1, "слово"), (2, "autre mot")], "i int, text string")
+                         .coalesce(1), "text", ["i"], model).orderBy("i").collect()
+    assert [r.lang_pred for r in got] == ["nl", "ru", "fr"]
+
+
+def test_quota_fills_the_bound():
+    assert langid.quota([], 5) == 0 and langid.quota([3, 1], 4) == 3
+    for sizes, bound in (([5, 1, 100], 20), ([7, 7, 7], 10), ([1, 1, 1000], 3)):
+        q = langid.quota(sizes, bound)
+        assert math.isclose(sum(min(n, q) for n in sizes), bound)
+
+
 def test_viterbi_equals_one_text_at_a_time():
     rnd = np.random.default_rng(2)
     model = langid.Model(["a", "b", "c"], np.log(rnd.random((1 << langid.BITS, 3)) + .01),
