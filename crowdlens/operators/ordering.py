@@ -2,10 +2,12 @@
 
 An un-partitioned ``row_number()`` window moves every row into one task.
 Here the rows are range-partitioned on the order key instead (a distributed
-sort), each partition counts its rows (one row per partition), the offsets
-are a running sum over that tiny table, and every row gets
-``offset + position within its partition``.  The offsets table has one row
-per partition, so broadcasting it is size-bounded by construction.
+sort) and sorted inside their partition, where a running id numbers them as they
+are written: partition and place in it.  Each partition is counted (one row per
+partition), the offsets are a running sum over that tiny table, and every row gets
+``offset + place``.  So the rows cross the network once, and the second pass only
+reads them.  The offsets table has one row per partition, so broadcasting it is
+size-bounded by construction.
 """
 
 from __future__ import annotations
@@ -22,22 +24,22 @@ def dense_positions(df: DataFrame, order: list[str | Column], out: str,
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    ranged = (df.repartitionByRange(n, *order_cols)
-              .withColumn("_pid", F.spark_partition_id()))
-    # The partition id is only meaningful for this one materialisation, so
-    # pin it before it is read twice (counts and rows).
-    ranged = cut(ranged)
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    # the running id is only meaningful for this one materialisation, so it is
+    # pinned before it is read twice (counts and rows)
+    ranged = cut(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+                 .withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33)  # the id holds the partition above 33 bits of place
+    counts = ranged.groupBy(part.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_pid",
         F.coalesce(
             F.sum("_n").over(Window.orderBy("_pid").rowsBetween(
                 Window.unboundedPreceding, -1)),
             F.lit(0)).alias("_off"))
-    within = Window.partitionBy("_pid").orderBy(*order_cols)
-    return (ranged.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, (F.col("_off") + F.row_number().over(within) - 1).cast("bigint"))
-            .drop("_pid", "_off"))
+    place = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return (ranged.join(F.broadcast(offsets), part == F.col("_pid"))
+            .withColumn(out, (F.col("_off") + place).cast("bigint"))
+            .drop("_place", "_pid", "_off"))
 
 
 def side_by_side(*one_row: DataFrame) -> DataFrame:
