@@ -22,11 +22,13 @@ def conversations(turns: DataFrame) -> DataFrame:
 
     Null roles read ``user``, null texts are empty, null turn numbers come
     first; ties and repeated turns keep all rows, ordered by role and text.
-    Rows of a null conv_id form one conversation.  ``<|`` inside a text is
-    written ``< |`` so that it cannot pose as a marker.
+    Rows of a null conv_id form one conversation.  ``<|`` inside a text or role is
+    written ``< |`` and ``|>`` inside a role ``| >``, so that neither can pose as a
+    marker.  A conversation is one row, so its turns must fit into a task.
     """
+    role = F.replace(F.replace(F.coalesce("role", F.lit("user")), F.lit("<|"), F.lit("< |")), F.lit("|>"), F.lit("| >"))
     clean = turns.select("conv_id", F.struct(
-        F.col("turn"), F.coalesce("role", F.lit("user")).alias("role"),
+        F.col("turn"), role.alias("role"),
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text")).alias("t"))
     return clean.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: F.struct(
         t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
@@ -54,8 +56,11 @@ def format_preferences(pairs: DataFrame, keep: list[str]) -> DataFrame:
     the two masks for rows with array columns ``_chosen`` and ``_rejected``.
 
     A missing side is an empty conversation; equal conversations give two empty
-    completions.  The prefix is compared turn by turn (role and text).
+    completions.  The prefix is compared turn by turn (role and text).  ``keep``
+    must not hold the names of the new columns.
     """
+    if clash := {"n_prefix", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask", "_a", "_b"} & set(keep):
+        raise ValueError(f"kept columns have names of new ones: {sorted(clash)}")
     a, b = (F.coalesce(F.col(c), F.array()) for c in ("_chosen", "_rejected"))
     same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
     first = F.array_position(F.transform(same, lambda s: F.when(s, 0).otherwise(1)), 1)
@@ -71,52 +76,75 @@ def format_preferences(pairs: DataFrame, keep: list[str]) -> DataFrame:
 def pair_order(convs: DataFrame) -> DataFrame:
     """``conv_id``, ``pair_id`` and ``side`` (0, 1) of rows with unique
     ``conv_id``: neighbours in the order of ``opening`` and conv_id (nulls
-    first) are paired inside their opening.  The last conversations of openings
-    with an odd number sort behind all others and are paired among themselves,
-    so they shift no other pair."""
+    first) are paired inside their opening, and pairs are numbered in that order.
+    The last conversation of an opening with an odd number has no partner there:
+    its pair_id is null, and it shifts no other pair."""
     odd = (convs.groupBy("opening").agg(F.max("conv_id").alias("odd_id"), F.count(F.lit(1)).alias("n"))
            .where("n % 2 = 1").select("odd_id", F.lit(1).alias("odd")))  # unique ids: no opening is a join key
     flagged = convs.join(odd, convs["conv_id"].eqNullSafe(odd["odd_id"]), "left").select(
         F.coalesce("odd", F.lit(0)).alias("odd"), "opening", "conv_id")
+    at = F.floor(F.col("_rank") / 2)
     return ranked(flagged, ["odd", "opening", "conv_id"], {}).select(
-        "conv_id", F.floor(F.col("_rank") / 2).alias("pair_id"), (F.col("_rank") % 2).alias("side"))
+        "conv_id", F.when(F.col("odd") == 0, at).alias("pair_id"),
+        F.when(F.col("odd") == 0, F.col("_rank") % 2).otherwise(0).alias("side"))
 
 
-def op3_preference_format(spark, sf_dir: str) -> DataFrame:
-    """All ``conversations``, paired inside their opening turn (``pair_order``):
-    the pairs of an opening are linear in its conversations, and each
-    conversation is in one pair (the last one left may stay alone).  The first
-    of a pair (least conv_id for equal openings) is the chosen one."""
-    convs = conversations(table(spark, sf_dir, "conversations"))
+def preference_pairs(turns: DataFrame) -> DataFrame:
+    """Formatted pairs of a table of conversation turns, paired by their opening
+    turn (``pair_order``); the first of a pair is the chosen one.  A conversation
+    without a partner is a row with ``paired`` false: it is its own completion, and
+    its pair_id and rejected columns are null."""
+    convs = conversations(turns)
     first = F.get("turns", F.lit(0))
     convs = cut(convs.withColumn("opening", F.md5(F.concat_ws("\n", first["role"], first["text"]))), "convs")
     order = pair_order(convs.select("conv_id", "opening"))
     placed = convs.join(order, convs["conv_id"].eqNullSafe(order["conv_id"])).select(
         order["conv_id"], "pair_id", "side", "turns")
     side = lambda s, c: F.first(F.when(F.col("side") == s, F.col(c)), ignorenulls=True)
-    pairs = placed.groupBy("pair_id").agg(  # two rows a group
+    pairs = placed.where("pair_id is not null").groupBy("pair_id").agg(  # two rows a group
         side(0, "conv_id").alias("chosen_id"), side(1, "conv_id").alias("rejected_id"),
-        side(0, "turns").alias("_chosen"), side(1, "turns").alias("_rejected"))
-    return format_preferences(pairs, ["pair_id", "chosen_id", "rejected_id"])
+        side(0, "turns").alias("_chosen"), side(1, "turns").alias("_rejected"), F.lit(True).alias("paired"))
+    alone = placed.where("pair_id is null").select(
+        "pair_id", F.col("conv_id").alias("chosen_id"), F.lit(None).cast("long").alias("rejected_id"),
+        F.col("turns").alias("_chosen"), F.lit(None).cast(placed.schema["turns"].dataType).alias("_rejected"),
+        F.lit(False).alias("paired"))
+    rows = format_preferences(pairs.unionByName(alone), ["pair_id", "paired", "chosen_id", "rejected_id"])
+    return rows.withColumns({c: F.when(F.col("paired"), F.col(c)) for c in ("rejected", "rejected_mask")})
+
+
+def op3_preference_format(spark, sf_dir: str) -> DataFrame:
+    """All ``conversations`` as preference pairs: the pairs of an opening are linear
+    in its conversations, and each conversation is in one row."""
+    return preference_pairs(table(spark, sf_dir, "conversations"))
 
 
 ORACLE_OP3 = r"""
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
+WITH t AS (SELECT conv_id, turn, replace(replace(coalesce(role, 'user'), '<|', '< |'), '|>', '| >') AS role,
+    replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i FROM t),
 c AS (SELECT conv_id, md5(max(role || chr(10) || text) FILTER (i = 0)) AS opening FROM n GROUP BY conv_id),
-o AS (SELECT conv_id, row_number() OVER (ORDER BY opening, conv_id NULLS FIRST) - 1 AS r FROM c),
-p AS (SELECT (o.r // 2)::BIGINT AS pair_id, o.r % 2 AS side, n.* FROM n JOIN o ON n.conv_id IS NOT DISTINCT FROM o.conv_id),
-f AS (SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.i, b.i) AS i,
+o AS (SELECT conv_id, opening, row_number() OVER (PARTITION BY opening ORDER BY conv_id NULLS FIRST) - 1 AS r,
+    count(*) OVER (PARTITION BY opening) AS size FROM c),
+w AS (SELECT conv_id, opening, r, NOT (r = size - 1 AND size % 2 = 1) AS paired FROM o),
+u AS (SELECT opening, r // 2 AS h, row_number() OVER (ORDER BY opening, r // 2) - 1 AS pair_id
+  FROM w WHERE paired AND r % 2 = 0),
+q AS (SELECT w.conv_id, w.paired, w.r % 2 AS side, u.pair_id,
+    coalesce(u.pair_id::VARCHAR, 'alone ' || coalesce(w.conv_id::VARCHAR, 'null')) AS g
+  FROM w LEFT JOIN u ON w.paired AND u.opening = w.opening AND u.h = w.r // 2),
+p AS (SELECT q.pair_id, q.paired, q.g, CASE WHEN q.paired THEN q.side ELSE 0 END AS side, n.*
+  FROM n JOIN q ON n.conv_id IS NOT DISTINCT FROM q.conv_id),
+f AS (SELECT coalesce(a.g, b.g) AS g, coalesce(a.i, b.i) AS i,
        coalesce(a.role = b.role AND a.text = b.text, false) AS same
-  FROM (SELECT * FROM p WHERE side = 0) a FULL JOIN (SELECT * FROM p WHERE side = 1) b ON a.pair_id = b.pair_id AND a.i = b.i),
-l AS (SELECT pair_id, coalesce(min(i) FILTER (NOT same), count(*))::INTEGER AS n_prefix FROM f GROUP BY pair_id),
-x AS (SELECT p.*, l.n_prefix, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS piece FROM p JOIN l USING (pair_id)),
-y AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY pair_id, side, i >= n_prefix ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM x)
-SELECT pair_id, max(conv_id) FILTER (side = 0) AS chosen_id, max(conv_id) FILTER (side = 1) AS rejected_id, max(n_prefix) AS n_prefix,
+  FROM (SELECT * FROM p WHERE side = 0) a FULL JOIN (SELECT * FROM p WHERE side = 1) b ON a.g = b.g AND a.i = b.i),
+l AS (SELECT g, coalesce(min(i) FILTER (NOT same), count(*))::INTEGER AS n_prefix FROM f GROUP BY g),
+x AS (SELECT p.*, l.n_prefix, '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS piece FROM p JOIN l USING (g)),
+y AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY g, side, i >= n_prefix ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM x)
+SELECT max(pair_id)::BIGINT AS pair_id, bool_and(paired) AS paired,
+  max(conv_id) FILTER (side = 0) AS chosen_id, max(conv_id) FILTER (side = 1) AS rejected_id, max(n_prefix) AS n_prefix,
   coalesce(string_agg(piece, '' ORDER BY i) FILTER (side = 0 AND i < n_prefix), '') AS prompt,
   coalesce(string_agg(piece, '' ORDER BY i) FILTER (side = 0 AND i >= n_prefix), '') AS chosen,
-  coalesce(string_agg(piece, '' ORDER BY i) FILTER (side = 1 AND i >= n_prefix), '') AS rejected,
+  CASE WHEN bool_and(paired) THEN coalesce(string_agg(piece, '' ORDER BY i) FILTER (side = 1 AND i >= n_prefix), '') END AS rejected,
   coalesce(string_agg((off + length(role) + 5) || ':' || (off + length(role) + 5 + length(text)), ',' ORDER BY i) FILTER (side = 0 AND i >= n_prefix AND role = 'assistant'), '') AS chosen_mask,
-  coalesce(string_agg((off + length(role) + 5) || ':' || (off + length(role) + 5 + length(text)), ',' ORDER BY i) FILTER (side = 1 AND i >= n_prefix AND role = 'assistant'), '') AS rejected_mask
-FROM y GROUP BY pair_id
+  CASE WHEN bool_and(paired) THEN coalesce(string_agg((off + length(role) + 5) || ':' || (off + length(role) + 5 + length(text)), ',' ORDER BY i) FILTER (side = 1 AND i >= n_prefix AND role = 'assistant'), '') END AS rejected_mask
+FROM y GROUP BY g
 """
