@@ -3,9 +3,9 @@
 Rows are ordered (by ``order``; nulls first, ties by size, checksum and row),
 each range partition is totalled, and the totals give every row the number of
 bytes before it; equal targets cut that line into ``n_shards`` pieces.  Shards
-are contiguous and differ by less than one row's size from the target.  No row
-set is gathered: a source or text that holds a third of the rows is just a
-stretch of the line.
+are contiguous and differ by less than the largest row's size from the target.
+No row set is gathered: a source or text that holds a third of the rows is just
+a stretch of the line.
 """
 
 from __future__ import annotations
@@ -33,9 +33,9 @@ def assign_shards(df: DataFrame, n_shards: int, size: Column, order: list[str])
                   .select(*kept, F.col("_size").alias("size")),
                   order, {"bytes": F.col("size")})
     total = df.agg(F.sum(F.coalesce(size, F.lit(1)))).first()[0] or 1
-    # a row belongs to the target that holds its first byte; exact in integers
-    cutoff = F.floor(F.col("_before_bytes").cast("decimal(38,0)") * n_shards / F.lit(total).cast("decimal(38,0)"))
-    rows = rows.withColumn("shard", F.least(cutoff.cast("int"), F.lit(n_shards - 1)))
+    # a row belongs to the target that holds its first byte: `div` is exact, a decimal quotient would be rounded
+    cutoff = F.expr(f"cast(_before_bytes as decimal(38, 0)) * {n_shards} div cast({total} as decimal(38, 0))")
+    rows = rows.withColumn("shard", F.least(cutoff, F.lit(n_shards - 1)).cast("int"))
     first = rows.groupBy("shard").agg(F.min("_rank").alias("_first"))  # n_shards rows
     return (rows.join(F.broadcast(first), "shard")
             .select(*kept, "size", "shard", (F.col("_rank") - F.col("_first")).alias("slot")))
