@@ -33,7 +33,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 TOKENS = 96  # MinHash tokens of a set
 RECALL, DEPTH = 0.999, 3  # target for a pair at the threshold, levels of splitting
 SMALL = 256  # sets of a bucket that is compared at once
-SKETCHES = 8192  # sketches of a block of a bucket that stays large
+SKETCHES = 1024, 8192  # sketches of a block of a bucket that stays large: an eighth of it, between these
 BLOCK = 512  # sets of a block of a large component
 BLOCK_SHINGLES = 1_000_000  # shingles of a block, at most (unless one set is larger)
 SLACK = 4.0  # standard deviations by which a sketch may fall short
@@ -236,7 +236,8 @@ def _candidates(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
         large = met.where(F.col("size") > SMALL)
         last = depth == DEPTH - 1 or large.isEmpty()
         now = (met if last else met.where(F.col("size") <= SMALL)).withColumn(
-            "blocks", F.when(F.col("size") <= SMALL, 1).otherwise(F.ceil(F.col("size") / SKETCHES)).cast("int"))
+            "blocks", F.when(F.col("size") <= SMALL, 1).otherwise(F.ceil(F.col("size") / F.greatest(
+                F.lit(SKETCHES[0]), F.least(F.lit(SKETCHES[1]), F.col("size") / 8)))).cast("int"))
         found = _sketch_links(_blocked(now, "path", "blocks").join(_only(sets, now, "sketch"), "id"), similarity)
         links = cut((found if edges is None else edges.unionByName(found)).distinct(), "links")
         if edges is not None:
