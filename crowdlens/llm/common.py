@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from crowdlens.operators.ordering import dense_positions
 from crowdlens.session import cut, release
 
 HOT_KEYS = 1000  # a key is hot when it holds over 1/HOT_KEYS of the rows
@@ -70,8 +71,12 @@ def ranked(df: DataFrame, order: list[str], measures: dict[str, Column],
     groups rows) are summed up in order and added to a running sum inside each
     range.  Ties are broken by a row id, so equal keys are split between ranges
     however many there are.  The ranged rows are written once: sampling would
-    choose other bounds in a second run of the same plan.
+    choose other bounds in a second run of the same plan.  A rank alone is read
+    off the sorted ranges without another exchange.
     """
+    if not measures and not group:
+        return dense_positions(df.withColumn("_rid", F.monotonically_increasing_id()),
+                               [*order, "_rid"], "_rank").drop("_rid")
     keys = [group] if group else []
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = cut(df.withColumn("_rid", F.monotonically_increasing_id())

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from crowdlens.llm import (
     chat, common, decontam, langid, licenses, ngram_join, packing, quality, secrets, sharding, suffix_dedup)
 
+from tests import oracle_check
+
 SCHEMA = "doc_id long, text string, lang string, source string, _uid long, key string, n long"
 
 
@@ -192,19 +194,44 @@ def test_pairs_stay_inside_their_opening(spark, tmp_path):
     kind = "conv_id long, turn long, role string, text string"
     spark.createDataFrame(turns, kind).repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
     got = chat.op3_preference_format(spark, str(tmp_path)).collect()
-    sides = [(r.chosen_id, r.rejected_id) for r in got]
     of = dict(zip(ids, opening))
-    # each conversation once: 311 = 155 pairs and one alone
-    assert sorted(r.pair_id for r in got) == list(range(156))
-    assert sum(r.rejected == "" for r in got) == 1
-    own = [(of[a], a, b) for (a, b), r in zip(sides, got) if r.n_prefix]
-    expected = []
+    pairs = [r for r in got if r.paired]
+    assert sorted(r.pair_id for r in pairs) == list(range(154))
+    assert all(r.n_prefix >= 1 and r.prompt for r in pairs)  # the common opening is the prompt
+    expected, alone = [], []
     for name in sizes:
         held = [i for i in ids if of[i] == name]
         expected += [(name, *held[k:k + 2]) for k in range(0, len(held) - 1, 2)]
-    assert sorted(own, key=str) == sorted(expected, key=str) and len(own) == 154
-    assert sorted(((of[x] for pair, r in zip(sides, got) if not r.n_prefix for x in pair[:1 + (r.rejected != "")]))) == [
-        "a", "d", "hot"]
+        alone += held[-1:] if len(held) % 2 else []
+    assert sorted(((of[r.chosen_id], r.chosen_id, r.rejected_id) for r in pairs), key=str) == sorted(expected, key=str)
+    rest = [r for r in got if not r.paired]
+    assert sorted((r.chosen_id for r in rest), key=str) == sorted(alone, key=str)
+    assert all((r.pair_id, r.rejected_id, r.rejected, r.rejected_mask, r.n_prefix) == (None, None, None, None, 0)
+               for r in rest) and {of[i] for i in alone} == {"a", "d", "hot"}
+
+
+def test_preference_sql_equals_the_query_on_shared_openings(spark, tmp_path):
+    """Openings of 3, 2, 2, 301 and 1 conversations with prefixes of several lengths,
+    null, repeated and marker-like turns."""
+    rnd = random.Random(7)
+    turns, conv = [], 0
+    for name, n in (("a", 3), ("b", 2), ("c", 2), ("hot <|x", 301), ("d", 1)):
+        for k in range(n):
+            conv += 1
+            own = [("user", name), ("assistant", "same reply"), ("user", f"branch {k // 4}"), ("assistant", f"é {k // 2}"),
+                   (rnd.choice(["assistant", "user|>x", None]), rnd.choice([None, "", "tail", f"end {k}"]))]
+            turns += [(conv if conv != 5 else None, t, *x) for t, x in enumerate(own[:rnd.randrange(1, 6)])]
+    turns += [(1, 0, "user", "a"), (1, None, "user", "a")]  # a repeated and an unnumbered turn
+    kind = "conv_id long, turn long, role string, text string"
+    folder = str(tmp_path)
+    spark.createDataFrame(turns, kind).coalesce(1).write.parquet(f"{folder}/parts")
+    part = next((tmp_path / "parts").glob("*.parquet"))
+    part.rename(tmp_path / "conversations.parquet")
+    con = oracle_check.duck(folder)
+    want = oracle_check.canon(con.execute(chat.ORACLE_OP3).df())
+    got = chat.op3_preference_format(spark, folder)
+    assert oracle_check.canon(got.toPandas()) == want and len(want) == 156
+    assert got.where("n_prefix > 2").count() > 20
 
 
 # ------------------------------------------------------------ 4 language ID
@@ -363,12 +390,59 @@ def test_license_windows_equal_brute_force(spark, seed):
             own = [w for *_, w in places[i:j + 1]]
             pairs = list(zip(own, own[1:]))
             for n, t in sets:
-                if full(set(pairs), t) >= .8:  # every matching window meets a range of its license
+                if full(set(pairs), t) >= .8:  # every matching window meets a range that is given
                     some += 1
-                    assert given[n] & set(range(places[i][0], places[j][1])), (text, own, n)
+                    assert set().union(*given.values()) & set(range(places[i][0], places[j][1])), (text, own, n)
     assert some > 100
 
 
+NEIGHBOURS = [  # notice -> its license, unknown, or None: unknown or too far from any template
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+    ("This work is licensed under the GNU General Public License, version 1.", "unknown"),
+    ("This work is licensed under the GNU General Public License.", "unknown"),
+    ("This work is not licensed under the GNU General Public License, version 3.", "unknown"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+     "CC-BY-NC-ND-4.0"),
+    ("This work is licensed under a Creative Commons Attribution 3.0 International License.", None),
+    ("This work is not licensed under a Creative Commons Attribution 4.0 International License.", "unknown"),
+    ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+    ("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("Licensed under the Apache License, Version 1.1.", None),
+    ("Released under the MIT License.", "MIT"),
+]
+
+
+@pytest.mark.parametrize("frame", ["{}", "Some prose comes first here.\n{}\nand more prose follows it",
+                                   "words in front of it {} and words behind the notice"])
+def test_neighbouring_licenses_are_told_apart(spark, frame):
+    rows = [(i, frame.format(notice), wanted) for i, (notice, wanted) in enumerate(NEIGHBOURS)]
+    rows += [(len(rows) + i, frame.format(text), name) for i, (name, text) in enumerate(licenses.TEMPLATES)]
+    df = spark.createDataFrame(rows, "i int, body string, wanted string")
+    for r in licenses.scan(df, "body", ["i", "body", "wanted"]).collect():
+        found = {x.license for x in r.licenses}
+        assert found == ({r.wanted} if r.wanted else set()) or r.wanted is None and found == {"unknown"}, (r.body, found)
+
+
+def test_gnu_notices_of_every_version(spark):
+    form = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and "redistribute" in t)
+    cases = {("", "2"): "GPL-2.0", ("", "3"): "GPL-3.0", ("Lesser ", "2.1"): "LGPL-2.1", ("Lesser ", "3"): "LGPL-3.0",
+             ("Affero ", "3"): "AGPL-3.0", ("", "1"): "unknown", ("Affero ", "1"): "unknown"}
+    rows = [(form.replace("GNU General", f"GNU {kind}General").replace("version 3", f"version {v}"), name)
+            for (kind, v), name in cases.items()]
+    df = spark.createDataFrame(rows, "body string, wanted string")
+    for r in licenses.scan(df, "body", ["body", "wanted"]).collect():
+        assert {x.license for x in r.licenses} == {r.wanted}, r.body
+
+
 # ------------------------------------------------------------ 6 near duplicates
 
 
@@ -410,7 +484,7 @@ def test_near_groups_equal_brute_force(spark):
 
 def test_large_buckets_and_components_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL", 4)
-    monkeypatch.setattr(ngram_join, "SKETCHES", 6)
+    monkeypatch.setattr(ngram_join, "SKETCHES", (6, 6))
     monkeypatch.setattr(ngram_join, "BLOCK", 5)
     rnd = random.Random(2)
     base = prose(rnd, 80, 5000).split()
@@ -504,11 +578,84 @@ def test_cutoffs_hold_the_risk_and_small_strata_reject_nothing(spark):
                                  "doc_id long, text string, lang string")
     good = [(i, int(i % 5 != 0), 0) for i in range(300)] + [(None, 1, 0), (9999, 1, 1), (1, 0, 0)]
     labels = spark.createDataFrame(good, "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in quality.judge(docs, labels, "doc_id", "text", "lang", risk=0.2, delta=0.2).collect()}
+    got = {r.doc_id: r for r in quality.judge(docs, labels, "doc_id", "text", "lang", risks=(0.2,), delta=0.2).collect()}
     assert len(got) == 300 and not any(r.base_failed for r in got.values())
     assert all(got[i].kept == (i % 5 != 0) for i in range(300))
-    strict = quality.judge(docs, labels, "doc_id", "text", "lang").collect()  # too few labels for 0.5 %
-    assert all(r.kept for r in strict)
+    strict = quality.judge(docs, labels, "doc_id", "text", "lang").collect()  # too few labels for 2 %
+    assert all(r.kept and r.n_certified == 0 and r.risk is None for r in strict)
+    assert all(r.n_certified > 0 and r.risk == 0.2 for r in got.values())
+
+
+def exact_cdf(k, n, p):
+    return math.fsum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def plain_thresholds(trials, languages, risks, delta, grids):
+    """Chains, risks and cutoffs by walking every grid from its laxest cutoff."""
+    own, pooled = delta / 2 / ((len(languages) + 1) * len(grids)), delta / 2 / len(grids)
+    enough = lambda r, level: exact_cdf(0, 1, r) ** 0 and math.ceil(math.log(level) / math.log(1 - r) - 1e-9)
+    chain_of = {s: s if len(own_) >= enough(max(risks), own) else "(pooled)" for s, own_ in trials.items()}
+    out = set()
+    for chain in set(chain_of.values()):
+        held = {}
+        for s in trials:
+            if chain_of[s] == chain:
+                held |= trials[s]
+        level, n = (pooled if chain == "(pooled)" else own), len(held)
+        risk = next((r for r in sorted(risks) if n >= enough(r, level)), None)
+        for rule, grid in grids.items() if risk else ():
+            best = None
+            for cutoff in sorted(grid, reverse=True):
+                over = {"symbols_pct": lambda m: 100 * m[1] > cutoff * m[0], "chars_per_word": lambda m: m[0] > cutoff * m[2]}[rule]
+                k = sum(map(over, held.values()))
+                if exact_cdf(k, n, risk) > level:
+                    break
+                best = (cutoff, n, k)
+            if best:
+                out |= {(s, rule, chain, risk, *best) for s in trials if chain_of[s] == chain}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cutoffs_equal_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    grids = {"symbols_pct": (1, 5, 20, 50), "chars_per_word": (6, 8, 12, 30)}
+    rows, trials = [], {}
+    for stratum, size in (("en", 500), ("fr", 150), ("de", 40)):
+        for i in range(size):
+            chars, words = rnd.choice([150, 200, 400]), 30
+            symbols = rnd.choice([0] * 20 + [3, 60, 150])
+            digest = seed * 10_000 + len(rows)
+            trials.setdefault(stratum, {})[digest] = (chars, symbols, words)
+            copies = 300 if i == 7 else 1  # copies of one text are one trial
+            rows += [(stratum, digest, words, chars, symbols, 1, 0, 0)] * copies
+    rows += [("en", -1, 3, 9, 9, 1, 0, 0)] * 50  # fail the base rules
+    good = spark.createDataFrame(rows, "_stratum string, _digest long, n_words long, word_chars long, n_symbols long, "
+                                       "n_lines long, n_dup_lines long, n_repeat_words long")
+    risks, delta = (0.02, 0.05, 0.1), 0.2
+    got = quality.thresholds(good, ("en", "fr", "de"), risks, delta, grids).collect()
+    assert {tuple(r) for r in got} == plain_thresholds(trials, ("en", "fr", "de"), risks, delta, grids)
+    assert {r.chain for r in got} >= {"en"} and len(got) > 2
+
+
+def test_hot_ids_and_clashing_columns_in_quality_rules(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(7, text, "en", 1, "k")] * 60 + [(i, f"{text} {i}", "en", 1, "k") for i in range(100, 130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words int, _digest string")
+    labels = spark.createDataFrame([(r[0], 1, 0) for r in rows[50:]], "doc_id long, quality int, toxic int")
+    got = quality.judge(docs, labels, "doc_id", "text", "lang", risks=(0.5,), delta=0.5).collect()
+    assert len(got) == 90 and all(r.kept and r.n_words in (40, 41) for r in got)
+
+
+def test_the_method_certifies_and_holds_its_risk_on_labels_not_used(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    used = quality.op8_quality_rules(spark, sf)
+    assert used.agg(F.max("n_certified")).first()[0] > 0
+    half = F.crc32(F.col("doc_id").cast("string")) % 4 > 0
+    judged = quality.judge(docs, labels.where(half), "doc_id", "text", "lang", risks=(0.05,))
+    rest = judged.where("not base_failed").join(labels.where(~half).where("quality = 1"), "doc_id").collect()
+    assert len(rest) > 50 and sum(not r.kept for r in rest) <= 0.05 * len(quality.GRIDS) * len(rest)
 
 
 # ------------------------------------------------------------ 9 secrets
@@ -576,6 +723,40 @@ def test_shards_are_contiguous_and_even(spark):
     assert sharding.assign_shards(sized.limit(0), 8, F.col("bytes"), ["doc_id"]).count() == 0
 
 
+def test_cuts_are_exact_at_80_terabytes(spark):
+    """A first byte just before a cut stays before it (a rounded quotient would not)."""
+    total = 80 * 10 ** 12
+    cuts = [total * i // 8 for i in range(9)]
+    sizes = []
+    for a, b in zip(cuts, cuts[1:]):
+        sizes += [b - a - 2_000_000, 1_999_999, 1]
+    df = spark.createDataFrame(list(enumerate(sizes)), "i long, n long")
+    got = sorted(sharding.assign_shards(df, 8, F.col("n"), ["i"]).collect(), key=lambda r: r.i)
+    before, want = 0, []
+    for n in sizes:
+        want.append(before * 8 // total)
+        before += n
+    assert [r.shard for r in got] == want and {r.slot for r in got} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_shards_equal_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    texts = [None, "", "same"] + ["é" * rnd.randint(0, 60) for _ in range(90)] + ["same"] * 80
+    df, rows = documents(spark, texts)
+    sized = df.withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)) + 1).withColumn("shard", F.lit(9))
+    got = sharding.assign_shards(sized, 5, F.col("bytes"), ["doc_id", "text"]).collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    sizes = [len((r[1] or "").encode()) + 1 for r in order]
+    want, before, count = [], 0, {}
+    for r, n in zip(order, sizes):
+        shard = before * 5 // sum(sizes)
+        want.append((r[0], r[1], n, shard, count.get(shard, 0)))
+        count[shard] = count.get(shard, 0) + 1
+        before += n
+    assert sorted(((r.doc_id, r.text, r.size, r.shard, r.slot) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_sharding_digest_columns(spark):
     row = sharding.op10_sharding(spark, "/root/testdata/sf0.001").where("doc_id = 1").first()
     text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id = 1").first().text

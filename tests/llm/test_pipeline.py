@@ -48,6 +48,6 @@ def test_queries_equal_their_sql(spark):
 
 def test_every_query_is_registered():
     found = __spark_entry__.queries()
-    assert {k.split("_")[0] for k in found if k.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {k.split("_")[0] for k in found if k.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in found and set(queries.ORACLE) <= set(__spark_entry__.oracle_sql())
     assert secrets.BASE == 3
