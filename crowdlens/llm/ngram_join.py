@@ -33,7 +33,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 TOKENS = 96  # MinHash tokens of a set
 RECALL, DEPTH = 0.999, 3  # target for a pair at the threshold, levels of splitting
 SMALL = 256  # sets of a bucket that is compared at once
-SKETCHES = 1024, 8192  # sketches of a block of a bucket that stays large: an eighth of it, between these
+SKETCHES = 512, 8192  # sketches of a block of a bucket that stays large: an eighth of it, between these
 BLOCK = 512  # sets of a block of a large component
 BLOCK_SHINGLES = 1_000_000  # shingles of a block, at most (unless one set is larger)
 SLACK = 4.0  # standard deviations by which a sketch may fall short
