@@ -15,7 +15,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crowdlens.operators import profile as P
 from crowdlens.operators.ordering import dense_positions
+from crowdlens.session import cut, observing
 
 
 MAX_CLASSES = 1000  # the model holds one probability column per class
@@ -58,15 +60,8 @@ def label_domain(ann: DataFrame, label_min: int | None = None,
 
 
 def dataset_profile(ann: DataFrame) -> DataFrame:
-    """A1: one row of exact distinct counts and the label range."""
-    return ann.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.countDistinct("worker_id").alias("n_workers"),
-        F.countDistinct("task_id").alias("n_tasks"),
-        F.count("gold_label").alias("n_gold_rows"),
-        F.min("worker_label").alias("label_min"),
-        F.max("worker_label").alias("label_max"),
-    )
+    """A1: one row of exact distinct counts and the label range, in one pass."""
+    return P.profile(P.state(ann))
 
 
 def gold_rows(ann: DataFrame) -> DataFrame:
@@ -93,14 +88,24 @@ def label_distribution(ann: DataFrame) -> DataFrame:
                          F.try_divide(F.col("n").cast("double"), total).alias("share"))
 
 
-def gold_per_task(ann: DataFrame, domain: LabelDomain) -> DataFrame:
-    """Tasks with gold; one distinct gold value -> zero-based gold, several -> NULL."""
-    g = gold_rows(ann).groupBy("task_id").agg(
-        F.countDistinct("gold_label").alias("n_gold_values"),
-        F.min("gold_label").alias("_g"))
+def gold_per_task(ann: DataFrame, domain: LabelDomain | None = None) -> DataFrame:
+    """Tasks with gold; one distinct gold value -> zero-based gold, several -> NULL.
+
+    Without a ``domain`` the least worker label is observed while the tasks are
+    grouped (one pass over the annotations, and a written table of the tasks)."""
+    distinct = F.size(F.collect_set("gold_label")).cast("bigint")  # at most one entry a class
+    if domain is None:
+        seen, least = observing(ann.select("task_id", "gold_label", "worker_label"),
+                                {"least": F.min("worker_label")})
+        g = cut(seen.groupBy("task_id").agg(distinct.alias("n_gold_values"), F.min("gold_label").alias("_g")),
+                "gold").where("n_gold_values > 0")
+        shift = least.get["least"]
+    else:
+        g = gold_rows(ann).groupBy("task_id").agg(distinct.alias("n_gold_values"), F.min("gold_label").alias("_g"))
+        shift = domain.label_min
     return g.select(
         "task_id",
-        F.when(F.col("n_gold_values") == 1, F.col("_g") - F.lit(domain.label_min))
+        F.when(F.col("n_gold_values") == 1, F.col("_g") - F.lit(shift))
         .cast("int").alias("gold"),
         "n_gold_values")
 
@@ -109,16 +114,22 @@ VOTE_COLUMNS = 32  # classes counted in columns of their own
 
 
 def majority_vote(ann: DataFrame, domain: LabelDomain | None = None,
-                  given: DataFrame | None = None) -> DataFrame:
+                  given: DataFrame | None = None, zero_based: bool = False) -> DataFrame:
     """Most frequent label per task; a tie goes to the tied label
     whose first annotation comes first.
 
     With a ``domain`` of few classes the votes of a task are columns of one hash
     aggregate, and labels outside the domain (or null) have no vote; else they
     are counts per (task, label), then ``max_by``.  ``given``: rows whose tasks
-    alone get a vote (A9); every annotation of such a task counts.
+    alone get a vote (A9); every annotation of such a task counts.  ``zero_based``
+    without a domain: the least label is observed while the votes are counted (a
+    minimum, so a task that runs again does not change it) instead of in a pass of
+    its own.
     """
     shift = domain.label_min if domain is not None else 0
+    least = None
+    if zero_based and domain is None:
+        ann, least = observing(ann.select("task_id", "worker_label", "row_id"), {"least": F.min("worker_label")})
     if given is not None:
         ann = ann.join(given.select("task_id").distinct(), "task_id", "left_semi")
     if domain is not None and domain.count <= VOTE_COLUMNS:
@@ -138,6 +149,9 @@ def majority_vote(ann: DataFrame, domain: LabelDomain | None = None,
         key = F.struct(F.col("n"), (-F.col("first_row")).alias("neg_first"))
         best = per_label.groupBy("task_id").agg(
             F.max_by(F.struct("worker_label", "n"), key).alias("_best"))
+    if least is not None:
+        best = cut(best, "votes")
+        shift = least.get["least"]
     return best.select(
         "task_id",
         (F.col("_best.worker_label") - F.lit(shift)).cast("int").alias("majority_label"),

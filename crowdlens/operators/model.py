@@ -30,24 +30,28 @@ over ``split_rows`` annotations, the bucket key is (task, salt) and each such
 task gets one salt per ``split_rows`` of them.  Every round's tables live in
 the shared checkpoint folder, so lineage stays one round deep and a lost
 executor only re-runs the current round; tables that no later round reads are
-deleted.
+deleted.  Totals and bounds are observed where the tables are written.  Options
+of ``fit`` shrink the working set, stretch the steps and keep a journal from
+which a stopped fit goes on.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import time
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crowdlens import manifest
 from crowdlens.functions.special import digamma, lgamma
 from crowdlens.operators.joins import BROADCAST_BYTES, SPLIT_ROWS, hot_keys, small, split_join
 from crowdlens.operators.mapping import LabelDomain
-from crowdlens.session import cut, release, scratch_path
+from crowdlens.session import cut, observing, release, scratch_path
 
 DIAG_PRIOR = 5.5   # fixed value: prior pseudo-count for a correct label
 OFF_PRIOR = 1.0    # fixed value: prior pseudo-count for a wrong label
@@ -95,6 +99,7 @@ class CrowdModel:
     prior: list[list[float]]
     trace: list[tuple[int, float | None, float | None]] = field(default_factory=list)
     round_seconds: list[float] = field(default_factory=list)
+    round_rows: list[int] = field(default_factory=list)  # annotations of the working set
 
     @property
     def classes(self) -> int:
@@ -204,6 +209,7 @@ class _Inputs:
     bc_pairs: bool
     bc_words: bool
     vocab_size: int
+    n_rows: int             # annotations of the working set
 
 
 ROWS_PER_BUCKET = 200_000
@@ -217,36 +223,46 @@ def _bucket_count(spark, n_rows: int) -> int:
     return min(most, max(spark.sparkContext.defaultParallelism, n_rows // ROWS_PER_BUCKET + 1))
 
 
-def _bucketed(df: DataFrame, keys: list[str], buckets: int, name: str) -> DataFrame:
+def _bucketed(df: DataFrame, keys: list[str], buckets: int, name: str, metrics: dict[str, Column] | None = None,
+              hidden: list[str] = (), path: str | None = None) -> DataFrame:
     """Write ``df`` as an external table bucketed by ``keys`` under the shared
-    checkpoint folder and read it back.  Two tables bucketed the same way
-    join and group on their keys without any exchange."""
+    checkpoint folder (or at ``path``) and read it back.  Two tables bucketed the
+    same way join and group on their keys without any exchange.  ``metrics`` and
+    ``hidden`` as in ``cut``."""
     spark = df.sparkSession
     name = f"crowdlens_{name}_{uuid.uuid4().hex[:12]}"
-    path = scratch_path(spark, name)
-    (df.repartition(buckets, *keys).write.bucketBy(buckets, *keys)
-       .option("path", path).saveAsTable(name))
+    path = path or scratch_path(spark, name)
+    rows, seen = observing(df.repartition(buckets, *keys), metrics)
+    rows.drop(*hidden).write.bucketBy(buckets, *keys).option("path", path).saveAsTable(name)
     table = spark.table(name)
     table.written_to, table.catalog_name = path, name
+    table.observed = seen.get if seen else {}
     return table
 
 
-def _forget(table: DataFrame | None) -> None:
-    """Delete a written table that nothing reads any more."""
+def _forget(table: DataFrame | None, files: bool = True) -> None:
+    """Drop a written table that nothing reads any more, by default with its files."""
     if table is None:
         return
     if hasattr(table, "catalog_name"):
         table.sparkSession.sql(f"DROP TABLE IF EXISTS {table.catalog_name}")
-    release(table)
+    if files:
+        release(table)
 
 
 def _prepare(ann: DataFrame, domain: LabelDomain | None, words: DataFrame | None,
-             vocab_size: int | None, split_rows: int,
-             buckets: int | None, broadcast_bytes: int) -> tuple[_Inputs, LabelDomain]:
+             vocab_size: int | None, split_rows: int, buckets: int | None, broadcast_bytes: int,
+             marked: bool = False) -> tuple[_Inputs, LabelDomain, dict]:
+    """The inputs as the rounds read them, the label domain and, if ``marked``, a
+    mark of the data by which a journal knows it."""
     raw = cut(ann.select("task_id", "worker_id", "row_id", "worker_label"), "annotations")
     stats = raw.agg(F.count(F.lit(1)).alias("n"),
                     F.countDistinct("worker_id", "worker_label").alias("pairs"),
                     F.min("worker_label").alias("lo"), F.max("worker_label").alias("hi")).first()
+    mark = {}
+    if marked:
+        mark = {"rows": stats["n"], "annotations": _checksum(raw, ["task_id", "worker_id", "worker_label"]),
+                "words": None if words is None else _checksum(words, ["task_id", "word_idx"]), "vocab_size": vocab_size}
     if domain is None:
         if stats["lo"] is None:
             raise ValueError("no annotations: the label domain is undefined")
@@ -295,7 +311,12 @@ def _prepare(ann: DataFrame, domain: LabelDomain | None, words: DataFrame | None
         hot_words = None if bc_words else hot_keys(w, "word_idx", split_rows)
         word_only = not w.join(placed, keys, "left_anti").isEmpty()
     return _Inputs(placed, w, keys, salts, buckets, n_rows <= HASH_ROWS * (buckets or 0), hot_workers, hot_words,
-                   word_only, bc_pairs, bc_words, v), domain
+                   word_only, bc_pairs, bc_words, v, n_rows), domain, mark
+
+
+def _checksum(rows: DataFrame, cols: list[str]) -> int:
+    """A sum over the rows that does not depend on their order."""
+    return int(rows.agg(F.sum(F.pmod(F.xxhash64(*cols), F.lit(1_000_003)))).first()[0] or 0)
 
 
 def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None = None,
@@ -303,7 +324,8 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
         worker_prior: str = "biased", belief: float = 0.7, tol: float | None = None,
         trace: bool = True, clamp: DataFrame | None = None,
         broadcast_bytes: int = BROADCAST_BYTES, split_rows: int = SPLIT_ROWS,
-        co_locate: bool = True, buckets: int | None = None) -> CrowdModel:
+        co_locate: bool = True, buckets: int | None = None, shrink: float | None = None,
+        accelerate: bool = False, journal: str | None = None) -> CrowdModel:
     """M1/M5: fit the model for ``iterations`` rounds (or until the largest
     change of any task posterior is below ``tol``).
 
@@ -317,32 +339,34 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
     200,000 annotations.  ``split_rows``: annotations of one task (worker, word)
     that may meet in one task; beyond it the key is split.
 
-    Jobs per round: write q, write the (worker, label) table, write the
-    word table, one aggregate over q (class totals + entropy), one over the
-    word table; with ``trace`` one more over workers (bound) and one for
-    the largest change of q.
+    Jobs per round: write q, write the (worker, label) table, write the word
+    table.  Class totals, entropy, the largest change of q and the terms of the
+    bound are observed by the tasks that write them, so nothing is read again.
+
+    ``shrink``: tasks whose posterior moved less than this in a round may be set
+    aside: when they are half of the working set, their share of every sum is kept
+    as a table, the working set is written anew without them, and later rounds read
+    only that.  The last round, or the one after ``tol`` is met, sweeps over all
+    tasks again; the fit goes on with all of them if any moved by ``tol`` or more.
+
+    ``accelerate``: after two plain rounds, whose changes tell how fast the steps
+    become smaller, a round starts from parameters stretched along the last step to
+    where the steps would lead.  A round that ends with a lower bound is dropped and
+    the plain step taken instead, so the bound never falls.
+
+    ``journal``: a shared folder in which every round leaves its tables and, last,
+    a manifest.  A fit of the same data and options that finds one there goes on
+    after its newest whole round.
     """
     if words is not None and not vocab_size:
         raise ValueError("words need vocab_size, the number of vocabulary terms")
-    inp, domain = _prepare(ann, domain, words, vocab_size, split_rows,
-                           (buckets or 0) if co_locate else None, broadcast_bytes)
+    if shrink is not None and accelerate:
+        raise ValueError("a working set that shrinks cannot be combined with stretched steps")
+    inp, domain, mark = _prepare(ann, domain, words, vocab_size, split_rows,
+                                 (buckets or 0) if co_locate else None, broadcast_bytes, journal is not None)
+    whole = inp
     c = domain.count
     prior = confusion_prior(c, worker_prior, belief)
-    row0 = [sum(prior[t]) for t in range(c)]
-
-    # Initial parameters = priors: kappa = 1, pi = prior, phi = 1.
-    kappa = [CLASS_PRIOR] * c
-    worker_alpha = inp.ann.select("worker_id", "label").distinct().select(
-        "worker_id", "label",
-        *[_prior_col(F.col("label"), t, prior).alias(f"a_{t}") for t in range(c)],
-        *[F.lit(row0[t]).alias(f"s_{t}") for t in range(c)])
-    worker_alpha = cut(worker_alpha, "worker-alpha")
-    word_alpha = None
-    word_totals = None
-    if inp.words is not None:
-        word_alpha = cut(inp.words.select("word_idx").distinct().select(
-            "word_idx", *[F.lit(WORD_PRIOR).alias(f"a_{t}") for t in range(c)]), "word-alpha")
-        word_totals = [WORD_PRIOR * inp.vocab_size] * c
 
     clamp_q = None
     if clamp is not None:
@@ -350,104 +374,356 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
         clamp_q = cut(clamp.select("task_id", *[
             F.when(F.col("label") == t, 1.0).otherwise(0.0).alias(f"p_{t}")
             for t in range(c)]), "clamp")
-
     part_q = None  # fixed classes of some tasks only: the others go on being estimated
     if clamp_q is not None and not inp.ann.join(clamp_q, "task_id", "left_anti").isEmpty():
         part_q, clamp_q = clamp_q, None
-    stored = before = None  # q of this round and of the last one, with its salts
+
+    log = None if journal is None else _Journal(ann.sparkSession, journal, {
+        **mark, "label_min": domain.label_min, "prior": prior, "clamped": clamp is not None})
     history: list[tuple[int, float | None, float | None]] = []
     seconds: list[float] = []
-    for it in range(1, iterations + 1):
+    rows: list[int] = []
+    done, prev, stored, bound = 0, None, None, None
+    held = log.newest() if log is not None else None
+    if held is None:
+        good = _first_params(inp, prior, c)
+    else:
+        done, good, stored, history, bound = held
+    if clamp_q is not None:
+        iterations = min(iterations, 1)  # nothing changes between rounds when every class is fixed
+    before, before_on = stored, inp.keys  # q of the round before, and what it is joined by
+    stretch, steps, frozen, spent, closing = 1.0, [], None, None, False
+
+    def retire(*tables: DataFrame | None) -> None:  # a journal deletes the files that it names itself
+        for table in tables:
+            _forget(table, log is None)
+
+    for it in range(done + 1, iterations + 1):
         started = time.time()
+        where = None if log is None else log.folder_of(it)
+        if frozen is not None and (closing or it == iterations):  # sweep over all tasks
+            before, before_on = frozen.with_rest(before, c), ["task_id"]
+            _forget(inp.ann)
+            _forget(inp.words)
+            inp, frozen, spent, closing = whole, None, frozen, False
         # ---------------- E-step: one grouped sum by task ----------------
+        start = _stretched(prev, good, stretch, prior, inp, c) if stretch > 1 else good
+        wanted = (trace or tol is not None or shrink is not None or accelerate) and before is not None
         if clamp_q is not None:
-            q = clamp_q
+            fresh, on = clamp_q, ["task_id"]
+            fresh.observed = clamp_q.agg(*[F.sum(f"p_{t}").alias(f"k_{t}") for t in range(c)]).first().asDict()
         else:
-            epi = worker_alpha.select("worker_id", "label", *[
-                (digamma(F.col(f"a_{t}")) - digamma(F.col(f"s_{t}"))).alias(f"e_{t}")
-                for t in range(c)])
-            if inp.bc_pairs:
-                scores = inp.ann.join(F.broadcast(epi), ["worker_id", "label"])
-            else:
-                scores = split_join(inp.ann, epi, ["worker_id", "label"], inp.hot_workers)
-            ws = None
-            if inp.words is not None:
-                ephi = _elog_phi(word_alpha, word_totals, c)
-                if inp.bc_words:
-                    ws = inp.words.join(F.broadcast(ephi), "word_idx")
-                else:
-                    ws = split_join(inp.words, ephi, ["word_idx"], inp.hot_words)
-            ek = _elog_kappa(kappa)
-            q_new = _softmax(_summed(scores, ws, inp, c).select("task_id", *[
-                (F.col(f"e_{t}") + F.lit(ek[t])).alias(f"e_{t}") for t in range(c)]), c)
-            if part_q is not None:
-                fixed = part_q.select("task_id", *[F.col(f"p_{t}").alias(f"f_{t}") for t in range(c)])
-                q_new = q_new.join(fixed, "task_id", "left").select("task_id", *[
-                    F.coalesce(f"f_{t}", f"p_{t}").alias(f"p_{t}") for t in range(c)])
-            q_new = _salted(q_new, inp)
-            stored = (_bucketed(q_new, inp.keys, inp.buckets, "q") if inp.buckets is not None
-                      else cut(q_new, "q"))
-            q = _plain(stored)
-
+            fresh = _store_q(_posterior(inp, start, c, part_q), inp, before if wanted else None, before_on, c,
+                             shrink, where)
+            on = inp.keys  # both sides bucketed by the keys: joined without exchange
         # ---------------- M-step: grouped sums of q ----------------
-        if clamp_q is not None:
-            at_rows, on = q, ["task_id"]
-        else:  # both sides bucketed by the keys: joined without exchange
-            at_rows, on = stored.hint("shuffle_hash") if inp.hash_join else stored, inp.keys
-        counts = inp.ann.join(at_rows, on).groupBy("worker_id", "label").agg(*[
-            (F.sum(f"p_{t}") + F.first(_prior_col(F.col("label"), t, prior))).alias(f"a_{t}")
-            for t in range(c)])
-        # each worker's row sums ride along (a window over at most C rows
-        # per worker), so the next E-step needs no group-by or join
-        per_worker = Window.partitionBy("worker_id")
-        used = worker_alpha
-        worker_alpha = cut(counts.select("worker_id", "label", *p_cols(c, "a_"), *[
-            (F.sum(F.col(f"a_{t}") - _prior_col(F.col("label"), t, prior)).over(per_worker)
-             + F.lit(row0[t])).alias(f"s_{t}") for t in range(c)]), "worker-alpha")
-        _forget(used)
-        ent = sum((F.when(F.col(f"p_{t}") > 0, -F.col(f"p_{t}") * F.log(F.col(f"p_{t}")))
-                   .otherwise(0.0) for t in range(c)), F.lit(0.0))
-        totals = q.agg(*[F.sum(f"p_{t}").alias(f"k_{t}") for t in range(c)],
-                       F.sum(ent).alias("entropy")).first()
-        kappa = [CLASS_PRIOR + float(totals[f"k_{t}"] or 0.0) for t in range(c)]
-        entropy = float(totals["entropy"] or 0.0)
-        w_cells = 0.0
-        if inp.words is not None:
-            used = word_alpha
-            word_alpha = cut(inp.words.join(at_rows, on).groupBy("word_idx").agg(*[
-                (F.sum(f"p_{t}") + F.lit(WORD_PRIOR)).alias(f"a_{t}") for t in range(c)]),
-                "word-alpha")
-            _forget(used)
-            wt = word_alpha.agg(
-                *[F.sum(F.col(f"a_{t}") - F.lit(WORD_PRIOR)).alias(f"w_{t}") for t in range(c)],
-                F.sum(sum((lgamma(F.col(f"a_{t}")) - F.lit(math.lgamma(WORD_PRIOR))
-                           for t in range(c)), F.lit(0.0))).alias("cells")).first()
-            word_totals = [WORD_PRIOR * inp.vocab_size + float(wt[f"w_{t}"] or 0.0)
-                           for t in range(c)]
-            w_cells = float(wt["cells"] or 0.0)
-
-        elbo = delta = None
-        if (trace or tol is not None) and before is not None:
-            delta = _max_delta(stored, before, inp.keys, c)
-        if trace:
-            elbo = entropy + _kappa_bound(kappa) + _worker_bound(worker_alpha, prior, c)
-            if inp.words is not None:
-                elbo += w_cells - sum(math.lgamma(word_totals[t])
-                                      - math.lgamma(WORD_PRIOR * inp.vocab_size)
-                                      for t in range(c))
-        history.append((it, elbo, delta))
+        new, elbo = _m_step(inp, fresh, on, prior, c, frozen, trace or accelerate, where)
+        seen = fresh.observed
+        delta = float(seen["delta"] or 0.0) if wanted and clamp_q is None else None
+        dropped = stretch > 1 and elbo < bound - 1e-12 * abs(bound)  # beyond rounding
+        if dropped:  # too far: the next round takes the plain step from the same parameters
+            for table in (fresh, new.worker, new.word):
+                _forget(table)
+            stretch, steps, delta = 1.0, [], None
+        else:
+            if prev is not None:
+                retire(prev.worker, prev.word)
+            if clamp_q is None:
+                retire(stored)
+            prev, good, bound, stored = good, new, elbo, fresh
+            before, before_on = (stored, inp.keys) if clamp_q is None else (None, None)
+            steps = [*steps[-1:], delta] if stretch == 1 and delta else []
+            stretch = 1.0
+            if accelerate and len(steps) == 2:  # steps that shrink by r add up to 1 / (1 - r) of the last one
+                stretch = 1 / (1 - min(steps[1] / steps[0], 1 - 1 / MAX_STRETCH))
+        if spent is not None:
+            for table in (spent.worker, spent.word, *spent.q):
+                _forget(table)
+            spent = None
+        history.append((it, bound if trace else None, delta))
+        if log is not None and not dropped and clamp_q is None:
+            log.commit(it, good, stored, history, bound)
         seconds.append(time.time() - started)
-        _forget(before)
-        before = stored
-        if clamp_q is not None:
-            break  # nothing changes between rounds when every class is fixed
+        rows.append(inp.n_rows)
         if tol is not None and delta is not None and delta < tol:
-            break
-    _forget(inp.ann)
-    _forget(inp.words)
+            if frozen is None:
+                break
+            closing = True  # the tasks that were set aside are looked at once more
+        elif shrink is not None and not closing and it < iterations - 1 and 2 * seen["calm"] >= seen["tasks"] > 0:
+            smaller, frozen = _set_aside(inp, stored, frozen, shrink, c)
+            if inp is not whole:
+                _forget(inp.ann)
+                _forget(inp.words)
+            inp, before = smaller, stored.where(F.col("_d") >= F.lit(shrink))
+    if prev is not None:
+        retire(prev.worker, prev.word)
+    for used in {id(x): x for x in (inp.ann, inp.words, whole.ann, whole.words)}.values():
+        _forget(used)
+    q = _plain(stored).drop("_d")
+    return CrowdModel(domain, q, good.worker, worker_rows(good.worker, prior, c), good.kappa,
+                      good.word, whole.vocab_size, good.word_totals, prior, history, seconds, rows)
+
+
+@dataclass
+class _Params:
+    """Parameter tables: kappa, worker rows (worker_id, label, a_*, s_*), words
+    (word_idx, a_*) and their totals."""
+
+    kappa: list[float]
+    worker: DataFrame
+    word: DataFrame | None = None
+    word_totals: list[float] | None = None
+
+
+def _first_params(inp: _Inputs, prior: list[list[float]], c: int) -> _Params:
+    """The priors: kappa = 1, pi = prior, phi = 1."""
+    worker = cut(inp.ann.select("worker_id", "label").distinct().select(
+        "worker_id", "label",
+        *[_prior_col(F.col("label"), t, prior).alias(f"a_{t}") for t in range(c)],
+        *[F.lit(sum(prior[t])).alias(f"s_{t}") for t in range(c)]), "worker-alpha")
+    if inp.words is None:
+        return _Params([CLASS_PRIOR] * c, worker)
+    word = cut(inp.words.select("word_idx").distinct().select(
+        "word_idx", *[F.lit(WORD_PRIOR).alias(f"a_{t}") for t in range(c)]), "word-alpha")
+    return _Params([CLASS_PRIOR] * c, worker, word, [WORD_PRIOR * inp.vocab_size] * c)
+
 
-    return CrowdModel(domain, q, worker_alpha, worker_rows(worker_alpha, prior, c), kappa,
-                      word_alpha, inp.vocab_size, word_totals, prior, history, seconds)
+MAX_STRETCH = 12.0  # longest step, in lengths of the last one
+
+
+def _stretched(old: _Params, new: _Params, by: float, prior: list[list[float]], inp: _Inputs, c: int) -> _Params:
+    """``old`` + by * (``new`` - ``old``), kept above half of the priors.  It is only
+    where the next round starts from: any positive parameters will do."""
+    def step(n: Column, o: Column, least) -> Column:
+        return F.greatest(n + F.lit(by - 1) * (n - o), least)
+
+    def numbers(n: list[float], o: list[float], least: float) -> list[float]:
+        return [max(x + (by - 1) * (x - y), least) for x, y in zip(n, o)]
+
+    def both(n: DataFrame, o: DataFrame, key: list[str], cols: list[str]) -> DataFrame:
+        return n.join(o.select(*key, *[F.col(x).alias(f"o{x}") for x in cols]), key)
+
+    cols = [*p_cols(c, "a_"), *p_cols(c, "s_")]
+    worker = both(new.worker, old.worker, ["worker_id", "label"], cols).select(
+        "worker_id", "label",
+        *[step(F.col(f"a_{t}"), F.col(f"oa_{t}"), _prior_col(F.col("label"), t, prior) / 2).alias(f"a_{t}")
+          for t in range(c)],
+        *[step(F.col(f"s_{t}"), F.col(f"os_{t}"), F.lit(sum(prior[t]) / 2)).alias(f"s_{t}") for t in range(c)])
+    kappa = numbers(new.kappa, old.kappa, CLASS_PRIOR / 2)
+    if new.word is None:
+        return _Params(kappa, worker)
+    word = both(new.word, old.word, ["word_idx"], p_cols(c, "a_")).select("word_idx", *[
+        step(F.col(f"a_{t}"), F.col(f"oa_{t}"), F.lit(WORD_PRIOR / 2)).alias(f"a_{t}") for t in range(c)])
+    return _Params(kappa, worker, word, numbers(new.word_totals, old.word_totals, WORD_PRIOR * inp.vocab_size / 2))
+
+
+def _posterior(inp: _Inputs, start: _Params, c: int, part_q: DataFrame | None) -> DataFrame:
+    """The E-step: ``task_id, p_*`` of the working set."""
+    epi = start.worker.select("worker_id", "label", *[
+        (digamma(F.col(f"a_{t}")) - digamma(F.col(f"s_{t}"))).alias(f"e_{t}")
+        for t in range(c)])
+    if inp.bc_pairs:
+        scores = inp.ann.join(F.broadcast(epi), ["worker_id", "label"])
+    else:
+        scores = split_join(inp.ann, epi, ["worker_id", "label"], inp.hot_workers)
+    ws = None
+    if inp.words is not None:
+        ephi = _elog_phi(start.word, start.word_totals, c)
+        if inp.bc_words:
+            ws = inp.words.join(F.broadcast(ephi), "word_idx")
+        else:
+            ws = split_join(inp.words, ephi, ["word_idx"], inp.hot_words)
+    ek = _elog_kappa(start.kappa)
+    q = _softmax(_summed(scores, ws, inp, c).select("task_id", *[
+        (F.col(f"e_{t}") + F.lit(ek[t])).alias(f"e_{t}") for t in range(c)]), c)
+    if part_q is not None:
+        fixed = part_q.select("task_id", *[F.col(f"p_{t}").alias(f"f_{t}") for t in range(c)])
+        q = q.join(fixed, "task_id", "left").select("task_id", *[
+            F.coalesce(f"f_{t}", f"p_{t}").alias(f"p_{t}") for t in range(c)])
+    return q
+
+
+def _entropy(c: int) -> Column:
+    return sum((F.when(F.col(f"p_{t}") > 0, -F.col(f"p_{t}") * F.log(F.col(f"p_{t}")))
+                .otherwise(0.0) for t in range(c)), F.lit(0.0))
+
+
+def _store_q(q: DataFrame, inp: _Inputs, before: DataFrame | None, on: list[str], c: int,
+             shrink: float | None, where: str | None) -> DataFrame:
+    """Writes q as the inputs are laid out.  Class totals, entropy, the largest
+    change against ``before`` and the number of tasks that moved less than
+    ``shrink`` are observed on the way; with ``shrink`` the change stays as ``_d``."""
+    q = _salted(q, inp)
+    if before is not None:
+        old = before.select(*on, *[F.col(f"p_{t}").alias(f"o_{t}") for t in range(c)])
+        q = q.join(old.hint("shuffle_hash") if inp.hash_join and on == inp.keys else old, on, "left")
+        moved = F.greatest(*[F.abs(F.col(f"p_{t}") - F.coalesce(f"o_{t}", F.lit(-1.0))) for t in range(c)], F.lit(0.0))
+        q = q.withColumn("_d", moved)
+    else:
+        q = q.withColumn("_d", F.lit(1.0))
+    q = q.select(*inp.keys, *p_cols(c), "_d")
+    once = F.col("salt") == 0 if "salt" in inp.keys else F.lit(True)  # hot tasks have a row for every salt
+    metrics = {**{f"k_{t}": F.sum(F.when(once, F.col(f"p_{t}"))) for t in range(c)},
+               "entropy": F.sum(F.when(once, _entropy(c))), "delta": F.max("_d"), "tasks": F.count_if(once),
+               "calm": F.count_if(once & (F.col("_d") < F.lit(shrink or 0.0)))}
+    hidden = [] if shrink is not None else ["_d"]
+    path = None if where is None else f"{where}/q"
+    if inp.buckets is not None:
+        return _bucketed(q, inp.keys, inp.buckets, "q", metrics, hidden, path)
+    return cut(q, "q", metrics, path, hidden)
+
+
+def _m_step(inp: _Inputs, q: DataFrame, on: list[str], prior: list[list[float]], c: int,
+            frozen: _Frozen | None, bounded: bool, where: str | None) -> tuple[_Params, float | None]:
+    """The parameters that go with ``q`` (and the tasks set aside), and the bound."""
+    seen = q.observed
+    at_rows = q.hint("shuffle_hash") if inp.hash_join and on == inp.keys else q
+    worker = _worker_table(inp, at_rows, on, prior, c, frozen, bounded, where)
+    base = frozen.totals if frozen is not None else [0.0] * c
+    new = _Params([CLASS_PRIOR + float(seen[f"k_{t}"] or 0.0) + base[t] for t in range(c)], worker)
+    if inp.words is not None:
+        sums = inp.words.join(at_rows, on).select("word_idx", *p_cols(c))
+        if frozen is not None:
+            sums = sums.unionByName(frozen.word)
+        gain = {f"w_{t}": F.sum(F.col(f"a_{t}") - F.lit(WORD_PRIOR)) for t in range(c)}
+        gain["cells"] = F.sum(sum((lgamma(F.col(f"a_{t}")) - F.lit(math.lgamma(WORD_PRIOR))
+                                   for t in range(c)), F.lit(0.0)))
+        new.word = cut(sums.groupBy("word_idx").agg(*[
+            (F.sum(f"p_{t}") + F.lit(WORD_PRIOR)).alias(f"a_{t}") for t in range(c)]),
+            "word-alpha", gain, None if where is None else f"{where}/word")
+        new.word_totals = [WORD_PRIOR * inp.vocab_size + float(new.word.observed[f"w_{t}"] or 0.0) for t in range(c)]
+    if not bounded:
+        return new, None
+    elbo = float(seen.get("entropy") or 0.0) + (frozen.entropy if frozen is not None else 0.0)
+    elbo += _kappa_bound(new.kappa) + float(worker.observed["bound"] or 0.0)
+    if inp.words is not None:
+        elbo += float(new.word.observed["cells"] or 0.0) - sum(
+            math.lgamma(x) - math.lgamma(WORD_PRIOR * inp.vocab_size) for x in new.word_totals)
+    return new, elbo
+
+
+WIDE_CLASSES = 8  # classes up to which a worker's whole matrix is one aggregated row
+
+
+def _worker_table(inp: _Inputs, at_rows: DataFrame, on: list[str], prior: list[list[float]], c: int,
+                  frozen: _Frozen | None, bounded: bool, where: str | None) -> DataFrame:
+    """``worker_id, label, a_*, s_*`` of the observed pairs.  For few classes a
+    worker's sums of all labels are one row, so row sums need no second exchange;
+    else they are a window over at most C rows of a worker."""
+    rows = inp.ann.join(at_rows, on).select("worker_id", "label", *p_cols(c))
+    if frozen is not None:
+        rows = rows.unionByName(frozen.worker)
+    row0 = [sum(prior[t]) for t in range(c)]
+    label = F.col("label")
+    if c <= WIDE_CLASSES:
+        wide = rows.groupBy("worker_id").agg(*[
+            F.sum(F.when(label == l, F.col(f"p_{t}"))).alias(f"n_{l}_{t}") for l in range(c) for t in range(c)])
+        total = [sum((F.coalesce(f"n_{l}_{t}", F.lit(0.0)) for l in range(c)), F.lit(row0[t])) for t in range(c)]
+        cells = F.array_compact(F.array(*[F.when(F.col(f"n_{l}_0").isNotNull(), F.struct(
+            F.lit(l).alias("label"), *[(F.col(f"n_{l}_{t}") + F.lit(prior[t][l])).alias(f"a_{t}") for t in range(c)]))
+            for l in range(c)]))
+        table = wide.select("worker_id", *[total[t].alias(f"s_{t}") for t in range(c)],
+                            F.posexplode(cells).alias("_at", "_x"))
+        table = table.select("worker_id", "_x.*", *p_cols(c, "s_"), (F.col("_at") == 0).alias("_lead"))
+    else:
+        counts = rows.groupBy("worker_id", "label").agg(*[
+            (F.sum(f"p_{t}") + F.first(_prior_col(label, t, prior))).alias(f"a_{t}") for t in range(c)])
+        per_worker = Window.partitionBy("worker_id")
+        table = counts.select("worker_id", "label", *p_cols(c, "a_"), *[
+            (F.sum(F.col(f"a_{t}") - _prior_col(label, t, prior)).over(per_worker) + F.lit(row0[t])).alias(f"s_{t}")
+            for t in range(c)], (F.row_number().over(per_worker.orderBy("label")) == 1).alias("_lead"))
+    # ln B(alpha_kc) - ln B(prior_c) over workers and true classes; the row sums count once a worker
+    lg_prior = [[math.lgamma(p) for p in row] for row in prior]
+    pairs = sum((lgamma(F.col(f"a_{t}")) - _prior_col(label, t, lg_prior) for t in range(c)), F.lit(0.0))
+    sums = sum((lgamma(F.col(f"s_{t}")) - F.lit(math.lgamma(row0[t])) for t in range(c)), F.lit(0.0))
+    metrics = {"bound": F.sum(pairs - F.when(F.col("_lead"), sums).otherwise(0.0))} if bounded else None
+    return cut(table.select("worker_id", "label", *p_cols(c, "a_"), *p_cols(c, "s_"), "_lead"), "worker-alpha",
+               metrics, None if where is None else f"{where}/worker", ["_lead"])
+
+
+@dataclass
+class _Frozen:
+    """What the tasks that were set aside add to the sums of a round."""
+
+    worker: DataFrame            # worker_id, label, p_*
+    word: DataFrame | None       # word_idx, p_*
+    totals: list[float]          # by class
+    entropy: float
+    q: list[DataFrame]           # task_id, p_*
+
+    def with_rest(self, rest: DataFrame, c: int) -> DataFrame:
+        out = _plain(rest).select("task_id", *p_cols(c))
+        for part in self.q:
+            out = out.unionByName(part)
+        return out
+
+
+def _set_aside(inp: _Inputs, stored: DataFrame, frozen: _Frozen | None, shrink: float,
+               c: int) -> tuple[_Inputs, _Frozen]:
+    """The working set without the tasks that moved less than ``shrink``, written
+    anew, and their sums added to those of the tasks set aside before."""
+    calm = stored.where(F.col("_d") < F.lit(shrink))
+    rest = stored.where(F.col("_d") >= F.lit(shrink)).select(*inp.keys)
+    q = cut(_plain(calm).select("task_id", *p_cols(c)), "set-aside", {
+        **{f"k_{t}": F.sum(f"p_{t}") for t in range(c)}, "entropy": F.sum(_entropy(c))})
+
+    def sums(rows: DataFrame, by: list[str], held: DataFrame | None) -> DataFrame:
+        found = rows.join(calm.select(*inp.keys, *p_cols(c)), inp.keys).select(*by, *p_cols(c))
+        found = found if held is None else found.unionByName(held)
+        return cut(found.groupBy(*by).agg(*[F.sum(f"p_{t}").alias(f"p_{t}") for t in range(c)]), "base")
+
+    def left(rows: DataFrame, name: str) -> DataFrame:
+        kept = rows.join(rest, inp.keys, "left_semi")
+        metrics = {"rows": F.count(F.lit(1))}
+        return (_bucketed(kept, inp.keys, inp.buckets, name, metrics) if inp.buckets is not None
+                else cut(kept.repartition(rows.sparkSession.sparkContext.defaultParallelism), name, metrics))
+
+    worker = sums(inp.ann, ["worker_id", "label"], frozen.worker if frozen else None)
+    word = None if inp.words is None else sums(inp.words, ["word_idx"], frozen.word if frozen else None)
+    ann = left(inp.ann, "annotations")
+    words = None if inp.words is None else left(inp.words, "task_words")
+    if frozen is not None:
+        _forget(frozen.worker)
+        _forget(frozen.word)
+    totals = [float(q.observed[f"k_{t}"] or 0.0) + (frozen.totals[t] if frozen else 0.0) for t in range(c)]
+    entropy = float(q.observed["entropy"] or 0.0) + (frozen.entropy if frozen else 0.0)
+    return (replace(inp, ann=ann, words=words, n_rows=int(ann.observed["rows"])),
+            _Frozen(worker, word, totals, entropy, [*(frozen.q if frozen else []), q]))
+
+
+class _Journal:
+    """Rounds of a fit in a shared folder: tables under a folder of each round and
+    attempt, then a manifest that names them.  The two newest rounds are kept."""
+
+    def __init__(self, spark, folder: str, mark: dict):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.mark, self.attempt = json.loads(json.dumps(mark)), uuid.uuid4().hex[:8]
+
+    def folder_of(self, it: int) -> str:
+        return f"{self.folder}/round-{it:06d}-{self.attempt}"
+
+    def newest(self):
+        """(round, parameters, q, history, bound) of the newest whole round."""
+        held = manifest.read(self.spark, self.folder)
+        if held is None:
+            return None
+        if held["mark"] != self.mark:
+            raise ValueError(f"the journal in {self.folder} belongs to another fit")
+        tables = {name: self.spark.read.parquet(path) for name, path in held["tables"].items()}
+        for name, table in tables.items():
+            table.written_to = held["tables"][name]
+        return (held["round"], _Params(held["kappa"], tables["worker"], tables.get("word"), held["word_totals"]),
+                tables["q"], [tuple(x) for x in held["history"]], held["bound"])
+
+    def commit(self, it: int, good: _Params, q: DataFrame, history: list, bound: float | None) -> None:
+        tables = {"q": q, "worker": good.worker, **({"word": good.word} if good.word is not None else {})}
+        manifest.write(self.spark, self.folder, it, {
+            "mark": self.mark, "round": it, "tables": {k: t.written_to for k, t in tables.items()},
+            "kappa": good.kappa, "word_totals": good.word_totals, "history": history, "bound": bound})
+        for old in manifest.numbers(self.spark, self.folder)[:-2]:
+            for path in manifest.read(self.spark, self.folder, old)["tables"].values():
+                manifest.delete(self.spark, path)
+            manifest.forget(self.spark, self.folder, old)
 
 
 def _summed(scores: DataFrame, ws: DataFrame | None, inp: _Inputs, c: int) -> DataFrame:
@@ -493,15 +769,6 @@ def worker_rows(worker_alpha: DataFrame, prior: list[list[float]], c: int) -> Da
         .alias(f"s_{t}") for t in range(c)])
 
 
-def _max_delta(q: DataFrame, q_prev: DataFrame, keys: list[str], c: int) -> float:
-    """Largest change of any posterior; both sides are stored by the same keys."""
-    prev = q_prev.select(*keys, *[F.col(f"p_{t}").alias(f"o_{t}") for t in range(c)])
-    d = q.join(prev, keys).select(F.greatest(*[
-        F.abs(F.col(f"p_{t}") - F.col(f"o_{t}")) for t in range(c)], F.lit(0.0)).alias("d"))
-    v = d.agg(F.max("d")).first()[0]
-    return float(v) if v is not None else 0.0
-
-
 def _kappa_bound(kappa: list[float]) -> float:
     lg = math.lgamma
     c = len(kappa)
@@ -509,21 +776,7 @@ def _kappa_bound(kappa: list[float]) -> float:
             - (c * lg(CLASS_PRIOR) - lg(c * CLASS_PRIOR)))
 
 
-def _worker_bound(worker_alpha: DataFrame, prior: list[list[float]], c: int) -> float:
-    """sum over workers and true classes of ln B(alpha_kc) - ln B(prior_c)."""
-    lg_prior = [[math.lgamma(p) for p in row] for row in prior]
-    row0 = [sum(prior[t]) for t in range(c)]
-    per_worker = worker_alpha.groupBy("worker_id").agg(
-        F.sum(sum((lgamma(F.col(f"a_{t}")) - _prior_col(F.col("label"), t, lg_prior)
-                   for t in range(c)), F.lit(0.0))).alias("cells"),
-        *[(F.sum(F.col(f"a_{t}") - _prior_col(F.col("label"), t, prior)) + F.lit(row0[t]))
-          .alias(f"s_{t}") for t in range(c)])
-    rows = sum((lgamma(F.col(f"s_{t}")) - F.lit(math.lgamma(row0[t])) for t in range(c)),
-               F.lit(0.0))
-    v = per_worker.agg(F.sum(F.col("cells") - rows)).first()[0]
-    return float(v or 0.0)
-
-
+# ----------------------------------------------------------------------
 # Uses of a fitted model
 # ----------------------------------------------------------------------
 

@@ -42,6 +42,26 @@ def dense_positions(df: DataFrame, order: list[str | Column], out: str,
             .drop("_place", "_pid", "_off"))
 
 
+def running_sums(df: DataFrame, order: list[str], measures: list[str]) -> DataFrame:
+    """Adds ``before_<m>``: the sum of each measure over the rows before, in
+    ``order`` (unique keys).
+
+    Ranges are totalled, the totals (one row per range) are summed up in order and
+    added to a running sum inside each range.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    # pinned: another run of the plan could draw other range bounds
+    ranged = cut(df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id()), "ranged")
+    zero = F.lit(0)
+    upto = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy("_pid").agg(*[F.sum(m).alias(f"_{m}") for m in measures]).select(
+        "_pid", *[F.coalesce(F.sum(f"_{m}").over(upto), zero).alias(f"_base_{m}") for m in measures])
+    inside = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (ranged.withColumns({f"_own_{m}": F.coalesce(F.sum(m).over(inside), zero) for m in measures})
+            .join(F.broadcast(bases), "_pid")
+            .select(*df.columns, *[(F.col(f"_own_{m}") + F.col(f"_base_{m}")).alias(f"before_{m}") for m in measures]))
+
+
 def side_by_side(*one_row: DataFrame) -> DataFrame:
     """Combine one-row aggregates into one row without a join.
 

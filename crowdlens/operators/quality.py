@@ -2,8 +2,8 @@
 
 Row rules are evaluated as one projection: every rule is a conditional
 struct, the non-NULL ones are exploded into ``(row_id, severity, rule,
-message)`` rows.  Dataset rules are one aggregate.  Nothing is collected
-per row; reports take the first rows by ``row_id`` (a bounded top-k).
+message)`` rows.  Dataset rules are read off a profile state (one pass over the
+rows, mergeable between loads).  Nothing is collected per row; reports take the first rows by ``row_id`` (a bounded top-k).
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crowdlens.functions import text as T
+from crowdlens.operators import profile as P
 from crowdlens.operators.mapping import MAX_CLASSES
-from crowdlens.operators.ordering import side_by_side
 
 DEFAULT_LABELS = (0, 1)       # fixed value: default label domain
 SINGLE_LABEL_SHARE = 0.95     # fixed value: severe imbalance threshold
@@ -79,30 +79,6 @@ def row_issues(ann: DataFrame, labels: tuple[int, ...] | None = DEFAULT_LABELS,
     return exploded.select("row_id", "i.severity", "i.rule", "i.message")
 
 
-def _dataset_aggregates(ann: DataFrame, extra: list | None = None) -> DataFrame:
-    """One row: row count, distinct valid workers / tasks, single-annotation
-    tasks, label spread, and the sums of ``extra``.
-
-    One plain hash aggregate per key (task, worker, label), each over the one
-    column it needs, instead of distinct counts on expanded rows; the row
-    count and ``extra`` (sums by label) ride with the labels.
-    """
-    extra = extra or []
-    per_task = (ann.where(~T.is_blank(F.col("task_id"))).groupBy("task_id").agg(F.count(F.lit(1)).alias("n"))
-                .agg(F.count(F.lit(1)).alias("n_tasks"), F.count_if(F.col("n") == 1).alias("single_tasks")))
-    per_worker = (ann.where(~T.is_blank(F.col("worker_id"))).groupBy("worker_id").agg(F.lit(1))
-                  .agg(F.count(F.lit(1)).alias("n_workers")))
-    per_label = (ann.select("worker_label", *[c.alias(f"x_{i}") for i, (c, _) in enumerate(extra)])
-                 .groupBy("worker_label").agg(F.count(F.lit(1)).alias("n"), *[
-                     F.sum(f"x_{i}").alias(f"x_{i}") for i in range(len(extra))])
-                 .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
-                      F.count(F.lit(1)).alias("n_labels"), F.max("n").alias("top"),
-                      F.min_by("worker_label", F.struct(-F.col("n"), "worker_label"))
-                      .alias("top_label"),
-                      *[F.coalesce(F.sum(f"x_{i}"), F.lit(0)).alias(name) for i, (_, name) in enumerate(extra)]))
-    return side_by_side(per_label, per_task, per_worker)
-
-
 def _dataset_rules() -> list[tuple[Column, str, str, Column, Column]]:
     """(condition, severity, rule, value, message) over the aggregate row."""
     share = F.try_divide(F.col("top").cast("double"), F.col("n_rows"))
@@ -137,7 +113,12 @@ def _dataset_checks(s: DataFrame) -> DataFrame:
 
 def dataset_issues(ann: DataFrame) -> DataFrame:
     """V1, V11-V15 (and A3, A5): ``severity, rule, value, message`` rows."""
-    return _dataset_checks(_dataset_aggregates(ann))
+    return _dataset_checks(P.aggregates(P.state(ann)))
+
+
+def dataset_issues_of(state: DataFrame) -> DataFrame:
+    """The same from a profile state, such as one merged over several loads."""
+    return _dataset_checks(P.aggregates(state))
 
 
 def _dataset(cond: Column, severity: str, rule: str, value: Column, message: Column) -> Column:
@@ -154,11 +135,11 @@ def summary(ann: DataFrame, labels: tuple[int, ...] | None = DEFAULT_LABELS,
     rules = _rule_array(labels, min_text_length)
     e = F.size(F.filter(rules, lambda i: i["severity"] == "error"))
     w = F.size(F.filter(rules, lambda i: i["severity"] == "warning"))
-    # the row rules are counted in the pass that groups by label
+    # the row rules are counted in the one pass that builds the profile state
     counted = ann.select("*", F.struct(e.alias("e"), w.alias("w")).alias("_hits"))
-    agg = _dataset_aggregates(counted, [
-        (F.col("_hits.e"), "row_errors"), (F.col("_hits.w"), "row_warnings"),
-        ((F.col("_hits.e") > 0).cast("int"), "error_rows")])
+    sums = {"row_errors": F.col("_hits.e"), "row_warnings": F.col("_hits.w"),
+            "error_rows": (F.col("_hits.e") > 0).cast("int")}
+    agg = P.aggregates(P.state(counted, sums), list(sums))
     rules = _dataset_rules()
 
     def hits(severity: str) -> Column:

@@ -1,14 +1,20 @@
 """Published rankings and matrices (IO10-IO12, T1, T2, T5, J7, J10, A30, M17).
 
 Reports are DataFrames; ``write`` sorts (a distributed range sort) and
-writes them with any Spark sink.
+writes them with any Spark sink, ``publish`` makes several of them visible at
+once.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from crowdlens import manifest
 from crowdlens.operators.model import CrowdModel
 
 # Class names the reference prints for 2-class and 5-class data.
@@ -98,3 +104,51 @@ def write(df: DataFrame, path: str, fmt: str = "parquet", order: list | None = N
     if fmt == "csv":
         writer = writer.option("header", "true")
     writer.format(fmt).save(path)
+
+
+VERSIONS = 2  # published versions that are kept
+
+
+def publish(reports: dict[str, DataFrame], folder: str, fmt: str = "parquet",
+            orders: dict[str, list[str]] | None = None, versions: int = VERSIONS) -> int:
+    """IO10-IO13 as one version of a folder: all ``reports`` become visible
+    together, or none does.
+
+    Every report is written under a name of its own, then a manifest with all of
+    them; ``read_published`` takes the newest manifest.  A failure in between leaves
+    the version before in force, and readers of that one keep their files until
+    ``versions`` newer ones are there.  ``orders``: columns by which a report is
+    sorted (``-name``: descending), also when it is read.  Returns the version.
+    """
+    spark = next(iter(reports.values())).sparkSession
+    folder = folder.rstrip("/")
+    orders = orders or {}
+    held = manifest.numbers(spark, folder)
+    version = held[-1] + 1 if held else 1
+    content = {}
+    for name, df in reports.items():
+        path = f"{folder}/{name}-{version:09d}-{uuid.uuid4().hex[:8]}"
+        write(df, path, fmt, _order(orders.get(name, [])), mode="error")
+        content[name] = {"path": path, "format": fmt, "order": orders.get(name, []), "schema": df.schema.json()}
+    manifest.write(spark, folder, version, content)
+    for old in [n for n in held if n <= version - versions]:
+        for entry in manifest.read(spark, folder, old).values():
+            manifest.delete(spark, entry["path"])
+        manifest.forget(spark, folder, old)
+    return version
+
+
+def read_published(spark, folder: str, name: str) -> DataFrame:
+    """The report ``name`` of the newest version of ``folder``, in its order."""
+    entry = (manifest.read(spark, folder.rstrip("/")) or {}).get(name)
+    if entry is None:
+        raise FileNotFoundError(f"no report {name} is published in {folder}")
+    reader = spark.read.schema(StructType.fromJson(json.loads(entry["schema"])))
+    if entry["format"] == "csv":
+        reader = reader.option("header", "true")
+    df = reader.format(entry["format"]).load(entry["path"])
+    return df.orderBy(*_order(entry["order"])) if entry["order"] else df
+
+
+def _order(names: list[str]) -> list:
+    return [F.col(n[1:]).desc() if n.startswith("-") else F.col(n) for n in names]

@@ -14,19 +14,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crowdlens import manifest
 from crowdlens.functions import text as T
 from crowdlens.functions.stem import stem_sql, stem_words
 from crowdlens.operators import evaluate as E
 from crowdlens.operators import mapping as MP
 from crowdlens.operators import model as M
+from crowdlens.operators import profile as P
 from crowdlens.operators import quality as Q
 from crowdlens.operators import report as R
 from crowdlens.operators import vocab as V
 from crowdlens.plans import sql as S
 from crowdlens.sources import fixtures as FX
 from crowdlens.sources import tsv as TSV
-from crowdlens.session import scratch_path
-from crowdlens.streaming.scoring import score_texts
+from crowdlens.sources.stopwords import read_stopwords
+from crowdlens.session import cut, scratch_path
+from crowdlens.streaming.scoring import score_stream, score_texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -37,13 +40,16 @@ BELIEF = 0.7
 
 
 _FITS: dict = {}
+READ = ("documents", "labels", "lineitem", "orders", "part", "benchmark")  # tables of the fixtures
 
 
-def _memo(spark, key, build):
-    k = (spark.sparkContext.applicationId, id(spark)) + key
-    if k not in _FITS:
-        _FITS[k] = build()
-    return _FITS[k]
+def _memo(spark, d, key, build):
+    """What ``build`` made from the tables in ``d``, until one of their files changes."""
+    files = manifest.listing(spark, [f"{d.rstrip('/')}/{t}.parquet" for t in READ])
+    k = (spark.sparkContext.applicationId, id(spark), d) + key
+    if k not in _FITS or _FITS[k][0] != files:
+        _FITS[k] = files, build()
+    return _FITS[k][1]
 
 
 def register(key: str, sql: str | None = None):
@@ -92,6 +98,27 @@ def dataset_profile(spark, d):
     return MP.dataset_profile(B(spark, d))
 
 
+# four loads, profiled one by one and merged
+@register("profile_merged", ORACLE["dataset_profile"])
+def profile_merged(spark, d):
+    b = B(spark, d)
+    loads = [cut(P.state(b.where(F.pmod(F.xxhash64("row_id"), F.lit(4)) == i)), "profile") for i in range(4)]
+    return P.profile(P.merged(*loads))
+
+
+@register("profile_sketched", WITH_B + """
+select count(*) as n_rows, count(distinct worker_id) as n_workers, count(distinct task_id) as n_tasks,
+       true as workers_near, true as tasks_near from b""")
+def profile_sketched(spark, d):
+    """A1 from sketches of four loads, kept as a table: within 3 % of the exact counts."""
+    b = B(spark, d)
+    parts = cut(P.distinct_sketches(b, F.pmod(F.xxhash64("row_id"), F.lit(4))), "sketches")
+    found, exact = P.sketched(parts).first(), P.profile(P.state(b))
+    near = lambda c: F.abs(F.col(c) - found[c]) <= 0.03 * F.col(c)
+    return exact.select("n_rows", "n_workers", "n_tasks", (near("n_workers") & (F.col("n_rows") == found["n_rows"]))
+                        .alias("workers_near"), near("n_tasks").alias("tasks_near"))
+
+
 @register("label_range", WITH_B + """
 select min(worker_label) as label_min, max(worker_label) as label_max,
        max(worker_label) - min(worker_label) + 1 as label_count from b""")
@@ -133,8 +160,7 @@ select task_id,
        count(distinct gold_label) as n_gold_values
 from b where gold_label is not null group by task_id""")
 def gold_per_task(spark, d):
-    b = B(spark, d)
-    return MP.gold_per_task(b, MP.label_domain(b))
+    return MP.gold_per_task(B(spark, d))
 
 
 MAJORITY_SQL = """
@@ -148,8 +174,7 @@ select task_id, cast(worker_label - (select min(worker_label) from {src}) as int
 
 @register("majority_vote", WITH_B + MAJORITY_SQL.format(src="b"))
 def majority_vote(spark, d):
-    b = B(spark, d)
-    return MP.majority_vote(b, MP.label_domain(b))
+    return MP.majority_vote(B(spark, d), zero_based=True)
 
 
 GIVEN = "task_id in (select task_id from b where gold_label is not null)"
@@ -465,6 +490,16 @@ def tokens_own_stop_list(spark, d):
         .withColumnRenamed("term", "token")
 
 
+@register("stopwords_file", ORACLE["tokens_own_stop_list"])
+def stopwords_file(spark, d):
+    """IO8: the same list as a file with one word a line."""
+    item = FX.table(spark, d, "benchmark").where("text is not null").orderBy(F.length("text"), "item_id").limit(1)
+    path = scratch_path(spark, "stop-list")
+    V.tokens(item, "item_id", "text").select("token").write.text(path)
+    return V.vocab_terms(MP.task_text(D(spark, d)), "task_id", stem="none", stop_words=read_stopwords(spark, path)) \
+        .withColumnRenamed("term", "token")
+
+
 @register("term_counts", WITH_D + "," + S.vocab_ctes() + """
 select term, n, df, first_doc, first_pos from tcount""")
 def term_counts(spark, d):
@@ -521,6 +556,23 @@ def vocab_min_count(spark, d):
     return V.vocabulary(D(spark, d), stem="none", min_count=4)
 
 
+PREFIX_ROWS, MAX_TERMS = 300, 1000  # the limits are what these two queries are about
+
+
+@register("vocab_prefix_rows", WITH_D + "," + S.vocab_ctes(prefix_rows=PREFIX_ROWS) + """
+select word_idx, term from vocab""")
+def vocab_prefix_rows(spark, d):
+    """PF4: the vocabulary of the first rows."""
+    return V.vocabulary(D(spark, d), stem="none", sample_rows=PREFIX_ROWS)
+
+
+@register("vocab_capped", WITH_D + "," + S.vocab_ctes(cap=MAX_TERMS) + """
+select word_idx, term from vocab""")
+def vocab_capped(spark, d):
+    """T4: the first terms in first-seen order."""
+    return V.vocabulary(D(spark, d), stem="none", max_terms=MAX_TERMS)
+
+
 @register("vocab_tfidf", WITH_D + "," + S.vocab_ctes() + TFIDF_CTE + """,
 seen as (select term, row_number() over (order by first_doc, first_pos) as seen from tcount),
 sel as (select l2.term, l2.doc_order, -l2.weight as neg_w, seen.seen,
@@ -538,7 +590,7 @@ def _vocab_a(spark, d, stem="none"):
     def build():
         a = A(spark, d)
         return a, V.vocabulary(a, stem=stem)
-    return _memo(spark, ("vocab_a", d, stem), build)
+    return _memo(spark, d, ("vocab_a", stem), build)
 
 
 @register("task_words", WITH_A + "," + S.vocab_ctes() + "," + S.task_words_ctes()
@@ -603,7 +655,7 @@ def fit_a(spark, d, rounds=ROUNDS, stem="none"):
         n_vocab = vocab.count()
         m = M.fit(a, words, vocab_size=n_vocab, iterations=rounds)
         return a, vocab, m
-    return _memo(spark, ("a", d, rounds, stem), build)
+    return _memo(spark, d, ("a", rounds, stem), build)
 
 
 def fit_b(spark, d, rounds=ROUNDS, worker_prior="biased"):
@@ -611,7 +663,7 @@ def fit_b(spark, d, rounds=ROUNDS, worker_prior="biased"):
         b = B(spark, d)
         return b, M.fit(b, None, iterations=rounds, worker_prior=worker_prior, belief=BELIEF,
                         trace=False)
-    return _memo(spark, ("b", d, rounds, worker_prior), build)
+    return _memo(spark, d, ("b", rounds, worker_prior), build)
 
 
 ANN_A = ", ann as materialized (select task_id, worker_id, cast(worker_label - (select min(worker_label) from a) as int) as label from a)"
@@ -669,6 +721,22 @@ def vb_labels_only(spark, d):
     return _q_out(m.q, m.classes)
 
 
+@register("vb_shrunk", ORACLE["vb_labels_only"])
+def vb_shrunk(spark, d):
+    """M5 on a working set that leaves out tasks whose posterior stands still."""
+    m = M.fit(B(spark, d), None, iterations=ROUNDS, trace=False, shrink=1e-9)
+    return _q_out(m.q, m.classes)
+
+
+@register("vb_resumed", ORACLE["vb_labels_only"])
+def vb_resumed(spark, d):
+    """M5 stopped after ten rounds and taken up again from its journal."""
+    b, folder = B(spark, d), scratch_path(spark, "journal")
+    M.fit(b, None, iterations=10, trace=False, journal=folder)
+    m = M.fit(b, None, iterations=ROUNDS, trace=False, journal=folder)
+    return _q_out(m.q, m.classes)
+
+
 @register("vb_mstep", _vb_b(1) + """
 select worker_id, label, round(a_0, 6) as a_0, round(a_1, 6) as a_1, round(a_2, 6) as a_2
 from pi1""")
@@ -847,6 +915,19 @@ def score_text(spark, d):
     return score_texts(m, vocab, docs, "doc_id", stem="none").select("doc_id", r6("p_0"), r6("p_1"))
 
 
+@register("score_stream", ORACLE["score_text"])
+def score_stream_rows(spark, d):
+    """M18 on a stream: the documents in micro-batches, the sink read back."""
+    a, vocab, m = fit_a(spark, d)
+    docs = FX.table(spark, d, "documents").select("doc_id", "text")
+    folder = scratch_path(spark, "stream-source")
+    docs.repartition(4).write.parquet(folder)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+    sink = scratch_path(spark, "stream-sink")
+    score_stream(m, vocab, stream, "doc_id", sink, scratch_path(spark, "stream-checkpoint"), stem="none").awaitTermination()
+    return spark.read.parquet(sink).select("doc_id", r6("p_0"), r6("p_1"))
+
+
 def _bound_sql(r: int, c: int = 2) -> str:
     """Variational bound after round ``r`` of the fixture-A fit, in SQL."""
     T = range(c)
@@ -1037,6 +1118,21 @@ def roc_auc(spark, d):
     return E.roc_auc(E.roc_points(p)).select(r6("auc"), r6("auc_se"), "n_pos", "n_neg")
 
 
+@register("roc_auc_exact", _vb_a(ROUNDS) + _gold_a() + """,
+s as (select gold = (select max(gold) from pred2) as pos, round(p_1, 9) as s from pred2),
+v as (select a.s, a.pos, avg(case when (a.s > b.s) = a.pos and a.s <> b.s then 1.0 when a.s = b.s then 0.5 else 0.0 end) as v,
+             row_number() over () as i
+      from (select *, row_number() over () as id from s) a join s b on a.pos <> b.pos group by a.id, a.s, a.pos)
+select round(avg(v) filter (pos), 6) as auc,
+       round(sqrt(var_samp(v) filter (pos) / count(*) filter (pos)
+                  + var_samp(v) filter (not pos) / count(*) filter (not pos)), 6) as auc_se,
+       cast(count(*) filter (pos) as bigint) as n_pos, cast(count(*) filter (not pos) as bigint) as n_neg from v""")
+def roc_auc_exact(spark, d):
+    """A28/A29 from ranks instead of the grid."""
+    a, m, p = _pred(spark, d)
+    return E.rank_auc(p).select(r6("auc"), r6("auc_se"), "n_pos", "n_neg")
+
+
 @register("roc_gold_score", _vb_a(ROUNDS) + _gold_a() + ROC_SQL.replace("p.p_1", "p.p_gold") + """
 select cutoff_idx, cast(tp as bigint) as tp, cast(tn as bigint) as tn, cast(fp as bigint) as fp, cast(fn as bigint) as fn
 from roc where cutoff_idx < 1000""")
@@ -1065,6 +1161,18 @@ def report_tasks(spark, d):
     return R.task_report(m, a).select("task_id", r6("p_1"), "num_pos", "num_neg")
 
 
+@register("report_published", ORACLE["report_tasks"])
+def report_published(spark, d):
+    """IO10-IO12 as one version of a folder: published twice, read back."""
+    a, vocab, m = fit_a(spark, d)
+    tasks = R.task_report(m, a).select("task_id", r6("p_1"), "num_pos", "num_neg")
+    folder = scratch_path(spark, "reports")
+    R.publish({"tasks": tasks.limit(0)}, folder)
+    R.publish({"tasks": tasks, "words": R.word_report(m, vocab, TOP_WORDS, R.SPAM_NAMES)}, folder,
+              orders={"tasks": ["-p_1", "task_id"], "words": ["true_class", "rank"]})
+    return R.read_published(spark, folder, "tasks")
+
+
 # ---------------------------------------------------------------- TSV source (fixture C)
 
 # A second file of lines made from every labelled document, of nine kinds by its
@@ -1089,7 +1197,7 @@ def _written_tsv(spark, d) -> str:
         (probes.select("id", F.expr(PROBE_SQL.replace("case doc_id", "case id", 1)).alias("value"))
          .orderBy("id").select("value").write.text(path + "/probes"))
         return path
-    return _memo(spark, ("tsv", d), build)
+    return _memo(spark, d, ("tsv",), build)
 
 
 def _tsv_read(spark, d):
@@ -1108,14 +1216,25 @@ probes as (select (select n from n) + row_number() over (order by doc_id) as lin
            from (select doc_id, quality as q, chr(9) as t from labels))"""
 
 
-@register("load_tsv", WITH_A + TSV_A + """
+LOADED = """
 select cast(line_no - 1 as bigint) as row_id, worker_id, task_id,
        cast(worker_label as int) as worker_label, body_text, cast(gold_label as int) as gold_label
 from src
 union all
 select cast(line_no - 1 as bigint), split_part(line, chr(9), 1), cast(doc_id as varchar),
        cast(case when kind = 5 then 1 else 0 end as int), split_part(line, chr(9), 4),
-       cast(case when kind = 8 then 1 end as int) from probes where kind in (5, 6, 8)""")
+       cast(case when kind = 8 then 1 end as int) from probes where kind in (5, 6, 8)"""
+CAP = 500  # the cap is what load_capped is about
+
+
+@register("load_capped", WITH_A + TSV_A + f"""
+select * from (select * from ({LOADED}) order by row_id limit {CAP})""")
+def load_capped(spark, d):
+    """IO6: the first valid records in file order."""
+    return TSV.read_annotations(spark, _tsv_read(spark, d), max_rows=CAP)
+
+
+@register("load_tsv", WITH_A + TSV_A + LOADED)
 def load_tsv(spark, d):
     return TSV.read_annotations(spark, _tsv_read(spark, d))
 

@@ -10,7 +10,7 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # set while an intermediate table is written
 JOB_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
@@ -60,9 +60,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _LOCAL[sc.applicationId]
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` as a parquet table in the shared checkpoint folder and
-    read it back, cutting its lineage.
+def cut(df: DataFrame, name: str = "cut", metrics: dict[str, Column] | None = None,
+        path: str | None = None, hidden: list[str] = ()) -> DataFrame:
+    """Write ``df`` as a parquet table in the shared checkpoint folder (or at
+    ``path``) and read it back, cutting its lineage.
 
     One job (the write), and the data lives in the shared folder rather
     than in executor block stores, so losing an executor later costs
@@ -70,22 +71,35 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     the plan twice: once to count, once to write.)  The shuffle files of the
     job are released as it ends: nothing reads them after the table is there.
     Batches that go to Python are bounded in bytes, not only in rows.
+    ``metrics`` (aggregates over the rows of ``df``) are observed while they are
+    written, in the writing tasks, and kept in ``observed``: no second scan.  Columns
+    in ``hidden`` are for the metrics only and not written.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
+    df, seen = observing(df, metrics)
     before = {key: spark.conf.get(key, None) for key in JOB_CONF}
     for key, value in JOB_CONF.items():
         spark.conf.set(key, value)
     try:
-        df.write.mode("error").option("compression", "zstd").parquet(path)
+        df.drop(*hidden).write.mode("error").option("compression", "zstd").parquet(path)
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     table = spark.read.parquet(path)
     table.written_to = path  # for release()
+    table.observed = seen.get if seen else {}
     return table
 
 
+def observing(df: DataFrame, metrics: dict[str, Column] | None) -> tuple[DataFrame, Observation | None]:
+    """``df`` with aggregates that the next action over it fills in."""
+    if not metrics:
+        return df, None
+    seen = Observation()
+    return df.observe(seen, *[c.alias(name) for name, c in metrics.items()]), seen
+
+
 def release(*tables: DataFrame) -> None:
     """Delete the files of tables made by ``cut`` that nothing reads any more."""
     for table in tables:

@@ -5,48 +5,86 @@ no quoting, extra fields ignored, blank lines skipped.  Spark's CSV reader
 is not used because its quote handling differs.
 
 File order matters (first-seen rules), and Spark has no row order, so each
-line gets an explicit number: lines are numbered within their file split
-(ids are consecutive inside a split), splits are ordered by (file, offset),
-and a running sum over the per-split counts -- one row per split, so the
-window is size-bounded -- gives every split its offset.
+line gets an explicit number.  The file is read twice and copied nowhere: a
+counting pass gives every file split its number of lines and of lines that are not
+valid; a running sum over the splits in (file, offset) order -- one row per split,
+so the window is size-bounded -- gives it the number of lines before it; the
+parsing pass adds the place inside the split.  Both passes must cut the files in
+the same way, so they share one relation of a session whose split settings are
+pinned, and every line is checked against its split's count.
 """
 
 from __future__ import annotations
 
 import warnings
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crowdlens.functions.text import is_blank
+from crowdlens.operators.joins import small
 from crowdlens.session import cut
 
-SPLITS_BROADCAST = 1_000_000  # largest per-split offsets table shipped to every task
-
-
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line_no`` (1-based, across files in name order), ``value``."""
-    raw = spark.read.text(path).select(
+SPLIT = ["_file", "_block"]
+
+
+def _pinned(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark`` in which the cuts of a file do not
+    depend on the executors at hand: a scan cuts its files by the settings of the
+    session it was made in, and by default by the number of task slots."""
+    reader = spark.newSession()
+    held = spark.conf.getAll
+    for key, value in (held() if callable(held) else held).items():
+        if key.startswith("spark.sql."):
+            try:
+                reader.conf.set(key, value)
+            except PySparkException:  # a static setting: the same in every session
+                pass
+    if reader.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        reader.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    return reader
+
+
+def _lines(spark: SparkSession, path) -> DataFrame:
+    """``value`` of every line, its split and a running id (the partition above 33
+    bits of place in it)."""
+    return _pinned(spark).read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_mid"))
-    raw = cut(raw, "lines")  # pin the ids before they are read twice
-    splits = raw.groupBy("_file", "_block").agg(
-        F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    order = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = splits.select("_file", "_block", "_first",
-                            F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_off"))
-    # one row per file split: broadcast while that count is modest
-    n_splits = splits.count()
-    side = F.broadcast(offsets) if n_splits <= SPLITS_BROADCAST else offsets
-    return (raw.join(side, ["_file", "_block"])
-            .select((F.col("_off") + F.col("_mid") - F.col("_first") + 1).alias("line_no"),
-                    "value"))
-
-
-def _parsed(spark: SparkSession, path: str) -> DataFrame:
-    lines = numbered_lines(spark, path).where(~is_blank(F.col("value")))
+
+
+def split_offsets(spark: SparkSession, lines: DataFrame, bad=None) -> DataFrame:
+    """The counting pass: one row per split with its first id, number of lines,
+    lines before it and lines for which ``bad`` holds, as a written table."""
+    counts = cut(lines.groupBy(*SPLIT).agg(
+        F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"),
+        F.count_if(F.lit(False) if bad is None else bad).alias("_bad")), "splits")
+    order = Window.orderBy(*SPLIT).rowsBetween(Window.unboundedPreceding, -1)
+    counts = spark.read.parquet(counts.written_to)  # from here on in the caller's session
+    return cut(counts.select(*SPLIT, "_first", "_n", "_bad",
+                             F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_off")), "offsets")
+
+
+def _numbered(lines: DataFrame, offsets: DataFrame) -> DataFrame:
+    """The parsing pass: ``line_no`` (1-based) in place of the split."""
+    place = F.col("_mid") - F.col("_first")
+    number = F.when((place >= 0) & (place < F.col("_n")), F.col("_off") + place + 1).otherwise(
+        F.raise_error(F.lit("the files were cut in another way than when they were counted")).cast("bigint"))
+    kept = [c for c in lines.columns if c not in (*SPLIT, "_mid")]
+    # the offsets are broadcast while their measured size allows; lines without a split are an error, too
+    return small(offsets.drop("_bad")).join(lines, SPLIT, "right").select(number.alias("line_no"), *kept)
+
+
+def numbered_lines(spark: SparkSession, path) -> DataFrame:
+    """``line_no`` (1-based, across files in name order), ``value``."""
+    lines = _lines(spark, path)
+    return _numbered(lines, split_offsets(spark, lines))
+
+
+def _parse(lines: DataFrame) -> DataFrame:
     f = F.split(F.col("value"), "\t", -1)
     n = F.size(f)
     label = F.expr("try_cast(trim(element_at(split(value, '\\t', -1), 3)) AS INT)")
@@ -55,8 +93,8 @@ def _parsed(spark: SparkSession, path: str) -> DataFrame:
     reason = (F.when(n < 4, F.lit("fields"))
               .when(label.isNull(), F.lit("label"))
               .when(gold_raw.isNotNull() & ~is_blank(gold_raw) & gold.isNull(), F.lit("gold")))
-    return lines.select(
-        "line_no", "value", reason.alias("reason"),
+    return lines.where(~is_blank(F.col("value"))).select(
+        *[c for c in lines.columns if c != "value"], "value", reason.alias("reason"),
         F.element_at(f, 1).alias("worker_id"),
         F.element_at(f, 2).alias("task_id"),
         label.alias("worker_label"),
@@ -64,7 +102,23 @@ def _parsed(spark: SparkSession, path: str) -> DataFrame:
         F.when(gold_raw.isNotNull() & ~is_blank(gold_raw), gold).alias("gold_label"))
 
 
-def read_annotations(spark: SparkSession, path: str, mode: str = "report",
+def _parsed(spark: SparkSession, path) -> tuple[DataFrame, int]:
+    """The parsed lines and the number of those that are not valid, which the
+    counting pass finds: blank lines are counted as lines, not as invalid."""
+    lines = _lines(spark, path)
+    f = F.split(F.col("value"), "\t", -1)
+    checked = lines.select("value", *SPLIT, "_mid", f.alias("_f"))
+    label = F.expr("try_cast(trim(get(_f, 2)) AS INT)")
+    gold = F.get("_f", F.lit(4))
+    bad = ~is_blank(F.col("value")) & (
+        (F.size("_f") < 4) | label.isNull()
+        | (gold.isNotNull() & ~is_blank(gold) & F.expr("try_cast(trim(get(_f, 4)) AS INT)").isNull()))
+    offsets = split_offsets(spark, checked, bad)
+    n_bad = offsets.agg(F.sum("_bad")).first()[0] or 0
+    return _parse(_numbered(lines, offsets)), int(n_bad)
+
+
+def read_annotations(spark: SparkSession, path, mode: str = "report",
                      max_rows: int | None = None) -> DataFrame:
     """IO1-IO7: parsed annotations with ``row_id = line_no - 1``.
 
@@ -74,14 +128,11 @@ def read_annotations(spark: SparkSession, path: str, mode: str = "report",
     ``max_rows`` keeps the first records in file order (IO6; no cap by
     default).
     """
-    p = _parsed(spark, path)
-    if mode == "failfast":
-        bad = p.where(F.col("reason").isNotNull()).orderBy("line_no").limit(1).collect()
-        if bad:
-            r = bad[0]
-            raise ValueError(f"Line {r['line_no']}: invalid record ({r['reason']}): "
-                             f"{r['value']!r}")
-    elif n_bad := p.where(F.col("reason").isNotNull()).count():
+    p, n_bad = _parsed(spark, path)
+    if n_bad and mode == "failfast":
+        r = p.where(F.col("reason").isNotNull()).orderBy("line_no").limit(1).first()
+        raise ValueError(f"Line {r['line_no']}: invalid record ({r['reason']}): {r['value']!r}")
+    if n_bad:
         warnings.warn(f"{n_bad} lines are not valid annotations and were left out", stacklevel=2)
     ok = p.where(F.col("reason").isNull()).select(
         (F.col("line_no") - 1).cast("bigint").alias("row_id"),
@@ -93,9 +144,9 @@ def read_annotations(spark: SparkSession, path: str, mode: str = "report",
     return ok
 
 
-def read_rejects(spark: SparkSession, path: str) -> DataFrame:
+def read_rejects(spark: SparkSession, path) -> DataFrame:
     """IO3-IO5 in report mode: ``line_no, reason, line`` of lines that fail."""
-    p = _parsed(spark, path)
+    p, _ = _parsed(spark, path)
     return p.where(F.col("reason").isNotNull()).select(
         F.col("line_no").cast("bigint").alias("line_no"), "reason", F.col("value").alias("line"))
 
