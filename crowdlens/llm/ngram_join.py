@@ -178,6 +178,25 @@ def _forest(n: int, near) -> list[tuple[int, int]]:
     return edges
 
 
+def _bridges(side: np.ndarray, near) -> list[tuple[int, int]]:
+    """Edges between the two sides that join what each side's own links (found by
+    the group of that side alone, and not given again) leave apart: with those, all
+    pairs of the two blocks stay connected, and a dense group gives one edge."""
+    label = np.arange(len(side))
+    halves = [np.flatnonzero(side == s) for s in np.unique(side)]
+    for half in halves:
+        for a, b in _forest(len(half), lambda i, others, half=half: near(half[i], half[others])):
+            label[half[b]] = label[half[a]]  # a forest gives a parent before its children
+    edges = []
+    for i in halves[0].tolist() if len(halves) == 2 else ():
+        far = halves[1][label[halves[1]] != label[i]]
+        for j in far[near(i, far)].tolist() if len(far) else ():
+            if label[j] != label[i]:
+                edges.append((i, j))
+                label[label == label[j]] = label[i]
+    return edges
+
+
 def _blocked(rows: DataFrame, key: str, blocks: str) -> DataFrame:
     """Deals the rows of each key to pairs of its ``blocks`` (a count): each row
     gets a block by its id and is sent once for every block, so any two rows meet
@@ -208,10 +227,10 @@ def _sketch_links(rows: DataFrame, similarity: float) -> DataFrame:
             need = math.ceil(floor * TOKENS)
 
             def near(i, others):
-                hit = (sketch[others] == sketch[i]).sum(axis=1) >= need
-                return hit & (mine[others] != mine[i]) if cross else hit
+                return (sketch[others] == sketch[i]).sum(axis=1) >= need
 
-            if edges := _forest(len(ids), near):
+            edges = _bridges(mine, near) if cross else _forest(len(ids), near)
+            if edges:
                 a, b = ids[np.array(edges)].T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
