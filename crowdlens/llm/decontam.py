@@ -3,14 +3,16 @@
 The automaton of the normalised test items is built once per block of items
 and sent to the tasks; training words are streamed through it, tracking the
 longest match that ends at each word.  A match of WINDOW words (or a whole item
-that is shorter) marks its words as hit.  Items are read in blocks of bounded
-size, with one pass over the documents for each block, so what is broadcast
-never grows with the benchmark.
+that is shorter) marks its words as hit.  Spark splits the items into words, makes
+equal items one class and deals the classes to blocks by prefix sums of their
+sizes.  There is one pass over the documents for each block, and a task and the
+driver hold one block at a time, so what is broadcast never grows with the
+benchmark.
 """
 
 from __future__ import annotations
 
-import itertools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crowdlens.llm.common import aliased, arrow_fields, byte_slices, restored, table
+from crowdlens.llm.common import aliased, arrow_fields, byte_slices, hot_join, no_clash, ranked, restored, table
 from crowdlens.llm.words import joined_bytes, mix, split_words, BASE
-from crowdlens.session import cut
+from crowdlens.session import cut, scratch_path
 
 WINDOW = 10  # words of a window
 BLOCK_BYTES = 1 << 20  # item text per automaton (some 130 MB in a Python worker)
+CLASS_IDS = 10_000  # ids of equal items in one row; more are several classes
 MAX_COVERAGE = 0.8  # a document with a larger hit share is dropped by ``clean``
 
 
@@ -35,7 +38,7 @@ class SuffixAutomaton:
     as (length, item), that are a suffix of every match ending in s.
     """
 
-    def __init__(self, items: list[tuple[str | None, list[int]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[int, list[int]]], window: int = WINDOW):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len = [-1], [0]
         for _, words in items:
@@ -103,23 +106,36 @@ class SuffixAutomaton:
         return state
 
 
-def item_blocks(items: DataFrame, id_col: str, text: str, block_bytes: int) -> Iterator[list]:
-    """Items with a word as (id text or None, word hashes), in blocks of at most
-    ``block_bytes`` of text (one longer item is a block of its own)."""
-    block: list = []
-    size = 0
-    for row in items.select(F.col(id_col).cast("string").alias("i"), F.col(text).alias("t")).toLocalIterator():
-        raw, offsets = joined_bytes(pa.array([row.t], pa.string()))
-        words = split_words(raw, offsets).hash.tolist()
-        if not words:
-            continue
-        if block and size + len(raw) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((row.i, words))
-        size += len(raw)
-    if block:
-        yield block
+def item_classes(items: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``words`` (hashes), ``names`` (ids as text) and ``size`` (bytes) of the
+    distinct word lists of the items that have a word, as a written table; its
+    ``observed["bytes"]`` is their total.  Null ids are not listed."""
+
+    def run(batches):
+        for batch in byte_slices(batches, "_text"):
+            words = split_words(*joined_bytes(batch.column("_text")))
+            lists = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_name"), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in lists],
+                                                 pa.binary()),
+                 pa.array([x.view(np.int64) for x in lists], pa.list_(pa.int64()))], ["_name", "_key", "words"])
+
+    base = items.select(F.col(id_col).cast("string").alias("_name"), F.col(text).alias("_text"))
+    rows = cut(base.mapInArrow(run, "_name string, _key binary, words array<long>").where(F.size("words") > 0), "items")
+    counts = cut(rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")), "item-counts")
+    part = F.pmod(F.xxhash64("_name"), F.ceil(F.col("_n") / CLASS_IDS))
+    ids = hot_join(rows.select("_key", "_name"), counts, "_key", "_n").groupBy("_key", part.alias("_part")).agg(
+        F.collect_set("_name").alias("names"))  # about CLASS_IDS at most
+    words = rows.groupBy("_key").agg(F.first("words").alias("words"))
+    size = 8 * F.size("words") + F.aggregate("names", F.lit(0), lambda a, x: a + F.octet_length(x))
+    return cut(ids.join(words, "_key").withColumn("size", size.cast("long")), "item-classes",
+               {"bytes": F.sum("size")})
+
+
+def _block(rows: DataFrame) -> list[tuple[list[str], list[int]]]:
+    """(names, word hashes) of the classes of one block."""
+    return [(r.names, np.array(r.words, dtype=np.int64).view(np.uint64).tolist())
+            for r in rows.select("names", "words").collect()]
 
 
 def _pairs(h: np.ndarray) -> np.ndarray:
@@ -127,10 +143,11 @@ def _pairs(h: np.ndarray) -> np.ndarray:
 
 
 class Matcher:
-    """Hits of one block of items in batches of texts."""
+    """Hits of one block of item classes, known by their place, in batches of texts."""
 
     def __init__(self, items: list, window: int):
-        self.window, self.automaton = window, SuffixAutomaton(items, window)
+        self.window = window
+        self.automaton = SuffixAutomaton([(i, words) for i, (_, words) in enumerate(items)], window)
         self.least = min([window, *(len(w) for _, w in items)])
         self.words = np.unique(np.array([w for _, ws in items for w in ws], dtype=np.uint64))
         self.pairs = np.unique(np.concatenate(
@@ -177,35 +194,42 @@ class Matcher:
 def spans_of(df: DataFrame, items: DataFrame, text: str, keep: list[str], item_id: str = "item_id",
              item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``keep`` columns, ``n_words``, ``n_hit``, ``items`` (sorted ids as text)
-    and ``spans`` (array of hit word runs as [start, end) in UTF-8 bytes).
+    and ``spans`` (array of hit word runs: [start, end) in UTF-8 bytes, words).
 
     Null text has no words; items without a word match nothing; an item with a
     null id marks words but is not listed; equal items are all listed, an id
-    that repeats is listed once.  With no items nothing is hit.
+    that repeats is listed once.  With no items nothing is hit.  ``keep`` must not
+    hold the names of the new columns, ``_text`` or ``_uid``.
     """
-    blocks = item_blocks(items, item_id, item_text, block_bytes)
-    first, second = next(blocks, []), next(blocks, None)
+    no_clash(keep, "n_words n_hit items spans _text _uid _all")
+    classes = item_classes(items, item_id, item_text)
+    total = classes.observed["bytes"] or 0
     base = df.select(*keep, F.col(text).alias("_text"))
-    if second is None:  # the usual case: one block, one pass, no join
-        return _match(base, keep, first, window)
+    if total <= block_bytes:  # the usual case: one block, one pass, no join
+        return _match(base, keep, _block(classes), window)
+    block = F.floor(F.col("_before_size") / block_bytes).cast("int").alias("block")  # by its first byte
+    blocks = cut(ranked(classes.select("_key", "_part", "names", "words", "size"), ["_key", "_part"],
+                        {"size": F.col("size")}).select("names", "words", block), "blocks")
     base = cut(base.withColumn("_uid", F.monotonically_increasing_id()), "docs")
-    found = None
-    for block in itertools.chain((first, second), blocks):
-        part = cut(_match(base.select("_uid", "_text"), ["_uid"], block, window, only_hits=True)
-                   .select("_uid", "items", "spans"), "hits")
-        found = part if found is None else found.unionByName(part)
-    merged = found.groupBy("_uid").agg(  # one row for each block at most
+    folder = scratch_path(base.sparkSession, "hits")  # the passes leave their hits in one table
+    for i in range(-(-total // block_bytes)):
+        if held := _block(blocks.where(F.col("block") == i)):
+            cut(_match(base.select("_uid", "_text"), ["_uid"], held, window, only_hits=True)
+                .select("_uid", "items", "spans"), "hits", path=f"{folder}/block={i}")
+    merged = base.sparkSession.read.parquet(folder).groupBy("_uid").agg(  # one row for each block at most
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("_all"))
     rows = base.join(merged, "_uid", "left").drop("_uid")
     return _merge(rows, keep)
 
 
-OUT = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+OUT = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())])
+COLUMNS = ("n_words long, n_hit long, items array<string>, "
+           "spans array<struct<start:long,end:long,words:long>>")
 
 
 def _match(base: DataFrame, keep: list[str], block: list, window: int, only_hits: bool = False) -> DataFrame:
-    shared = base.sparkSession.sparkContext.broadcast(block)  # at most block_bytes of text
+    shared = base.sparkSession.sparkContext.broadcast(block)  # at most block_bytes and one class
 
     def run(batches):
         matcher = Matcher(shared.value, window)
@@ -219,20 +243,20 @@ def _match(base: DataFrame, keep: list[str], block: list, window: int, only_hits
                 lo, hi = words.first[d], words.first[d + 1]
                 edge = np.diff(np.concatenate(([0], hit[lo:hi].astype(np.int8), [0])))
                 begin, stop = np.flatnonzero(edge == 1) + lo, np.flatnonzero(edge == -1) + lo - 1
-                spans[d] = [{"start": s, "end": e} for s, e in zip(
-                    (words.start[begin] - offsets[d]).tolist(), (words.end[stop] - offsets[d]).tolist())]
+                spans[d] = [{"start": s, "end": e, "words": n} for s, e, n in zip(
+                    (words.start[begin] - offsets[d]).tolist(), (words.end[stop] - offsets[d]).tolist(),
+                    (stop - begin + 1).tolist())]
             out = pa.RecordBatch.from_arrays([
                 *[batch.column(c) for c in keep],
                 pa.array(np.diff(words.first), pa.int64()),
                 pa.array(sums[words.first[1:]] - sums[words.first[:-1]], pa.int64()),
-                pa.array([sorted(x for x in found.get(d, ()) if x is not None) for d in range(batch.num_rows)],
-                         pa.list_(pa.string())),
+                pa.array([sorted({x for k in found.get(d, ()) for x in shared.value[k][0]})
+                          for d in range(batch.num_rows)], pa.list_(pa.string())),
                 pa.array(spans, pa.list_(OUT)),
             ], [*keep, "n_words", "n_hit", "items", "spans"])
             yield out.filter(pa.array(np.isin(np.arange(batch.num_rows), list(found)))) if only_hits else out
 
-    return base.mapInArrow(run, arrow_fields(base, keep)
-                           + "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+    return base.mapInArrow(run, arrow_fields(base, keep) + COLUMNS)
 
 
 def _merge(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -254,7 +278,7 @@ def _merge(rows: DataFrame, keep: list[str]) -> DataFrame:
                 hit = np.cumsum(mark[:-1]) > 0
                 edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
                 for b, e in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1):
-                    own.append({"start": int(starts[b]), "end": int(ends[e])})
+                    own.append({"start": int(starts[b]), "end": int(ends[e]), "words": int(e - b + 1)})
                 spans.append(own)
                 hits.append(int(hit.sum()))
             yield pa.RecordBatch.from_arrays([
@@ -263,19 +287,22 @@ def _merge(rows: DataFrame, keep: list[str]) -> DataFrame:
                 pa.array([x or [] for x in batch.column("items").to_pylist()], pa.list_(pa.string())),
                 pa.array(spans, pa.list_(OUT))], [*keep, "n_words", "n_hit", "items", "spans"])
 
-    return rows.mapInArrow(run, arrow_fields(rows, keep)
-                           + "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+    return rows.mapInArrow(run, arrow_fields(rows, keep) + COLUMNS)
 
 
 def clean(df: DataFrame, items: DataFrame, text: str = "text", max_coverage: float = MAX_COVERAGE,
-          window: int = WINDOW, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``df`` with the hit spans cut out of ``text``; a document of which more
-    than ``max_coverage`` of the words are hit is dropped.  All columns pass
-    through; texts without a hit are unchanged (null stays null)."""
+          window: int = WINDOW, item_id: str = "item_id", item_text: str = "text",
+          min_words: int | None = None) -> DataFrame:
+    """``df`` with the hit spans cut out of ``text`` that have at least ``min_words``
+    words (a window by default: a phrase that is a whole short item stays where it
+    is part of other prose); a document of which more than ``max_coverage`` of the
+    words are hit is dropped.  All columns pass through; texts without a span to
+    cut are unchanged (null stays null)."""
     inner, keep = aliased(df)
     body = keep[df.columns.index(text)]
     rows = spans_of(inner, items, body, keep, item_id, item_text, window)
-    rows = rows.where(F.col("n_hit") <= max_coverage * F.col("n_words"))
+    rows = rows.where(F.col("n_hit") <= max_coverage * F.col("n_words")).withColumn(
+        "spans", F.filter("spans", lambda s: s["words"] >= (window if min_words is None else min_words)))
     raw = F.encode(body, "utf-8")
     walked = F.aggregate(
         "spans", F.struct(F.lit(0).cast("long").alias("pos"), F.lit("").alias("out")),
