@@ -18,13 +18,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crowdlens.llm.common import arrow_fields, byte_slices, table
+from crowdlens.llm.common import arrow_fields, byte_slices, no_clash, table
 from crowdlens.llm.words import U, joined_bytes, mix
 from crowdlens.session import cut
 
 UNKNOWN = "und"
 BITS = 15  # hashed n-gram features
 TRAIN_DOCS = 20_000  # bound of the training sample (documents, by language and hash of the id)
+MAX_LANGUAGES = 256  # most languages of a model: 256 x 2**15 numbers go to every task
 SWITCH = 12.0  # penalty of a change of language, in log probability
 SMOOTH = 0.5
 MIN_SHARE = 0.005  # a script is a candidate for a language from this share of its words
@@ -153,13 +154,17 @@ def train(docs: DataFrame, text: str, lang: str, id_col: str, max_docs: int = TR
     hash of the id (of the text if it is null).  The row with the least hash is
     always read, so every such language is learned, whatever the size.  The
     feature counts are summed by Spark, and the driver gets one row for each
-    language and feature (languages x 2**15 at most).
+    language and feature (languages x 2**15 at most).  A column with more than
+    ``MAX_LANGUAGES`` values is no list of languages and refused.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(WORD)).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("_text"),
         F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text))).alias("_hash"))
     sizes = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("_hash").alias("least")), "languages")
-    own = quota([r.n for r in sizes.select("n").collect()], max_docs)
+    found = sizes.select("n").limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"{lang} has more than {MAX_LANGUAGES} distinct values")
+    own = quota([r.n for r in found], max_docs)
     keep = F.pmod("_hash", F.lit(1 << 30)) < F.least(F.lit(1.0), F.lit(own) / F.col("n")) * (1 << 30)
     rows = (rows.join(F.broadcast(sizes), "lang")  # one row a language
             .where(keep | (F.col("_hash") == F.col("least"))).select("lang", "_text"))
@@ -211,7 +216,8 @@ def predict(docs: DataFrame, text: str, keep: list[str], model: Model, penalty:
     number of words).  ``und`` with score 0 for a text that is null or has no
     letter, and for every text if nothing was learned; ties go to the language
     that sorts first."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x 2**15 numbers
+    no_clash(keep, "lang_pred score spans _text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGUAGES x 2**15 numbers at most
     fields = arrow_fields(docs, keep)
     span = pa.struct([("lang", pa.string()), ("n_words", pa.int64())])
 
