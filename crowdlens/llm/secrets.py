@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crowdlens.llm.common import hot_join
+from crowdlens.llm.common import hot_join, let
 from crowdlens.session import cut
 
 # The base patterns; (kind, pattern, value group, least length).
@@ -32,6 +32,18 @@ def _key(value: Column) -> Column:
     return F.substring(F.sha2(value, 256), 1, 32)
 
 
+def _running(values: Column) -> Column:
+    """Running sums of an array: each pass adds what lies a power of two before, so
+    n values take n log n steps (a fold that appends would copy the array n times)."""
+    def added(far: int):
+        return lambda v: F.when(F.size(v) > far, F.transform(
+            v, lambda x, i: x + F.coalesce(F.get(v, i - far), F.lit(0)))).otherwise(v)
+
+    for k in range(27):  # 2**27 hits of 16 characters are more than a string holds
+        values = let(values, added(1 << k))
+    return values
+
+
 def _spans(text: Column, ordinal: int) -> Column:
     """Spans of one kind: leftmost non-overlapping matches, code points."""
     kind, pattern, group, least = KINDS[ordinal]
@@ -39,18 +51,16 @@ def _spans(text: Column, ordinal: int) -> Column:
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     zipped = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("gap"),
                           found.alias("hit"), values.alias("value"))
-    walked = F.aggregate(
-        zipped, F.struct(F.lit(0).alias("at"), F.lit(None).cast(SPAN).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.when(_fits(kind, x["value"], least), F.concat(
-                F.coalesce(acc["out"], F.array().cast(SPAN)),
-                F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), F.lit(ordinal).alias("ord"),
-                                 (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
-                                 F.lit(kind).alias("kind"), _key(x["value"]).alias("key"),
-                                 F.lit(None).cast("boolean").alias("live")))))
-            .otherwise(acc["out"]).alias("out")))["out"]
-    return F.when(text.rlike(pattern), F.coalesce(walked, F.array().cast(SPAN))).otherwise(F.array().cast(SPAN))
+
+    def placed(hits: Column) -> Column:
+        ends = _running(F.transform(hits, lambda x: F.length(x["gap"]) + F.length(x["hit"])))
+        return let(ends, lambda end: F.filter(F.transform(hits, lambda x, i: F.when(
+            _fits(kind, x["value"], least), F.struct(
+                (F.get(end, i) - F.length(x["hit"])).alias("start"), F.lit(ordinal).alias("ord"),
+                F.get(end, i).alias("end"), F.lit(kind).alias("kind"), _key(x["value"]).alias("key"),
+                F.lit(None).cast("boolean").alias("live")))), lambda s: s.isNotNull()))
+
+    return F.when(text.rlike(pattern), let(zipped, placed).cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def _fits(kind: str, value: Column, least: int) -> Column:
