@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crowdlens.llm.common import ranked, table
+from crowdlens.llm.common import no_clash, ranked, table
 from crowdlens.session import cut
 
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
@@ -59,8 +59,7 @@ def format_preferences(pairs: DataFrame, keep: list[str]) -> DataFrame:
     completions.  The prefix is compared turn by turn (role and text).  ``keep``
     must not hold the names of the new columns.
     """
-    if clash := {"n_prefix", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask", "_a", "_b"} & set(keep):
-        raise ValueError(f"kept columns have names of new ones: {sorted(clash)}")
+    no_clash(keep, "n_prefix prompt chosen rejected chosen_mask rejected_mask _a _b")
     a, b = (F.coalesce(F.col(c), F.array()) for c in ("_chosen", "_rejected"))
     same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
     first = F.array_position(F.transform(same, lambda s: F.when(s, 0).otherwise(1)), 1)

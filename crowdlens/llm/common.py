@@ -171,6 +171,13 @@ def restored(df: DataFrame, columns: list[str], prefix: str = "in_") -> DataFram
     return df.select(*[F.col(f"{prefix}{i}").alias(c) for i, c in enumerate(columns)])
 
 
+def no_clash(keep: list[str], added: str) -> None:
+    """Refuses kept columns that are named like an added or internal one (names
+    separated by spaces) or twice; ``aliased`` avoids both."""
+    if clash := sorted({c for c in keep if c in added.split() or keep.count(c) > 1}):
+        raise ValueError(f"kept columns have names that are taken: {', '.join(clash)}")
+
+
 def arrow_fields(df: DataFrame, names: list[str]) -> str:
     """Schema text of some columns of ``df``, each followed by a comma."""
     return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in names)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crowdlens.llm.common import arrow_fields, byte_slices, table
+from crowdlens.llm.common import arrow_fields, byte_slices, no_clash, table
 from crowdlens.llm.words import mix
 from crowdlens.session import cut
 
@@ -95,8 +95,7 @@ def fingerprints(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """``keep`` columns and ``fingerprint`` (hex) of every row's whole text; null
     texts count as empty, repeated rows all stay.  ``keep`` must not hold
     ``fingerprint``.  No exchange."""
-    if "fingerprint" in keep:
-        raise ValueError("a kept column is named fingerprint")
+    no_clash(keep, "fingerprint _text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "_text"):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crowdlens.llm.common import arrow_fields, byte_slices, table
+from crowdlens.llm.common import arrow_fields, byte_slices, no_clash, table
 from crowdlens.llm.words import BASE, U, Words, joined_bytes, mix, split_words
 
 THRESHOLD = 0.85
@@ -290,8 +290,7 @@ def scan(df: DataFrame, text: str, keep: list[str], templates=TEMPLATES, thresho
     templates and better windows go first.  What matches templates of which none
     fits and is not covered so is ``unknown``.  Null and empty texts, and texts of
     one word, have none.  ``keep`` must not hold ``licenses`` or ``_text``."""
-    if {"licenses", "_text"} & set(keep):
-        raise ValueError("kept columns must not be named licenses or _text")
+    no_clash(keep, "licenses _text")
     found = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("dice", pa.float64())])
     base = df.select(*keep, F.col(text).alias("_text"))
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crowdlens.llm.common import arrow_fields, byte_slices, ranked, table
+from crowdlens.llm.common import arrow_fields, byte_slices, no_clash, ranked, table
 from crowdlens.llm.words import joined_bytes
 from crowdlens.session import cut
 
@@ -61,6 +61,7 @@ def chunks(df: DataFrame, text: str, keep: list[str], max_tokens: int = MAX_TOKE
     characters), ``start`` and ``end`` (UTF-8 bytes) and, if wanted, the chunk's
     ``chunk_text``.  The chunks of a text joined are the text; a text without
     tokens (or null) is one chunk of none."""
+    no_clash(keep, "chunk n_tokens start end chunk_text _text")
     base = df.select(*keep, F.col(text).alias("_text"))
 
     def run(batches):

@@ -92,11 +92,13 @@ def brute_dedup(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("seed,length,gram,grain", [(0, 20, 4, 2), (1, 30, 8, 4)])
+@pytest.mark.parametrize("seed,length,gram,grain", [
+    (0, 20, 4, 2), (1, 30, 8, 4), (2, suffix_dedup.LENGTH, suffix_dedup.GRAM, suffix_dedup.GRAIN)])
 def test_suffix_dedup_equals_brute_force(spark, seed, length, gram, grain):
     rnd = random.Random(seed)
     letters = "ab" if seed == 0 else "abcdefgh \né"
-    pool = ["".join(rnd.choice(letters) for _ in range(rnd.randint(5, 50))) for _ in range(6)] + ["a" * 60, "\0" * 40]
+    far = 50 if seed < 2 else 160
+    pool = ["".join(rnd.choice(letters) for _ in range(rnd.randint(5, far))) for _ in range(6)] + ["a" * 60, "\0" * 40]
     df, _ = documents(spark, [None, ""] + ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 12)))
                                            for _ in range(40)])
     rows = [tuple(r) for r in df.collect()]
@@ -156,6 +158,30 @@ def test_decontamination_equals_brute_force(spark, block):
     assert not any(items[0][1] in (t or "") for _, t in clean)
 
 
+def test_equal_items_are_one_class_and_all_listed(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "CLASS_IDS", 40)
+    text = prose(random.Random(1), 12)
+    items = spark.createDataFrame([(i, text) for i in range(300)] + [(None, text), (7, "one two three")],
+                                  "item_id long, text string")
+    classes = decontam.item_classes(items, "item_id", "text")
+    assert 6 <= classes.count() <= 12 and max(len(r.names) for r in classes.collect()) < 90
+    df = spark.createDataFrame([(1, f"a {text} b"), (2, "one two three")], "doc_id long, text string")
+    for block in (1 << 20, 600):
+        got = {r.doc_id: r for r in decontam.spans_of(df, items, "text", ["doc_id"], block_bytes=block).collect()}
+        assert got[1]["items"] == sorted(map(str, range(300))) and got[1].n_hit == 12
+        assert got[2]["items"] == ["7"] and [tuple(s) for s in got[2].spans] == [(0, 13, 3)]
+
+
+def test_short_items_stay_inside_other_prose(spark):
+    items = spark.createDataFrame([(1, "Yes"), (2, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11")], "item_id long, text string")
+    texts = ["She said yes and the answer was yes again", "Yes!", "x w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 y z q r", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in decontam.clean(df, items).collect()}
+    assert got == {0: texts[0], 2: "x  y z q r", 3: None}  # 1 is nothing but an item
+    got = {r.doc_id: r.text for r in decontam.clean(df, items, min_words=1).collect()}
+    assert got[0] == "She said  and the answer was  again"
+
+
 def test_decontamination_without_items_or_documents(spark):
     df, _ = documents(spark, ["a b c", None])
     none = spark.createDataFrame([], "item_id long, text string")
@@ -266,6 +292,12 @@ def test_rare_languages_are_learned_from_a_bounded_sample(spark):
     assert [r.lang_pred for r in got] == ["nl", "ru", "fr"]
 
 
+def test_a_column_of_too_many_languages_is_refused(spark):
+    rows = [(i, "some text", f"l{i}") for i in range(langid.MAX_LANGUAGES + 1)]
+    with pytest.raises(ValueError, match="distinct values"):
+        langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id")
+
+
 def test_quota_fills_the_bound():
     assert langid.quota([], 5) == 0 and langid.quota([3, 1], 4) == 3
     for sizes, bound in (([5, 1, 100], 20), ([7, 7, 7], 10), ([1, 1, 1000], 3)):
@@ -497,6 +529,29 @@ def test_large_buckets_and_components_are_compared_in_blocks(spark, monkeypatch)
         assert r.n_links == sum(10 * len(sets[r.doc_id] & s) >= 8 * len(sets[r.doc_id] | s) for s in sets) - 1
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_bridges_keep_two_blocks_connected(seed):
+    rnd = np.random.default_rng(seed)
+    n = 60
+    side = rnd.integers(0, 2, n) if seed else np.zeros(n, int)
+    linked = rnd.random((n, n)) < (0.01, 0.02, 0.03, 0.05, 0.3, 1)[seed]
+    linked |= linked.T
+    near = lambda i, others: linked[i, others]
+
+    def parts(edges):
+        label = list(range(n))
+        for a, b in edges:
+            old, new = label[a], label[b]
+            label = [new if x == old else x for x in label]
+        return {frozenset(i for i in range(n) if label[i] == x) for x in label}
+
+    own = [(half[a], half[b]) for half in (np.flatnonzero(side == s) for s in (0, 1))
+           for a, b in ngram_join._forest(len(half), lambda i, o, half=half: near(half[i], half[o]))]
+    bridges = ngram_join._bridges(side, near)
+    assert parts(own + bridges) == parts(list(zip(*np.nonzero(linked))))
+    assert len(bridges) == len(parts(own)) - len(parts(own + bridges))  # none to spare
+
+
 def test_runs_reach_the_recall():
     assert ngram_join.runs_for(0.999, 0.8, 96, 3) > ngram_join.runs_for(0.9, 0.8, 96, 3) >= 3
     assert all(ngram_join.chosen(r, np.zeros(1, np.uint64), 0.8).any() for r in range(40))
@@ -697,6 +752,13 @@ def test_secret_spans_equal_brute_force(spark):
         key(r[1], w) for r, w in zip(rows, want))
 
 
+def test_running_sums_of_arrays(spark):
+    arrays = [[], [5], [1, 2], list(range(37)), [3] * 1000]
+    df = spark.createDataFrame([(a,) for a in arrays], "a array<int>")
+    got = [r.s for r in df.select(secrets._running(F.col("a")).alias("s")).collect()]
+    assert got == [np.cumsum(a).tolist() for a in arrays]
+
+
 def test_redaction_replaces_live_spans_only(spark):
     spans = [(2, 0, 5, "a", "", True), (4, 1, 8, "b", "", True), (9, 2, 10, "c", "", False)]
     df = spark.createDataFrame([("é123456789é", spans), (None, []), ("ab", [])], f"t string, s {secrets.SPAN}")
