@@ -50,8 +50,10 @@ from pyspark.sql import functions as F
 from crowdlens import manifest
 from crowdlens.functions.special import digamma, lgamma
 from crowdlens.operators.joins import BROADCAST_BYTES, SPLIT_ROWS, hot_keys, small, split_join
+from crowdlens.operators.layout import bucketed as _bucketed
+from crowdlens.operators.layout import forget as _forget
 from crowdlens.operators.mapping import LabelDomain
-from crowdlens.session import cut, observing, release, scratch_path
+from crowdlens.session import cut, release
 
 DIAG_PRIOR = 5.5   # fixed value: prior pseudo-count for a correct label
 OFF_PRIOR = 1.0    # fixed value: prior pseudo-count for a wrong label
@@ -223,33 +225,6 @@ def _bucket_count(spark, n_rows: int) -> int:
     return min(most, max(spark.sparkContext.defaultParallelism, n_rows // ROWS_PER_BUCKET + 1))
 
 
-def _bucketed(df: DataFrame, keys: list[str], buckets: int, name: str, metrics: dict[str, Column] | None = None,
-              hidden: list[str] = (), path: str | None = None) -> DataFrame:
-    """Write ``df`` as an external table bucketed by ``keys`` under the shared
-    checkpoint folder (or at ``path``) and read it back.  Two tables bucketed the
-    same way join and group on their keys without any exchange.  ``metrics`` and
-    ``hidden`` as in ``cut``."""
-    spark = df.sparkSession
-    name = f"crowdlens_{name}_{uuid.uuid4().hex[:12]}"
-    path = path or scratch_path(spark, name)
-    rows, seen = observing(df.repartition(buckets, *keys), metrics)
-    rows.drop(*hidden).write.bucketBy(buckets, *keys).option("path", path).saveAsTable(name)
-    table = spark.table(name)
-    table.written_to, table.catalog_name = path, name
-    table.observed = seen.get if seen else {}
-    return table
-
-
-def _forget(table: DataFrame | None, files: bool = True) -> None:
-    """Drop a written table that nothing reads any more, by default with its files."""
-    if table is None:
-        return
-    if hasattr(table, "catalog_name"):
-        table.sparkSession.sql(f"DROP TABLE IF EXISTS {table.catalog_name}")
-    if files:
-        release(table)
-
-
 def _prepare(ann: DataFrame, domain: LabelDomain | None, words: DataFrame | None,
              vocab_size: int | None, split_rows: int, buckets: int | None, broadcast_bytes: int,
              marked: bool = False) -> tuple[_Inputs, LabelDomain, dict]:

@@ -19,9 +19,10 @@ from crowdlens.functions import text as T
 from crowdlens.functions.stem import stem_words
 from crowdlens.operators.joins import (
     BROADCAST_BYTES, SPLIT_ROWS, hot_keys, keyed_join, measured_bytes, small, split_join)
+from crowdlens.operators.layout import forget, placed
 from crowdlens.operators.mapping import task_text
 from crowdlens.operators.ordering import dense_positions
-from crowdlens.session import cut, release
+from crowdlens.session import cut
 from crowdlens.sources.stopwords import STOP_WORDS
 
 StopWords = tuple[str, ...] | DataFrame  # a DataFrame has its words in its first column
@@ -108,18 +109,20 @@ def term_stats(ann: DataFrame, stem: str = "porter2",
 
     Tokens are aggregated once per (document, token) -- frequency and first
     position -- before they are stemmed, and every corpus statistic derives
-    from that much smaller table, so the texts are tokenised once.
+    from that much smaller table, so the texts are tokenised once.  The tokens are
+    dealt by document once, and the tables stay bucketed so: the sums by document
+    (terms after stemming, norms of the weights) need no further exchange.
     """
     toks = without_stop_words(tokens(corpus(ann), "doc_order"), stop_words)
-    doc_terms = cut(toks.groupBy("doc_order", "token").agg(
-        F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos")), "doc-tokens")
+    doc_terms = placed(toks.repartition("doc_order").groupBy("doc_order", "token").agg(
+        F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos")), "doc_order", "doc_tokens")
     if stem == "none":
         doc_terms = stemmed(doc_terms, stem).select("doc_order", "term", "tf", "first_pos")
     else:
         doc_tokens = doc_terms
-        doc_terms = cut(stemmed(doc_tokens, stem).groupBy("doc_order", "term").agg(
-            F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos")), "doc-terms")
-        release(doc_tokens)
+        doc_terms = placed(stemmed(doc_tokens, stem).groupBy("doc_order", "term").agg(
+            F.sum("tf").alias("tf"), F.min("first_pos").alias("first_pos")), "doc_order", "doc_terms")
+        forget(doc_tokens)
     # (document, position) as one number, so that its minimum is a hash aggregate
     place = F.col("doc_order").cast("decimal(20,0)") * F.lit(1 << 31) + F.col("first_pos")
     counts = doc_terms.groupBy("term").agg(

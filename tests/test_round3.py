@@ -340,3 +340,28 @@ def test_a_changed_table_is_read_again(spark, tmp_path):
     assert [catalog._memo(spark, str(tmp_path), ("k",), build) for _ in range(2)] == [1, 1]
     spark.range(5).write.mode("overwrite").parquet(path)
     assert catalog._memo(spark, str(tmp_path), ("k",), build) == 2
+
+
+def test_norms_by_document_need_one_exchange(spark):
+    """The weights are read from a table bucketed by document: only the small idf
+    table is exchanged (broadcast), the norms are summed where the rows lie."""
+    stats = V.term_stats(FX.document_rows(spark, SF), stem="none")
+    df = V.tfidf_l2(stats)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Bucketed: true" in plan
+    norms = df.groupBy("doc_order").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()
+    assert len(norms) > 100 and all(r.n == pytest.approx(1.0) for r in norms)
+
+
+def test_optional_modules_are_told_from_broken_ones(monkeypatch):
+    import __spark_entry__ as entry
+
+    assert entry._optional("corpus_pipeline_that_is_not_there") is None
+
+    def broken(name):
+        raise ModuleNotFoundError("x", name="crowdlens.llm.common" if name == "a" else "numpy")
+
+    monkeypatch.setattr(entry, "import_module", broken)
+    for name in ("a", "b"):
+        with pytest.raises(ModuleNotFoundError):
+            entry._optional(name)
