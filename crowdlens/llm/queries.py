@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from crowdlens.llm.chat import ORACLE_OP3, op3_preference_format
 from crowdlens.llm.decontam import ORACLE_OP2, op2_decontamination
 from crowdlens.llm.filter_audit import ORACLE_OP13, op13_filter_audit
@@ -21,10 +20,7 @@ QUERIES = {f.__name__: f for f in (
     op1_suffix_dedup, op2_decontamination, op3_preference_format, op4_language_id,
     op5_license_scan, op6_ngram_jaccard_join, op7_packing, op8_quality_rules, op9_secret_scan, op10_sharding,
     op11_fingerprint, op12_hard_negatives, op13_filter_audit)}
-QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE = {"op2_decontamination": ORACLE_OP2, "op3_preference_format": ORACLE_OP3,
           "op6_ngram_jaccard_join": ORACLE_OP6, "op9_secret_scan": ORACLE_OP9,
           "op12_hard_negatives": ORACLE_OP12, "op13_filter_audit": ORACLE_OP13}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

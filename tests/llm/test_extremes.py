@@ -6,6 +6,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from crowdlens.llm import chat, decontam, fingerprint, langid, licenses, packing, queries
 
 PASSAGE = " ".join(f"passage{i}" for i in range(30))
@@ -49,12 +50,13 @@ def empty(spark, tmp_path_factory):
     return tables(spark, tmp_path_factory.mktemp("empty"), dict.fromkeys(SHAPES, []))
 
 
+QUERIES = {**queries.QUERIES, "pipeline": corpus_pipeline.run}
 PER_DOCUMENT = ("op1_", "op2_", "op4_", "op5_", "op6_", "op8_", "op9_", "op10_", "op11_")
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_extreme_tables(spark, extreme, name):
-    got = queries.QUERIES[name](spark, extreme).collect()
+    got = QUERIES[name](spark, extreme).collect()
     if name.startswith(PER_DOCUMENT):
         assert sorted((r.doc_id for r in got), key=str) == sorted((r[0] for r in ROWS["documents"]), key=str)
     by = {r.doc_id: r for r in got if hasattr(r, "doc_id")}
@@ -86,9 +88,9 @@ def test_extreme_tables(spark, extreme, name):
         assert {r.chosen_id for r in got} | {r.rejected_id for r in got if r.paired} == {1, 2, 3, None}
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty_tables(spark, empty, name):
-    got = queries.QUERIES[name](spark, empty)
+    got = QUERIES[name](spark, empty)
     assert got.columns and got.collect() == []
 
 
