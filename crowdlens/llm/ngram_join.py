@@ -34,7 +34,7 @@ TOKENS = 96  # MinHash tokens of a set
 RECALL, DEPTH = 0.999, 3  # target for a pair at the threshold, levels of splitting
 SMALL = 256  # sets of a bucket that is compared at once
 SKETCHES = 512, 8192  # sketches of a block of a bucket that stays large: an eighth of it, between these
-BLOCK = 512  # sets of a block of a large component
+BLOCK = 192, 512  # sets of a block of a large component: an eighth of it, between these
 BLOCK_SHINGLES = 1_000_000  # shingles of a block, at most (unless one set is larger)
 SLACK = 4.0  # standard deviations by which a sketch may fall short
 EDGE = "a long, b long"
@@ -205,11 +205,16 @@ def _blocked(rows: DataFrame, key: str, blocks: str) -> DataFrame:
     dealt = rows.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(
         F.lit(0), (F.col(blocks) - 1).cast("int"))))
     return (dealt.withColumn("_x", F.least("_mine", "_other")).withColumn("_y", F.greatest("_mine", "_other"))
-            .withColumn("group", F.xxhash64(F.col(key), F.col("_x"), F.col("_y"))).drop("_other"))
+            .withColumn("group", F.xxhash64(F.col(key), F.col("_x"), F.col("_y"))).drop("_other")
+            .withColumn("_spot", F.xxhash64(F.lit(1), F.col(key)) % (1 << 40) + F.expr("_y * (_y + 1) div 2 + _x")))
 
 
 def _by_group(rows: DataFrame) -> DataFrame:
-    return rows.repartition("group").sortWithinPartitions("group", "id")
+    """Groups as runs of rows.  Those of one key go to partitions that follow one
+    another, so no two of them meet in a task before all tasks have one."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.repartitionById(parts, F.pmod("_spot", F.lit(parts)).cast("int")).drop("_spot")
+            .sortWithinPartitions("group", "id"))
 
 
 def _sketch_links(rows: DataFrame, similarity: float) -> DataFrame:
@@ -234,7 +239,7 @@ def _sketch_links(rows: DataFrame, similarity: float) -> DataFrame:
                 a, b = ids[np.array(edges)].T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return _by_group(rows.select("group", "_x", "_y", "_mine", "id", "sketch")).mapInArrow(run, EDGE)
+    return _by_group(rows.select("_spot", "group", "_x", "_y", "_mine", "id", "sketch")).mapInArrow(run, EDGE)
 
 
 def _only(sets: DataFrame, rows: DataFrame, column: str) -> DataFrame:
@@ -312,7 +317,7 @@ def _verify(rows: DataFrame, similarity: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], ["a", "b", "weight"])
 
-    cols = ["group", "_x", "_y", "_mine", "id", "weight", "_text"]
+    cols = ["_spot", "group", "_x", "_y", "_mine", "id", "weight", "_text"]
     return _by_group(rows.select(*cols)).mapInArrow(run, "a long, b long, weight long")
 
 
@@ -341,7 +346,8 @@ def near_groups(df: DataFrame, text: str, similarity: float = SIMILARITY, recall
     release(sets, edges)
     found = comps.join(equal.select("id", "weight", "n"), "id")
     shape = found.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
+    size = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.col("sets") / 8))
+    blocks = F.greatest(F.ceil(F.col("sets") / size), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
     found = cut(found.join(shape.select("comp", blocks.cast("int").alias("blocks")), "comp"), "components")
     texts = may_match(docs.withColumnRenamed("_id", "id"), found, "id").where("_may").drop("_may").join(found, "id")
     verified = cut(_verify(_blocked(texts, "comp", "blocks"), similarity), "verified")

@@ -517,7 +517,7 @@ def test_near_groups_equal_brute_force(spark):
 def test_large_buckets_and_components_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL", 4)
     monkeypatch.setattr(ngram_join, "SKETCHES", (6, 6))
-    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "BLOCK", (5, 5))
     rnd = random.Random(2)
     base = prose(rnd, 80, 5000).split()
     texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1:]) for i in range(10, 40)]
