@@ -34,7 +34,7 @@ TOKENS = 96  # MinHash tokens of a set
 RECALL, DEPTH = 0.999, 3  # target for a pair at the threshold, levels of splitting
 SMALL = 256  # sets of a bucket that is compared at once
 SKETCHES = 512, 8192  # sketches of a block of a bucket that stays large: an eighth of it, between these
-BLOCK = 192, 512  # sets of a block of a large component: an eighth of it, between these
+BLOCK = 128, 512  # sets of a block of a large component: a sixteenth of it, between these
 BLOCK_SHINGLES = 1_000_000  # shingles of a block, at most (unless one set is larger)
 SLACK = 4.0  # standard deviations by which a sketch may fall short
 EDGE = "a long, b long"
@@ -346,7 +346,7 @@ def near_groups(df: DataFrame, text: str, similarity: float = SIMILARITY, recall
     release(sets, edges)
     found = comps.join(equal.select("id", "weight", "n"), "id")
     shape = found.groupBy("comp").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
-    size = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.col("sets") / 8))
+    size = F.greatest(F.lit(BLOCK[0]), F.least(F.lit(BLOCK[1]), F.col("sets") / 16))
     blocks = F.greatest(F.ceil(F.col("sets") / size), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
     found = cut(found.join(shape.select("comp", blocks.cast("int").alias("blocks")), "comp"), "components")
     texts = may_match(docs.withColumnRenamed("_id", "id"), found, "id").where("_may").drop("_may").join(found, "id")
