@@ -321,8 +321,10 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
     ``shrink``: tasks whose posterior moved less than this in a round may be set
     aside: when they are half of the working set, their share of every sum is kept
     as a table, the working set is written anew without them, and later rounds read
-    only that.  The last round, or the one after ``tol`` is met, sweeps over all
-    tasks again; the fit goes on with all of them if any moved by ``tol`` or more.
+    only that.  The last round, or the one after ``tol`` is met or nothing is left,
+    sweeps over all tasks again; the fit goes on with all of them if any moved by
+    ``tol`` or more.  What stood still for many rounds is off by some times
+    ``shrink``: take it well below the accuracy that is wanted.
 
     ``accelerate``: after two plain rounds, whose changes tell how fast the steps
     become smaller, a round starts from parameters stretched along the last step to
@@ -430,6 +432,7 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
                 _forget(inp.ann)
                 _forget(inp.words)
             inp, before = smaller, stored.where(F.col("_d") >= F.lit(shrink))
+            closing = inp.n_rows == 0  # nothing moves any more: look at all tasks again
     if prev is not None:
         retire(prev.worker, prev.word)
     for used in {id(x): x for x in (inp.ann, inp.words, whole.ann, whole.words)}.values():
