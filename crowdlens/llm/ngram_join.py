@@ -301,13 +301,17 @@ def _verify(rows: DataFrame, similarity: float) -> DataFrame:
                 common += block @ block.T
             linked = common >= similarity * (size[:, None] + size[None, :] - common) - 1e-6
             np.fill_diagonal(linked, False)
+
+            def near(i, others, linked=linked):
+                return linked[i, others]
+
+            weight, ids = part.column("weight").to_numpy(), part.column("id").to_numpy()
             if part.column("_x")[0].as_py() != part.column("_y")[0].as_py():
                 mine = part.column("_mine").to_numpy()
-                linked &= mine[:, None] != mine[None, :]
-            weight = part.column("weight").to_numpy()
-            ids = part.column("id").to_numpy()
-            links = linked @ weight
-            edges = _forest(g, lambda i, others: linked[i, others])
+                edges = _bridges(mine, near)
+                links = (linked & (mine[:, None] != mine[None, :])) @ weight
+            else:
+                edges, links = _forest(g, near), linked @ weight
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids[some]), pa.nulls(len(some), pa.int64()), pa.array(links[some].astype(np.int64))],
