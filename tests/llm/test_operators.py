@@ -92,9 +92,9 @@ def brute_dedup(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("seed,length,gram,grain", [
-    (0, 20, 4, 2), (1, 30, 8, 4), (2, suffix_dedup.LENGTH, suffix_dedup.GRAM, suffix_dedup.GRAIN)])
-def test_suffix_dedup_equals_brute_force(spark, seed, length, gram, grain):
+@pytest.mark.parametrize("seed,length,gram,grain,fan", [
+    (0, 20, 4, 2, 2), (1, 30, 8, 4, 100), (2, suffix_dedup.LENGTH, suffix_dedup.GRAM, suffix_dedup.GRAIN, 3)])
+def test_suffix_dedup_equals_brute_force(spark, seed, length, gram, grain, fan):
     rnd = random.Random(seed)
     letters = "ab" if seed == 0 else "abcdefgh \né"
     far = 50 if seed < 2 else 160
@@ -102,10 +102,39 @@ def test_suffix_dedup_equals_brute_force(spark, seed, length, gram, grain):
     df, _ = documents(spark, [None, ""] + ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 12)))
                                            for _ in range(40)])
     rows = [tuple(r) for r in df.collect()]
-    got = suffix_dedup.dedup(df, "text", "doc_id", length, gram, grain, run_size=40, with_text=False)
+    got = suffix_dedup.dedup(df, "text", "doc_id", length, gram, grain, run_size=40, with_text=False, fan=fan)
     assert sorted(map(tuple, got.collect()), key=repr) == brute_dedup(rows, length)
 
 
+@pytest.mark.parametrize("held", [0, 2, 1000])
+def test_copies_are_settled_whatever_is_held(monkeypatch, held):
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
+    rng = np.random.default_rng(held)
+    copies, rows, opened, gone = suffix_dedup.Copies(), [], [], []
+    batches = []
+    for _ in range(20):
+        n = int(rng.integers(0, 30))
+        key, ctx = rng.integers(0, 4, (2, n)).astype(np.uint64)
+        doc, uid = rng.integers(0, 9, (2, n))
+        p0 = rng.integers(0, 50, n) * 3
+        rows += list(zip(*[x.tolist() for x in (key, ctx, doc, uid, p0)]))
+        batches += copies.feed(key, ctx, doc, uid, p0, np.full(n, 1), np.full(n, 5), p0)
+    for batch in [*batches, *copies.close()]:
+        for r in batch.to_pylist():
+            if r["off"] >= 0:
+                opened.append((r["key"], r["ctx"], r["doc"], r["uid"], r["p0"]))
+            else:
+                gone += [(r["uid"], p) for p in range(r["p0"], r["p0"] + r["n"] + 1)]
+    least = {}
+    for r in sorted(rows, key=lambda r: r[2:]):
+        least.setdefault(r[:2], r)
+    assert set(least.values()) <= set(opened) <= set(rows)  # each group's first stays open
+    left = sorted(rows)
+    for r in opened:
+        left.remove(r)
+    assert sorted(gone) == sorted((r[3], p) for r in left for p in (r[4], r[4] + 1))
+
+
 def test_suffix_dedup_of_an_empty_table(spark):
     assert suffix_dedup.dedup(spark.createDataFrame([], SCHEMA), "text", "doc_id").count() == 0
 
