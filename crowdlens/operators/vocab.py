@@ -109,12 +109,14 @@ def term_stats(ann: DataFrame, stem: str = "porter2",
 
     Tokens are aggregated once per (document, token) -- frequency and first
     position -- before they are stemmed, and every corpus statistic derives
-    from that much smaller table, so the texts are tokenised once.  The tokens are
-    dealt by document once, and the tables stay bucketed so: the sums by document
+    from that much smaller table, so the texts are tokenised once.  The texts are
+    dealt by document before they are tokenised (a text is much smaller than its
+    tokens as rows), and the tables stay bucketed so: the sums by document
     (terms after stemming, norms of the weights) need no further exchange.
     """
-    toks = without_stop_words(tokens(corpus(ann), "doc_order"), stop_words)
-    doc_terms = placed(toks.repartition("doc_order").groupBy("doc_order", "token").agg(
+    docs = corpus(ann).select("doc_order", "body_text").repartition("doc_order")
+    toks = without_stop_words(tokens(docs, "doc_order"), stop_words)
+    doc_terms = placed(toks.groupBy("doc_order", "token").agg(
         F.count(F.lit(1)).alias("tf"), F.min("pos").alias("first_pos")), "doc_order", "doc_tokens")
     if stem == "none":
         doc_terms = stemmed(doc_terms, stem).select("doc_order", "term", "tf", "first_pos")
