@@ -18,8 +18,10 @@ Spark shape per round: the E-step is a join of the annotations with the
 (worker, label) table and of task words with the word table, then grouped
 sums by task; the M-step is the annotations joined with q and grouped sums
 by (worker, label) and by word.  Classes are C columns, so the joins stay
-one row per annotation.  The (worker, label) and word tables are broadcast
-only when their sizes (rows counted at fit start, times their columns) are under
+one row per annotation.  On the bucketed layout the (worker, label) and word
+tables are dealt to the buckets that hold their keys, so no round sends a table
+through the driver, however small.  Without it they are broadcast only when their
+sizes (rows counted at fit start, times their columns) are under
 ``broadcast_bytes``; otherwise they are shuffle-joined, and workers or words
 with over ``split_rows`` rows take their table rows by broadcast.
 
@@ -228,7 +230,7 @@ class _Inputs:
 # crosses the network in a round is blocks x keys, so blocks are few and large.
 ROWS_PER_BUCKET = 12_000_000
 HASH_ROWS = 4_000_000  # rows of a block up to which a table (q, parameters) is hashed, not sorted
-ROUND_BYTES = 2 << 20  # a parameter table up to this goes through the driver every round
+ROUND_BYTES = 2 << 20  # without blocks, a parameter table up to this goes through the driver every round
 MASK_BITS = 63         # blocks beyond it share bits: a key may then reach a block that lacks it
 
 
@@ -334,11 +336,14 @@ def _prepare(ann: DataFrame, domain: LabelDomain | None, words: DataFrame | None
             blocks = spark.range(1).select(F.explode(F.lit(numbers)).alias("block")).withColumn("bit", _bit(buckets))
         except AnalysisException:  # no writable catalog, found before anything is written
             buckets = None
-    if buckets is None:
+    if blocks is not None:  # a broadcast in every round takes whole memory pages even for a few rows
+        bc_pairs = bc_words = False
+    else:
         # spread evenly over the task slots so every round's scan is parallel
         placed = cut(a.repartition(spark.sparkContext.defaultParallelism), "annotations")
     release(raw)
     hot_workers = None if bc_pairs or blocks is not None else hot_keys(placed, "worker_id", split_rows)
+    hash_join = int(stats["tasks"]) <= HASH_ROWS * (buckets or 0)
     w = hot_words = None
     word_only = False
     if words is not None:
@@ -349,9 +354,17 @@ def _prepare(ann: DataFrame, domain: LabelDomain | None, words: DataFrame | None
         else:
             w = cut(w.repartition(spark.sparkContext.defaultParallelism), "task-words")
         hot_words = None if bc_words or blocks is not None else hot_keys(w, "word_idx", split_rows)
-        word_only = not w.join(placed, keys, "left_anti").isEmpty()
-    return _Inputs(placed, w, keys, salts, buckets, blocks, numbers, int(stats["tasks"]) <= HASH_ROWS * (buckets or 0),
-                   hot_workers, hot_words, word_only, bc_pairs, bc_words, v, n_rows, stats["gaps"] == 0), domain, mark
+        word_only = not _unlabelled(w, placed, keys, hash_join).isEmpty()
+    return _Inputs(placed, w, keys, salts, buckets, blocks, numbers, hash_join, hot_workers,
+                   hot_words, word_only, bc_pairs, bc_words, v, n_rows, stats["gaps"] == 0), domain, mark
+
+
+def _unlabelled(words: DataFrame, ann: DataFrame, keys: list[str], hashed: bool) -> DataFrame:
+    """The words of tasks without annotation; in blocks they are found where they lie."""
+    tasks = ann.select(*keys).distinct()
+    if "block" in keys:  # by its file size Spark would broadcast it
+        tasks = tasks.hint("shuffle_hash" if hashed else "shuffle_merge")
+    return words.join(tasks, keys, "left_anti")
 
 
 def _checksum(rows: DataFrame, cols: list[str]) -> int:
@@ -397,9 +410,9 @@ def fit(ann: DataFrame, words: DataFrame | None = None, vocab_size: int | None =
     ``co_locate``: store the annotations bucketed by task once and write q
     bucketed the same way every round, so neither the E-step sum nor the
     annotation-q join moves the annotations.  ``buckets`` defaults to one per
-    task slot or, if that is more, per 12,000,000 annotations.  ``broadcast_bytes``: the
-    (worker, label) and word tables above it are dealt to the buckets that hold
-    their keys by a shuffle.  ``split_rows``: annotations of one task (worker, word)
+    task slot or, if that is more, per 12,000,000 annotations; the (worker, label) and
+    word tables are dealt to the buckets that hold their keys by a shuffle.
+    ``broadcast_bytes``: without buckets, tables above it are shuffled.  ``split_rows``: annotations of one task (worker, word)
     that may meet in one task; beyond it the key is split.
 
     Jobs per round: write q, write the (worker, label) table, write the word

@@ -22,10 +22,11 @@ from crowdlens.operators.joins import (
 from crowdlens.operators.layout import forget, placed
 from crowdlens.operators.mapping import task_text
 from crowdlens.operators.ordering import dense_positions
-from crowdlens.session import cut
+from crowdlens.session import cut, setting
 from crowdlens.sources.stopwords import STOP_WORDS
 
 StopWords = tuple[str, ...] | DataFrame  # a DataFrame has its words in its first column
+VOCAB_BYTES = 8 << 20  # largest measured vocabulary that goes through the driver
 
 
 def limited_rows(ann: DataFrame, max_rows: int | None) -> DataFrame:
@@ -214,14 +215,18 @@ def task_words(ann: DataFrame, vocab: DataFrame, stem: str = "porter2",
 
 def words_of(toks: DataFrame, key: str, vocab: DataFrame, stem: str) -> DataFrame:
     """Distinct ``(key, word_idx)`` of ``(key, token)`` rows against a written
-    vocabulary, which is broadcast if its measured size allows."""
+    vocabulary, which is broadcast if its measured size allows.  By its file size
+    Spark would broadcast larger ones, too: they are dealt by term, hashed (terms are
+    unique, so they spread evenly)."""
     toks = toks.select(key, "token").distinct()
     terms = stemmed(toks if stem == "none" else cut(toks, "tokens"), stem)
-    if measured_bytes(vocab) <= BROADCAST_BYTES:
+    if measured_bytes(vocab) <= VOCAB_BYTES:
         found = terms.join(F.broadcast(vocab), "term")
     else:
-        terms = cut(terms, "terms")  # read twice to find the hot terms
-        found = split_join(terms, vocab, ["term"], hot_keys(terms, "term"))
+        # read twice to find the hot terms; texts dealt by key alone give distinct tokens where they lie
+        with setting(vocab.sparkSession, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
+            terms = cut(terms, "terms")
+        found = split_join(terms, vocab.hint("shuffle_hash"), ["term"], hot_keys(terms, "term"))
     found = found.select(key, "word_idx")
     return found if stem == "none" else found.distinct()
 

@@ -11,9 +11,9 @@ gold_label``:
 
 Both are plain DataFrame plans over parquet scans, so filters and column
 pruning reach the scan; the per-worker fan-out of fixture A is a generator
-(``explode(sequence)``) on the small label table rather than a cross join,
-and it is filtered before the texts are joined.  The same definitions are
-written as SQL in ``crowdlens.plans.sql`` for the DuckDB check.
+over the workers that a document is dealt to rather than a cross join, after
+the label table (which Spark may broadcast) is joined as it is, one row a
+document.  The same definitions are written as SQL in ``crowdlens.plans.sql`` for the DuckDB check.
 """
 
 from __future__ import annotations
@@ -58,18 +58,17 @@ def text_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     d = F.col("doc_id")
     q = F.col("quality")
-    # Fan the (small) label table out to the simulated workers and keep the
-    # 4-of-12 assignment *before* the documents' texts join in, so each text
-    # is copied once per kept annotation rather than once per worker.
-    assigned = (table(spark, sf_dir, "labels").select("doc_id", "quality")
-                .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(WORKERS_A - 1))))
-                .where(((d * 7 + k * 13) % 12) < 4))
+    # Only the 4 workers of 12 that a document is dealt to are exploded, so each
+    # text is copied once per kept annotation; the label table stays narrow.
+    workers = F.filter(F.sequence(F.lit(0), F.lit(WORKERS_A - 1)), lambda w: ((d * 7 + w * 13) % 12) < 4)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    assigned = docs.join(labels, "doc_id").withColumn("k", F.explode(workers))
     flipped = ((d * 31 + k * 17) % 100) < (5 + 3 * k)
     gold = (F.when(d % 3 != 0, F.lit(None))
             .when(((d % 17) == 0) & ((k % 2) == 0), 1 - q)
             .otherwise(q))
-    return assigned.join(docs, "doc_id").select(
+    return assigned.select(
         (d * 100 + k).cast("bigint").alias("row_id"),
         F.concat(F.lit("w"), k.cast("string")).alias("worker_id"),
         d.cast("string").alias("task_id"),
