@@ -1,7 +1,6 @@
 """Rounds of a fit with words run on numbers and give what rounds as joins give."""
 
 import math
-import os
 
 import numpy as np
 import pytest
@@ -10,12 +9,13 @@ from crowdlens.functions.special import digamma as digamma_column
 from crowdlens.operators import model as M
 from crowdlens.operators import rounds as RD
 from crowdlens.operators import vocab as V
-from crowdlens.plans import catalog
-from crowdlens.sources import fixtures as FX
+from crowdlens.streaming import scoring as SC
 from pyspark.sql import functions as F
+from tests.conftest import make_ann
 from tests.test_round3 import crowd, near, posteriors, with_words
 from tests.test_round4 import counted
 
+
 def as_joins(monkeypatch, run):
     with monkeypatch.context() as patch:
         patch.setattr(M, "_numbers_fit", lambda *_: False)
@@ -72,19 +72,25 @@ def test_special_functions(spark):
     assert np.abs(RD.digamma(x) - [r[0] for r in column]).max() < 1e-12
 
 
-def test_a_batch_of_the_scored_stream_has_a_file_for_every_slot(spark, monkeypatch, tmp_path):
-    d, folders, path = str(tmp_path), {}, catalog.scratch_path
-    texts = ["good news far away", "bad bad news", "", "good far", None, "away"] + ["news"] * 14
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
-    spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
-    a = FX.text_annotations(spark, d)
+def test_texts_of_a_batch_are_dealt_before_they_become_tokens(spark, monkeypatch, tmp_path):
+    texts = ["good news far away", "bad bad news", "", "good far", None, "away"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents")
+    a = make_ann(spark, [(f"w{k}", f"t{i}", i % 2, x, None) for i, x in enumerate(texts) for k in range(2)])
     vocab = V.vocabulary(a, stem="none")
     model = M.fit(a, V.task_words(a, vocab, stem="none"), vocab_size=vocab.count(), iterations=1)
-    monkeypatch.setattr(catalog, "fit_a", lambda *_: (a, vocab, model))
-    monkeypatch.setattr(catalog, "scratch_path", lambda spark, name: folders.setdefault(name, path(spark, name)))
-    scored = {r.doc_id: r.p_1 for r in catalog.QUERIES["score_stream"](spark, d).collect()}
-    files = [x for x in os.listdir(folders["stream-source"]) if x.startswith("part-")]
-    slots = max(2, spark.sparkContext.defaultParallelism)
-    epochs = [x for x in os.listdir(folders["stream-sink"]) if "=" in x]
-    assert 4 < len(files) <= 2 * slots and len(epochs) == -(-len(files) // slots)  # empty files are not written
-    assert len(scored) == len(texts) and scored == {r.doc_id: r.p_1 for r in catalog.QUERIES["score_text"](spark, d).collect()}
+    plans, score = [], SC.score_texts
+
+    def noted(model, vocab, docs, *args):
+        plans.append(docs._jdf.queryExecution().executedPlan().toString())
+        return score(model, vocab, docs, *args)
+
+    monkeypatch.setattr(SC, "score_texts", noted)
+    stream = spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/documents")
+    sink = f"{tmp_path}/sink"
+    SC.score_stream(model, vocab, stream, "doc_id", sink, f"{tmp_path}/checkpoint", stem="none").awaitTermination(300)
+    assert plans and all("Exchange hashpartitioning(doc_id" in p for p in plans)
+    found = {r.doc_id: r.p_1 for r in spark.read.parquet(sink).collect()}
+    assert found.keys() == set(range(6))
+    for r in score(model, vocab, docs, "doc_id", stem="none").collect():
+        assert found[r.doc_id] == pytest.approx(r.p_1, abs=1e-12)
